@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from fleetlens.plans.registry import selected_specs
 from fleetlens.plans.samples import CollectorSpec, spec_samples
 
+log = logging.getLogger(__name__)
+
 
 def collect_samples(
     tables: Mapping[str, DataFrame],
@@ -20,7 +23,8 @@ def collect_samples(
     """Union of the samples of all collectors whose inputs are at hand.
 
     A collector whose policy is to continue or to yield nothing is left out when its inputs do not fit it (a
-    missing table or column); one that must not fail raises. Errors while Spark runs the job fail the job.
+    missing table or column); one that must not fail raises. Errors while Spark runs the job fail the job. A table
+    named ``snapshots`` serves as the list of all snapshots.
     """
     parts = []
     for spec in selected_specs() if specs is None else specs:
@@ -28,10 +32,11 @@ def collect_samples(
             missing = [t for t in spec.inputs if t not in tables]
             if missing:
                 raise KeyError(f"{spec.name} needs {missing}")
-            parts.append(spec_samples(spec, spec.transform(tables), namespace))
-        except (KeyError, PySparkException):
+            parts.append(spec_samples(spec, spec.build(tables), namespace))
+        except (KeyError, PySparkException) as error:
             if spec.on_error == "fail":
                 raise
+            log.warning("collector %s left out: %s", spec.name, error)
     if not parts:
         raise ValueError("no collector could run")
     return reduce(DataFrame.unionByName, parts)

@@ -53,7 +53,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "segment_counts", "segment", ("segment_config",), segments.segment_counts,
-        metrics=_metrics(CLUSTER, (), segments_total="total", segments_up="up", segments_down="down"),
+        spine=True, metrics=_metrics(CLUSTER, (), segments_total="total", segments_up="up", segments_down="down"),
     ),
     CollectorSpec(
         "connections_by_state", "connections_by_state", ("activity",), sessions.connections_by_state, ("state",),
@@ -61,16 +61,16 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "connections_total", "connections_by_state", ("activity",), sessions.connections_total,
-        metrics=_metrics(CLUSTER, (), connections_all_states_total="connections"),
+        spine=True, metrics=_metrics(CLUSTER, (), connections_all_states_total="connections"),
     ),
     CollectorSpec(
         "active_query_buckets", "active_query_duration", ("activity",), sessions.active_query_buckets, ("bucket",),
         absent="zero", on_error="continue",
-        metrics=_metrics(QUERY, ("bucket",), active_queries_duration_bucket="queries"),
+        spine=True, metrics=_metrics(QUERY, ("bucket",), active_queries_duration_bucket="queries"),
     ),
     CollectorSpec(
         "active_query_totals", "active_query_duration", ("activity",), sessions.active_query_totals, on_error="continue",
-        metrics=_metrics(QUERY, (), active_queries_total="total", active_queries_slow="slow"),
+        spine=True, metrics=_metrics(QUERY, (), active_queries_total="total", active_queries_slow="slow"),
     ),
     CollectorSpec(
         "locked_sessions", "locked_sessions", ("activity", "locks"), locks.locked_sessions, ("lock_type",),
@@ -78,11 +78,11 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "locks_waiting_count", "locked_sessions", ("locks",), locks.locks_waiting_count,
-        metrics=_metrics(CLUSTER, (), query_waiting_count="waiting"),
+        spine=True, metrics=_metrics(CLUSTER, (), query_waiting_count="waiting"),
     ),
     CollectorSpec(
         "locked_sessions_total", "locked_sessions", ("activity", "locks"), locks.locked_sessions_total,
-        metrics=_metrics(SERVER, (), locked_sessions_total="sessions"),
+        spine=True, metrics=_metrics(SERVER, (), locked_sessions_total="sessions"),
     ),
     CollectorSpec(
         "extended_locks", "extended_locked_sessions", ("activity", "locks", "pg_database"), locks.extended_locks,
@@ -106,7 +106,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     CollectorSpec(
         "replication_max_lag", "replication_monitor", ("stat_replication", "segment_config"),
         replication.replication_max_lag, on_error="empty",
-        metrics=_metrics(CLUSTER, (), replication_max_lag_bytes="max_lag_bytes"),
+        spine=True, metrics=_metrics(CLUSTER, (), replication_max_lag_bytes="max_lag_bytes"),
     ),
     CollectorSpec(
         "database_size", "database_size", ("database_size",), databases.database_size, ("datname",), absent="nan",
@@ -114,7 +114,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "database_size_totals", "database_size", ("database_size",), databases.database_size_totals,
-        metrics=(
+        spine=True, metrics=(
             MetricSpec("total_database_size_mb", "total_mb", (), HOST),
             MetricSpec("database_count", "databases", (), SERVER),
         ),
@@ -144,7 +144,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "vacuum_running_flag", "vacuum_running", ("activity",), sessions.vacuum_running_flag,
-        metrics=_metrics(SERVER, (), vacuum_running="running"),
+        spine=True, metrics=_metrics(SERVER, (), vacuum_running="running"),
     ),
     CollectorSpec(
         "table_health", "table_health", ("bloat_diag", "skew_coefficients"), tablehealth.table_health,
@@ -161,7 +161,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "disk_skew", "disk_per_host", ("disk_usage",), hosts.disk_skew, on_error="continue",
-        metrics=tuple(m for measure in hosts.DISK_MEASURES for m in _skew_metrics(measure)),
+        spine=True, metrics=tuple(m for measure in hosts.DISK_MEASURES for m in _skew_metrics(measure)),
     ),
     CollectorSpec(
         "spill_per_host", "spill_per_host", ("workfile_usage", "segment_config"), hosts.spill_per_host, ("hostname",),
@@ -169,7 +169,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "spill_skew", "spill_per_host", ("workfile_usage", "segment_config"), hosts.spill_skew,
-        metrics=_skew_metrics("spill_usage"),
+        spine=True, metrics=_skew_metrics("spill_usage"),
     ),
     CollectorSpec(
         "rsg_per_host", "rsg_per_host",
@@ -200,7 +200,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     CollectorSpec(
         "rsg_skew", "rsg_per_host",
         ("resgroup_status", "resgroup", "resgroup_host", "resgroup_config", "segment_config"),
-        resgroups.rsg_skew, metrics=(*_skew_metrics("mem_usage"), *_skew_metrics("cpu_usage")),
+        resgroups.rsg_skew, spine=True, metrics=(*_skew_metrics("mem_usage"), *_skew_metrics("cpu_usage")),
     ),
     CollectorSpec(
         "backup_metrics", "backup_history", ("backups",), backups.backup_metrics,

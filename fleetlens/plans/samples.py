@@ -31,7 +31,8 @@ class CollectorSpec:
     Users register their own by building one of these; ``transform`` takes the input tables by name.
     ``collector`` names the switch that turns it on, ``absent`` what a metric shows once its entity is gone
     (``remove``, ``nan``, ``zero`` or None for figures that always exist), ``on_error`` whether a failure stops
-    the run (``fail``), leaves the collector out (``continue``) or yields an empty snapshot (``empty``).
+    the run (``fail``), leaves the collector out (``continue``) or yields an empty snapshot (``empty``). With
+    ``spine`` the transform also takes the list of all snapshots, to report zeros for those without any row.
     """
 
     name: str
@@ -43,8 +44,14 @@ class CollectorSpec:
     absent: str | None = None
     on_error: str = "fail"
     group: str = "general"
+    spine: bool = False
     to_samples: Callable[[DataFrame, str], DataFrame] | None = field(default=None, compare=False)
 
+    def build(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+        if self.spine and "snapshots" in tables:
+            return self.transform(tables, snapshots=tables["snapshots"])
+        return self.transform(tables)
+
 
 def label_map(labels: Sequence[tuple[str, str]]) -> Column:
     if not labels:

@@ -98,6 +98,14 @@ SELECT cluster, snapshot_ts, min(start_ts) AS postmaster_start,
                     ELSE 'PostgreSQL 12.12 (X Database 7.3.0+dev.840.g5 build 240+git) on x86_64' END AS version_banner
 FROM (SELECT concat('c', CAST(o_orderkey % 3 AS STRING)) AS cluster,
              date_trunc('month', o_orderdate) + INTERVAL '1' MONTH AS snapshot_ts, o_orderdate AS start_ts FROM {orders}) o
+GROUP BY cluster, snapshot_ts""",
+    # The same at every hour of the sessions.
+    "hourly_facts": f"""
+SELECT cluster, snapshot_ts, min(ts) - INTERVAL '90' MINUTE AS postmaster_start, max(ts) AS conf_load_time,
+       CAST(5 + count(*) AS INT) AS max_connections, CAST(count(*) AS INT) AS reachable_segments,
+       CASE cluster WHEN 'c1' THEN 'PostgreSQL 9.4.26 (X Database 6.27.1 build 1) on x86_64'
+                    ELSE 'PostgreSQL 12.12 (X Database 7.3.0 build 240) on x86_64' END AS version_banner
+FROM (SELECT {_EVENT_SCOPE}, ts FROM {{events}}) e
 GROUP BY cluster, snapshot_ts""",
     # Version banners on both sides of the oldest supported version, one cluster per customer.
     "version_banners": """

@@ -6,9 +6,14 @@ Spark side makes.
 
 from __future__ import annotations
 
+import re
+
 from fleetlens.operators.cluster import BANNER_PATTERN
+from fleetlens.plans import panels, registry
 from fleetlens.sources.fixtures import with_clause
-from fleetlens.suite.queries import MONTH_END, MONTH_START, RANGE_LOOKBACK, RANGE_STEP, VALUE_BANDS
+from fleetlens.suite.queries import (
+    MONTH_END, MONTH_START, PANEL_VARIABLES, RANGE_LOOKBACK, RANGE_STEP, VALUE_BANDS, panel_window,
+)
 
 EPOCH_NS = "(epoch_us({a}) - epoch_us({b})) / CAST(1000000 AS DOUBLE)"
 
@@ -214,14 +219,16 @@ def build() -> dict[str, str]:
     q = _q
     versions = _VERSION.format(source="version_banners")
     sql: dict[str, str] = {}
-    sql["cluster_state"] = q("cluster_facts segment_config stat_replication", _VERSION.format(source="cluster_facts"), f"""
+    state = f"""
 SELECT f.cluster, f.snapshot_ts, reachable_segments > 0 AS accessible, coalesce(version, 'unknown') AS version,
   coalesce((SELECT max(hostname) FROM segment_config s WHERE s.cluster = f.cluster AND content = -1 AND role = 'p'), 'unknown') AS master,
   coalesce((SELECT max(hostname) FROM segment_config s WHERE s.cluster = f.cluster AND content = -1 AND role = 'm'), '') AS standby,
   CAST(trunc({seconds('f.snapshot_ts', 'postmaster_start')}) AS BIGINT) AS uptime,
   CAST((SELECT count(*) FROM stat_replication r WHERE r.cluster = f.cluster AND r.snapshot_ts = f.snapshot_ts AND r.content = -1 AND r.state = 'streaming') AS DOUBLE) AS sync,
   coalesce(epoch_ms(conf_load_time) / CAST(1000 AS DOUBLE), 0) AS config_load_time, max_connections
-FROM ver f""")
+FROM ver f"""
+    for key, facts in (("cluster_state", "cluster_facts"), ("cluster_state_hourly", "hourly_facts")):
+        sql[key] = q(f"{facts} segment_config stat_replication", _VERSION.format(source=facts), state)
     sql["segment_health"] = q("segment_config", "", f"SELECT *, {_SEGMENT_CODES} FROM segment_config")
     sql["segment_counts"] = q("segment_config", "", """
 SELECT cluster, snapshot_ts, count(*) AS total, count(*) FILTER (WHERE lower(status) = 'u') AS up, count(*) FILTER (WHERE lower(status) = 'd') AS down
@@ -388,4 +395,76 @@ SELECT cluster, scrape_id, seq, collector, failed, count(*) FILTER (WHERE failed
 SELECT cluster, CAST(NULL AS VARCHAR) AS datname, 'general' AS run_group, unnest({_GENERAL!r}) AS collector FROM (SELECT DISTINCT cluster FROM event_snapshots)
 UNION ALL
 SELECT cluster, datname, 'per_db', unnest({_PER_DB!r}) FROM allowed WHERE (cluster, datname) IN {_LISTED}""")
+    sql.update({f"panel_{p.key}": panel_sql(sql, p) for p in panels.PANELS})
+    del sql["cluster_state_hourly"]
     return sql
+
+
+def _metric_sql(sql: dict[str, str], metric: str) -> tuple[str, dict[str, str]]:
+    """Source of a metric (cluster, ts, one column per label, value) and its labels."""
+    if metric == "up":
+        return f"SELECT cluster, start_ts AS ts, up AS value FROM ({sql['cluster_up']})", {}
+    spec, m = next((s, m) for s in registry.COLLECTORS for m in s.metrics if m.full_name("") == metric)
+    # Panels read session-based inputs where they exist; the full set of snapshots includes those with no sessions.
+    source = sql["cluster_state_hourly" if spec.name == "cluster_state" else spec.name]
+    labels = {name: f'CAST({column} AS VARCHAR)' for name, column in m.labels}
+    columns = "".join(f', coalesce({e}, \'unknown\') AS "{n}"' for n, e in labels.items())
+    value = "CASE WHEN accessible THEN 1 ELSE 0 END" if m.value == "accessible" else f'"{m.value}"'
+    return f"SELECT cluster, snapshot_ts AS ts{columns}, CAST({value} AS DOUBLE) AS value FROM ({source})", labels
+
+
+def _selected(sql: dict[str, str], metric: str, t: panels.Target, w: panels.Window, instant: bool) -> tuple[str, list[str]]:
+    source, labels = _metric_sql(sql, metric)
+    tests = [f"regexp_full_match(\"{name}\", '{PANEL_VARIABLES[variable]}')" for name, variable in t.filters]
+    where = f"WHERE {' AND '.join(tests)}" if tests else ""
+    steps = f"SELECT TIMESTAMP '{w.end}' AS step_at" if instant else (
+        f"SELECT unnest(generate_series(TIMESTAMP '{w.start}', TIMESTAMP '{w.end}', INTERVAL '{w.step_seconds}' SECOND)) AS step_at")
+    names = ["cluster", *labels]
+    key = ", ".join(f'"{n}"' for n in names)
+    return f"""SELECT {key}, step_at AS ts, value FROM (
+ SELECT m.*, s.step_at, row_number() OVER (PARTITION BY {key}, s.step_at ORDER BY m.ts DESC, value DESC) AS rn
+ FROM (SELECT * FROM ({source}) {where}) m JOIN ({steps}) s ON m.ts <= s.step_at AND m.ts > s.step_at - INTERVAL '{w.lookback_seconds}' SECOND) WHERE rn = 1""", names
+
+
+def _chain(value: str, p: panels.Panel) -> str:
+    bands = " ".join(f"WHEN {value} >= {bound} AND NOT isnan({value}) THEN '{colour}'" for colour, bound in reversed(p.bands[1:]))
+    band = f"CASE {bands} ELSE '{p.bands[0][0]}' END" if bands else f"'{p.bands[0][0]}'"
+    if not p.texts:
+        return f"{band} AS band"
+    return f"{band} AS band, {_text(value, dict(p.texts))} AS text"
+
+
+def panel_sql(sql: dict[str, str], p: panels.Panel) -> str:
+    w, instant = panel_window(p), p.kind == "table"
+    parts = []
+    names: list[str] = []
+    for t in p.targets:
+        body, names = _selected(sql, t.metric, t, w, instant)
+        if t.per:
+            other, _ = _selected(sql, t.per, t, w, instant)
+            body = f"SELECT a.cluster, a.ts, a.value / b.value * 100 AS value FROM ({body}) a JOIN ({other}) b USING (cluster, ts)"
+        if t.above is not None:
+            body = f"SELECT * FROM ({body}) WHERE value > {t.above} AND NOT isnan(value)"
+        if t.sum_by:
+            names = list(t.sum_by)
+            body = f"SELECT '' AS cluster, ts, {', '.join(names)}, round(sum(value), 6) AS value FROM ({body}) GROUP BY ALL"
+        if t.aggregate:
+            names = ["cluster"]
+            body = f"SELECT '' AS cluster, ts, {t.aggregate}(value) AS value FROM ({body}) GROUP BY ALL"
+        if t.top:
+            # Ties go by labels in name order.
+            ties = ", ".join(f'"{n}"' for n in ["cluster", *sorted(n for n in names if n != "cluster")])
+            body = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY value DESC, {ties}) AS rank FROM ({body})) WHERE rank <= 10"
+        if p.kind == "timeseries":
+            pieces = [f'"{x[2:-2]}"' if x.startswith("{{") else f"'{x}'" for x in re.split(r"(\{\{\w+\}\})", t.legend) if x]
+            body = f"SELECT cluster, ts, concat({', '.join(pieces)}) AS legend, value FROM ({body})"
+        parts.append(body)
+    if p.kind == "timeseries":
+        return f"SELECT *, {_chain('value', p)} FROM ({' UNION ALL '.join(parts)})"
+    if p.kind == "table":
+        columns = ", ".join('value AS "Value"' if c == "Value" else f'"{c}"' for c in p.columns)
+        return f"SELECT *, {_chain('\"Value\"', p)} FROM (SELECT {columns} FROM ({parts[0]}))"
+    fold = {"lastNotNull": "arg_max(value, ts)", "mean": "round(avg(value), 6)", "min": "min(value)"}[p.reducer]
+    labels = [n for n in names if n != "cluster"] if not p.targets[0].aggregate else []
+    text = f"concat_ws(',', {', '.join(f'concat(\'{n}=\', \"{n}\")' for n in sorted(labels))})" if labels else "''"
+    return f"SELECT *, {_chain('value', p)} FROM (SELECT cluster, {text} AS labels, {fold} AS value FROM ({parts[0]}) WHERE NOT isnan(value) GROUP BY cluster, {text})"

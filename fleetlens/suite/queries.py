@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,8 +12,8 @@ from fleetlens.operators import (
     backups, cluster, databases, hosts, lifecycle, locks, replication, resgroups, runlog, segments, series, sessions,
     tablehealth, vacuum,
 )
-from fleetlens.plans import registry
-from fleetlens.plans.samples import exposition_lines, spec_samples
+from fleetlens.plans import panels, registry
+from fleetlens.plans.samples import exposition_lines, spec_samples, to_samples
 from fleetlens.session import configure
 from fleetlens.sources.catalog import parse_disk_usage
 from fleetlens.sources.fixtures import derive
@@ -272,6 +273,57 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 
+# Time ranges that cover the whole of each group of inputs.
+MONTH = panels.Window(MONTH_START, MONTH_END, RANGE_STEP, RANGE_LOOKBACK)
+ONE_SNAPSHOT = panels.Window("2001-12-31 22:00:00", "2002-01-01 00:15:00", 900, 1800)
+ALL_MONTHS = panels.Window("1995-01-01 00:00:00", "2001-10-01 00:00:00", 10 * DAY, 31 * DAY)
+_WINDOWS = {
+    "cluster_segment": ONE_SNAPSHOT, "host_": ONE_SNAPSHOT, "server_database": ONE_SNAPSHOT, "database_": ONE_SNAPSHOT,
+    "server_table": ONE_SNAPSHOT, "cluster_replication": ALL_MONTHS,
+}
+PANEL_VARIABLES = {"cluster": "c[012]", "database": "db.*", "schema": ".*", "hostname": "h[0-4]", "role": "p|m"}
+
+
+def panel_window(p: panels.Panel) -> panels.Window:
+    return next((w for prefix, w in _WINDOWS.items() if p.targets[0].metric.startswith(prefix)), MONTH)
+
+
+def _metric_source(t: Inputs, metric: str) -> DataFrame:
+    """Samples of one metric, from the collector that makes it."""
+    if metric == "up":
+        return to_samples(cluster.cluster_up(t), [registry.UP], ts="start_ts")
+    spec, chosen = next((s, m) for s in registry.COLLECTORS for m in s.metrics if m.full_name("") == metric)
+    tables: dict[str, DataFrame] = {name: t[name] for name in spec.inputs if name not in ("cluster_facts", "stat_replication")}
+    if "activity" in spec.inputs or "locks" in spec.inputs:
+        tables["snapshots"] = t["event_snapshots"]
+    if spec.name == "cluster_state":
+        tables = {**_replication(t), "cluster_facts": t["hourly_facts"]}
+    elif spec.collector == "replication_monitor":
+        tables = _replication(t)
+    return to_samples(spec.build(tables), [chosen])
+
+
+def _panel(key: str) -> Callable[[Inputs], DataFrame]:
+    p = panels.panel(key)
+
+    def build(t: Inputs) -> DataFrame:
+        samples = reduce(DataFrame.unionByName, [_metric_source(t, m) for m in panels.panel_metrics(p)])
+        out = panels.run_panel(samples, p, panel_window(p), PANEL_VARIABLES)
+        if p.kind in ("stat", "gauge"):
+            out = out.withColumn("labels", labels_text())
+        if any(x.sum_by or x.aggregate == "avg" for x in p.targets):
+            out = _rounded(out, value=6)
+        if key == "dbhealth_avg_dead_ratio":
+            out = _rounded(out, value=9)
+        # The text of an unmapped number is engine-specific in its last digits.
+        return out if p.texts else out.drop("text")
+
+    return build
+
+
+_COLLECT.update({f"panel_{p.key}": _panel(p.key) for p in panels.PANELS})
+
+
 def series_text(value: str, texts: dict[int, str]) -> Column:
     from fleetlens.functions.scalars import value_text
 
