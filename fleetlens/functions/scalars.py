@@ -117,10 +117,25 @@ def num_to_lsn(col: Column | str) -> Column:
     return F.concat(F.hex(F.shiftright(n, 32)), F.lit("/"), F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
 
 
+def lsn_halves(col: Column | str) -> Column:
+    """Log position as a struct of its two halves, each a bigint."""
+    text = _c(col)
+    half = lambda side: F.conv(F.substring_index(text, "/", side), 16, 10).try_cast("long")
+    return F.struct(half(1).alias("high"), half(-1).alias("low"))
+
+
+def halves_lag(sent: Column, reached: Column) -> Column:
+    """Bytes between two positions given as halves; NULL and negative differences are 0.
+
+    Differences of halves stay in exact long arithmetic for any lag a bigint can hold, without decimals.
+    """
+    diff = (sent["high"] - reached["high"]) * F.lit(2**32) + (sent["low"] - reached["low"])
+    return F.greatest(F.coalesce(diff, F.lit(0).cast("long")), F.lit(0).cast("long"))
+
+
 def lag_bytes(sent: Column | str, reached: Column | str) -> Column:
     """Bytes still to go from ``reached`` to ``sent``; NULL and negative differences are 0."""
-    diff = (lsn_to_num(sent) - lsn_to_num(reached)).cast("long")
-    return F.greatest(F.coalesce(diff, F.lit(0).cast("long")), F.lit(0).cast("long"))
+    return halves_lag(lsn_halves(sent), lsn_halves(reached))
 
 
 # Fixed value: compact text timestamp of the backup history.

@@ -18,17 +18,16 @@ ABSENT_POLICIES = ("remove", "nan", "zero")
 
 
 def _marks(entities: DataFrame, keys: Sequence[str], spine: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
-    """Per (cluster, key, snapshot): was it there, was it there one snapshot earlier, and its payload."""
+    """Per (cluster, key, snapshot): was it there, was it there one snapshot earlier, and its payload.
+
+    Without payload the aggregation state is two flags, which hash aggregation updates in place.
+    """
     rows = entities.select(*SCOPE, *keys, *payload).join(spine, list(SCOPE))
-    here = F.struct(
-        F.col("snapshot_ts"), F.col("idx"), F.lit(True).alias("present"), F.struct(F.lit(1), *payload).alias("data")
-    )
-    data_type = rows.select(F.struct(F.lit(1), *payload).alias("data")).schema["data"].dataType
+    data = [F.struct(*payload).alias("data")] if payload else []
+    no_data = [F.lit(None).cast(rows.select(*data).schema["data"].dataType).alias("data")] if payload else []
+    here = F.struct("snapshot_ts", "idx", F.lit(True).alias("present"), *data)
     later = F.struct(
-        F.col("next_ts").alias("snapshot_ts"),
-        (F.col("idx") + 1).alias("idx"),
-        F.lit(False).alias("present"),
-        F.lit(None).cast(data_type).alias("data"),
+        F.col("next_ts").alias("snapshot_ts"), (F.col("idx") + 1).alias("idx"), F.lit(False).alias("present"), *no_data
     )
     marks = rows.select(
         "cluster", *keys, "last_idx", F.explode(F.array(here, F.when(F.col("next_ts").isNotNull(), later))).alias("_m")
@@ -36,7 +35,7 @@ def _marks(entities: DataFrame, keys: Sequence[str], spine: DataFrame, payload:
     return marks.groupBy("cluster", *keys, "_m.snapshot_ts", "_m.idx", "last_idx").agg(
         F.max("_m.present").alias("_present"),
         F.max(~F.col("_m.present")).alias("_before"),
-        F.max("_m.data").alias("_data"),
+        *([F.max("_m.data").alias("_data")] if payload else []),
     )
 
 

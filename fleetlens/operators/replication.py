@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.functions.scalars import (
-    ROLE_PRIMARY, blank_or_unknown, either_column, lag_bytes, replication_state_code, scope_tag, sync_state_code,
+    ROLE_PRIMARY, blank_or_unknown, either_column, halves_lag, lsn_halves, replication_state_code, scope_tag,
+    sync_state_code,
 )
 from fleetlens.functions.scope import SCOPE, fill_snapshots, scope_of
 
@@ -25,34 +26,38 @@ def union_sources(coordinator: DataFrame, segments: DataFrame) -> DataFrame:
     return tagged.unionByName(segments, allowMissingColumns=True)
 
 
-def _shipping_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+def _per_content(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per content and host: the shipper that represents it and the worst replay lag of all its shippers.
+
+    Shippers are reduced before they meet the primaries: ``max_by`` combines on the map side (ranking them in a window
+    would sort a hot content whole in one task), and the result is already partitioned by the join key.
+    """
     replication, segments = tables["stat_replication"], tables["segment_config"]
     scope = scope_of(replication, segments)
     primaries = segments.filter(F.col("role") == ROLE_PRIMARY).select(*scope, "content", "hostname")
-    shipping = normalise_positions(replication.filter(F.col("state").isin("streaming", "catchup"))).select(
+    named = ["application_name", "state", "sync_state"]
+    lags = [f"{p}_lag_bytes" for p in POSITIONS[1:]]
+    # Positions are parsed in a step of their own, so that the sent one is parsed once and not per lag.
+    parsed = normalise_positions(replication.filter(F.col("state").isin("streaming", "catchup"))).select(
+        *SCOPE, "content", *named, *[lsn_halves(f"{p}_lsn").alias(p) for p in POSITIONS]
+    )
+    shipping = parsed.select(
         *SCOPE,
         "content",
-        "application_name",
-        "state",
-        "sync_state",
-        *[lag_bytes("sent_lsn", f"{p}_lsn").alias(f"{p}_lag_bytes") for p in POSITIONS[1:]],
+        *named,
+        *[halves_lag(F.col("sent"), F.col(p)).alias(f"{p}_lag_bytes") for p in POSITIONS[1:]],
+    )
+    # Of several shippers the greatest application name stays, NULL last; the rest of the order only settles ties.
+    order = F.struct(F.col("application_name").isNull(), "application_name", *reversed(lags), "state", "sync_state")
+    reduced = shipping.groupBy(*SCOPE, "content").agg(
+        F.max_by(F.struct(*named, *lags), order).alias("_r"), F.max("replay_lag_bytes").alias("_worst")
     )
-    return shipping.join(primaries, [*scope, "content"])
+    return reduced.join(primaries, [*scope, "content"])
 
 
 def replication_lag(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Lag per (content, host). Of several shippers the one with the greatest application name stays, NULL last.
-
-    ``max_by`` reduces a hot key on the map side, where ranking it in a window would sort it whole in one task.
-    """
-    rows = _shipping_rows(tables)
-    payload = ["application_name", "state", "sync_state", *[f"{p}_lag_bytes" for p in POSITIONS[1:]]]
-    order = F.struct(
-        F.col("application_name").isNull(),
-        "application_name", "replay_lag_bytes", "flush_lag_bytes", "write_lag_bytes", "state", "sync_state",
-    )
-    last = rows.groupBy(*SCOPE, "content", "hostname").agg(F.max_by(F.struct(*payload), order).alias("_r"))
-    return last.select(*SCOPE, "content", "hostname", "_r.*").select(
+    """Lag per (content, host)."""
+    return _per_content(tables).select(*SCOPE, "content", "hostname", "_r.*").select(
         *SCOPE,
         scope_tag("content").alias("scope"),
         "content",
@@ -66,7 +71,7 @@ def replication_lag(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def replication_max_lag(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:
     """Largest replay lag over all shippers, also those that share a key."""
-    worst = _shipping_rows(tables).groupBy(*SCOPE).agg(
-        F.greatest(F.max("replay_lag_bytes"), F.lit(0)).cast("double").alias("max_lag_bytes")
+    worst = _per_content(tables).groupBy(*SCOPE).agg(
+        F.greatest(F.max("_worst"), F.lit(0)).cast("double").alias("max_lag_bytes")
     )
     return fill_snapshots(worst, snapshots, {"max_lag_bytes": 0.0})

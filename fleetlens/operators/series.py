@@ -1,6 +1,6 @@
 """Time-series operators over ``samples(cluster, ts, metric, labels, value)``.
 
-A series is (cluster, metric, labels). Label maps are grouped through their sorted entries, which is exact for any
+A series is (cluster, metric, labels) and has at most one sample per instant. Label maps are grouped through their sorted entries, which is exact for any
 labels. The cluster is a column and is treated as one more label by the matchers.
 """
 
@@ -49,15 +49,24 @@ def time_range(samples: DataFrame, end: dt.datetime | str, seconds: int, ts: str
 
 
 def instant_select(samples: DataFrame, at: dt.datetime | str, lookback_seconds: int = LOOKBACK_SECONDS) -> DataFrame:
-    """Latest sample of each series in ``(at - lookback, at]``; two at one instant give the greater value."""
+    """Latest sample of each series in ``(at - lookback, at]``.
+
+    ``max_by`` over plain columns keeps its state in fixed-width buffers, so this is a hash aggregation.
+    """
     stop = F.lit(at).cast("timestamp")
     start = stop - F.make_dt_interval(secs=F.lit(lookback_seconds))
     latest = (
         _with_key(samples.filter((F.col("ts") > start) & (F.col("ts") <= stop)))
         .groupBy(*_SERIES)
-        .agg(F.max(F.struct("ts", "value")).alias("_s"))
+        .agg(F.max_by("value", "ts").alias("value"))
     )
-    return _from_key(latest, stop.alias("ts"), F.col("_s.value").alias("value"))
+    return _from_key(latest, stop.alias("ts"), "value")
+
+
+def _floor_div(dividend: Column, divisor: int) -> Column:
+    """Whole-number division toward minus infinity, exact in longs."""
+    by = F.lit(divisor).cast("long")
+    return F.call_function("div", dividend - F.pmod(dividend, by), by)
 
 
 def range_select(
@@ -76,33 +85,31 @@ def range_select(
     to_us = 1_000_000
     step, hold = step_seconds * to_us, lookback_seconds * to_us
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    first_us, last_us = F.unix_micros(first), F.unix_micros(last)
-    ts_us = F.unix_micros("ts")
+    first_us = F.unix_micros(first)
+    last_step = _floor_div(F.unix_micros(last) - first_us, step)
+    since_us = F.unix_micros("ts") - first_us
     # Number of the first step at or after the sample; samples before the range fall on step 0.
-    behind = F.ceil((ts_us - first_us) / F.lit(step)).cast("long")
-    step_no = F.greatest(behind, F.lit(0).cast("long"))
-    # Last step that still sees the sample: strictly less than lookback later.
-    reach = F.floor((ts_us + F.lit(hold) - first_us - 1) / F.lit(step)).cast("long")
+    step_no = F.greatest(_floor_div(since_us + (step - 1), step), F.lit(0).cast("long"))
+    # Last step that still sees a sample: strictly less than lookback later.
+    reach = _floor_div(since_us + (hold - 1), step)
     in_range = samples.filter(
         (F.col("ts") > first - F.make_dt_interval(secs=F.lit(lookback_seconds))) & (F.col("ts") <= last)
     )
     reduced = (
         _with_key(in_range)
-        .withColumns({"_step": step_no, "_reach": reach})
-        .filter(F.col("_reach") >= F.col("_step"))
+        .withColumn("_step", step_no)
         .groupBy(*_SERIES, "_step")
-        .agg(F.max(F.struct("ts", "value", "_reach")).alias("_s"))
+        .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
     )
-    last_step = F.floor((last_us - first_us) / F.lit(step)).cast("long")
     following = F.lead("_step").over(Window.partitionBy(*_SERIES).orderBy("_step"))
-    until = F.least(F.coalesce(following - 1, last_step), F.col("_s._reach"), last_step)
+    until = F.least(F.coalesce(following - 1, last_step), reach, last_step)
     spread = (
         reduced.withColumn("_until", until)
         .filter(F.col("_until") >= F.col("_step"))
         .withColumn("_at", F.explode(F.sequence("_step", "_until")))
     )
     at = F.timestamp_micros(first_us + F.col("_at") * F.lit(step))
-    return _from_key(spread, at.alias("ts"), F.col("_s.value").alias("value"))
+    return _from_key(spread, at.alias("ts"), "value")
 
 
 def topk_series(vector: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -181,10 +188,9 @@ REDUCERS = ("lastNotNull", "last", "max", "mean", "min", "sum")
 def reduce_series(samples: DataFrame, reducers: Sequence[str] = REDUCERS) -> DataFrame:
     """One row per series. All reducers but ``last`` pass over NaN; a series of nothing but NaN gives NULL."""
     number = F.when(~F.isnan("value"), F.col("value"))
-    latest = F.struct("ts", "value")
     aggregates = {
-        "lastNotNull": F.max(F.when(number.isNotNull(), latest))["value"],
-        "last": F.max(latest)["value"],
+        "lastNotNull": F.max_by("value", F.when(number.isNotNull(), F.col("ts"))),
+        "last": F.max_by("value", "ts"),
         "max": F.max(number),
         "mean": F.avg(number),
         "min": F.min(number),
