@@ -1,0 +1,22 @@
+"""Physical plans of all registered queries: nothing that cannot grow."""
+
+import pytest
+
+import __spark_entry__ as driver
+
+QUERIES = driver.queries()
+# Without size-checked broadcasts, so the plan is the one large inputs get.
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "SinglePartition")
+
+
+@pytest.fixture(scope="module", autouse=True)
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_scales(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in FORBIDDEN if f in plan], plan
