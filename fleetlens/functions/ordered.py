@@ -1,7 +1,7 @@
 """Ordered computations over long per-key histories.
 
-A plain window over one key puts that key's whole history into one task. Here a history is cut into chunks
-(days by default): windows run inside a chunk, one summary row per chunk is carried across chunks, and the two
+A plain window over one key puts that key's whole history into one task. Here a history is cut into chunks (days,
+hours or blocks of numbers, as the caller says): windows run inside a chunk, one summary row per chunk is carried across chunks, and the two
 are joined. A key that holds a third of all rows is then spread over as many tasks as it has chunks, and the only
 per-key window runs over the chunk summaries.
 """
@@ -20,6 +20,18 @@ def day_chunk(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
+def hour_chunk(ts: str) -> Column:
+    return F.date_trunc("hour", F.col(ts))
+
+
+# Numbers per block of an ordinal. Blocks keep both the rows of a window and the arrays of an expansion short.
+BLOCK = 4096
+
+
+def block_chunk(number: str) -> Column:
+    return F.floor(F.col(number) / F.lit(BLOCK))
+
+
 def _carry_join(inner: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     return inner.join(carry, [*keys, _CHUNK], "left")
 
@@ -60,6 +72,29 @@ def fill_forward(
     )
 
 
+def next_in_order(df: DataFrame, keys: Sequence[str], order: str, out: str, chunk: Column) -> DataFrame:
+    """The following value of ``order`` within the key, NULL at the end. ``order`` must be unique per key."""
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(order)
+    inner = df.withColumn(_CHUNK, chunk).withColumn("_in_next", F.lead(order).over(inside))
+    firsts = inner.groupBy(*keys, _CHUNK).agg(F.min(order).alias("_first"))
+    across = Window.partitionBy(*keys).orderBy(_CHUNK)
+    carry = firsts.select(*keys, _CHUNK, F.lead("_first").over(across).alias("_next_first"))
+    joined = _carry_join(inner, carry, keys)
+    return joined.select(*[F.col(c) for c in df.columns], F.coalesce("_in_next", "_next_first").alias(out))
+
+
+def expand_range(df: DataFrame, low: str, high: str, out: str) -> DataFrame:
+    """One row for each number from ``low`` to ``high``, block by block, so no long array is ever built."""
+    keep = [c for c in df.columns if c not in (low, high)]
+    first_block, last_block = block_chunk(low), block_chunk(high)
+    blocks = df.filter(F.col(low) <= F.col(high)).select(
+        *keep, low, high, F.explode(F.sequence(first_block, last_block)).alias("_block")
+    )
+    start = F.greatest(F.col(low), F.col("_block") * BLOCK)
+    stop = F.least(F.col(high), F.col("_block") * BLOCK + (BLOCK - 1))
+    return blocks.select(*keep, F.explode(F.sequence(start, stop)).alias(out))
+
+
 def snapshot_spine(snapshots: DataFrame, key: str = "cluster", ts: str = "snapshot_ts") -> DataFrame:
     """Distinct snapshots of each cluster, numbered: ``cluster, snapshot_ts, idx, next_ts, last_idx``."""
     spine = snapshots.select(key, ts).distinct().withColumn(_CHUNK, day_chunk(ts))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.functions.ordered import day_chunk, fill_forward, snapshot_spine
+from fleetlens.functions.ordered import (
+    block_chunk, day_chunk, expand_range, fill_forward, next_in_order, snapshot_spine,
+)
 from fleetlens.functions.scope import SCOPE
 
 ABSENT_POLICIES = ("remove", "nan", "zero")
@@ -77,13 +79,14 @@ def absent_policy(
     fill = F.lit(float("nan") if policy == "nan" else 0.0)
     spine = snapshot_spine(entities if snapshots is None else snapshots)
     turns = _marks(entities, keys, spine).withColumn("change", _change()).filter(F.col("change") != "kept")
-    # Turns alternate between new and deleted and are far fewer than rows.
-    turn_order = Window.partitionBy("cluster", *keys).orderBy("idx")
-    gaps = (
-        turns.withColumn("_until", F.coalesce(F.lead("idx").over(turn_order) - 1, F.col("last_idx")))
-        .filter(F.col("change") == "deleted")
-        .select("cluster", *keys, F.explode(F.sequence("idx", "_until")).alias("idx"))
+    # Turns alternate between new and deleted, so an absence ends right before the turn that follows it.
+    followed = next_in_order(
+        turns.select("cluster", *keys, "idx", "last_idx", "change"), ["cluster", *keys], "idx", "_turn", block_chunk("idx")
     )
+    absences = followed.filter(F.col("change") == "deleted").select(
+        "cluster", *keys, "idx", F.coalesce(F.col("_turn") - 1, F.col("last_idx")).alias("_until")
+    )
+    gaps = expand_range(absences, "idx", "_until", "idx")
     absent = gaps.join(spine.select("cluster", "idx", "snapshot_ts"), ["cluster", "idx"]).select(
         *SCOPE, *keys, *[fill.alias(v) for v in values]
     )

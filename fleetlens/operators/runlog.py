@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fleetlens.functions.ordered import day_chunk, fill_forward, running_sum
+from fleetlens.functions.ordered import fill_forward, hour_chunk, running_sum
 from fleetlens.functions.scalars import elapsed_s
 
 # Default limits of the scrape loop.
@@ -30,7 +30,7 @@ def scrape_staleness(
     )
     line = ticks.unionByName(asks)
     scrape = F.when(F.col("_side") == 0, F.col("_ts"))
-    filled = fill_forward(line, ["cluster"], ["_ts", "_side"], {"scrape_ts": scrape}, day_chunk("_ts"))
+    filled = fill_forward(line, ["cluster"], ["_ts", "_side"], {"scrape_ts": scrape}, hour_chunk("_ts"))
     age = elapsed_s("_ts", "scrape_ts")
     return filled.filter(F.col("_side") == 1).select(
         "cluster",
@@ -91,7 +91,7 @@ def run_counters(tables: Mapping[str, DataFrame]) -> DataFrame:
             "scraped_total": F.lit(1).cast("long"),
             "failed_total": F.when(F.col("successful"), F.lit(0)).otherwise(F.lit(1)).cast("long"),
         },
-        day_chunk("start_ts"),
+        hour_chunk("start_ts"),
     )
     return counted.select("cluster", "scrape_id", "start_ts", "scraped_total", "failed_total")
 

@@ -42,18 +42,19 @@ class Tracked:
 
 
 def announced(manifest: DataFrame) -> DataFrame:
-    """Distinct successful snapshots of a batch, with their landing day so that joins prune folders."""
-    good = manifest.filter(F.coalesce("ok", F.lit(True)))
-    return good.select(*SCOPE, F.to_date("snapshot_ts").alias(DATE_COLUMN)).distinct()
+    """Distinct successful snapshots of a batch."""
+    return manifest.filter(F.coalesce("ok", F.lit(True))).select(*SCOPE).distinct()
 
 
 def snapshot_tables(spark: SparkSession, landing: str, names: Iterable[str], snapshots: DataFrame) -> dict[str, DataFrame]:
-    """Landed rows of the given snapshots; the day in the join key prunes folders at run time."""
-    keys = [DATE_COLUMN, *SCOPE]
-    return {
-        name: read_landed(spark, landing, name).join(snapshots.select(*keys), keys, "left_semi").drop(DATE_COLUMN)
-        for name in names
-    }
+    """Landed rows of the given snapshots. Their first and last day go into the plan, so other folders are not listed."""
+    first, last = snapshots.agg(F.min(F.to_date("snapshot_ts")), F.max(F.to_date("snapshot_ts"))).first()
+    tables = {}
+    for name in names:
+        rows = read_landed(spark, landing, name, first, last)
+        rows = rows.filter(F.lit(False)) if first is None else rows
+        tables[name] = rows.join(snapshots, list(SCOPE), "left_semi").drop(DATE_COLUMN)
+    return tables
 
 
 def _slot(root: str, name: str, batch_id: int) -> str:
@@ -77,15 +78,14 @@ def advance_entities(
     """
     keys = list(tracked.spec.keys)
     columns = list(tracked.columns)
-    current = entities.select(*columns).join(fresh.select(*SCOPE), list(SCOPE), "left_semi")
+    current = entities.select(*columns)
     history = previous.select(*columns).unionByName(current)
-    spine = seen.select(*SCOPE).unionByName(fresh.select(*SCOPE))
-    new_only = fresh.select(*SCOPE)
-    changes = entity_changes(history, keys, spine).join(new_only, list(SCOPE), "left_semi")
+    spine = seen.unionByName(fresh)
+    changes = entity_changes(history, keys, spine).join(fresh, list(SCOPE), "left_semi")
     pinned_all = pinned_labels(history, keys, tracked.labels, snapshots=spine) if tracked.labels else history
     last = spine.groupBy("cluster").agg(F.max("snapshot_ts").alias("snapshot_ts"))
     live = pinned_all.join(last, list(SCOPE), "left_semi").select(*columns)
-    return changes, pinned_all.join(new_only, list(SCOPE), "left_semi"), live
+    return changes, pinned_all.join(fresh, list(SCOPE), "left_semi"), live
 
 
 def collect_batch(
@@ -105,13 +105,14 @@ def collect_batch(
     Snapshots not later than the last one processed for their cluster are ignored.
     """
     all_new = announced(manifest)
-    seen = _previous(spark, state, "seen", batch_id, all_new.select(*SCOPE))
+    seen = _previous(spark, state, "seen", batch_id, all_new)
     last = seen.withColumnRenamed("snapshot_ts", "_last")
-    fresh = all_new.join(last, "cluster", "left").filter(F.col("_last").isNull() | (F.col("snapshot_ts") > F.col("_last"))).drop("_last")
+    is_new = F.col("_last").isNull() | (F.col("snapshot_ts") > F.col("_last"))
+    fresh = all_new.join(last, "cluster", "left").filter(is_new).select(*SCOPE)
 
     inputs = sorted({t for s in (*specs, *(x.spec for x in tracked)) for t in s.inputs})
     tables: dict[str, DataFrame] = snapshot_tables(spark, landing, inputs, fresh)
-    tables["snapshots"] = fresh.select(*SCOPE)
+    tables["snapshots"] = fresh
     samples = collect_samples(tables, specs, namespace).withColumn("date", F.to_date("ts"))
     samples.hint("rebalance", "date", "metric").write.mode("overwrite").partitionBy("date", "metric").parquet(
         f"{out}/samples/batch={batch_id}"
@@ -125,7 +126,7 @@ def collect_batch(
         if one.labels:
             pinned.write.mode("overwrite").parquet(f"{out}/pinned/{name}/batch={batch_id}")
         live.write.mode("overwrite").parquet(_slot(state, name, batch_id))
-    after = seen.unionByName(fresh.select(*SCOPE)).groupBy("cluster").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    after = seen.unionByName(fresh).groupBy("cluster").agg(F.max("snapshot_ts").alias("snapshot_ts"))
     if retain_days is not None:
         # Clusters that stopped reporting long ago leave the state.
         newest = after.agg(F.max("snapshot_ts")).first()[0]

@@ -265,6 +265,7 @@ UNION ALL
 SELECT {key}, 'lock_wait_max_wait_seconds' AS metric, CAST(trunc(coalesce(max(wait_us), 0) / CAST(1000000 AS DOUBLE)) AS BIGINT) AS value FROM waiting GROUP BY 1, 2, 3, 4, 5, 6""")
     sql["replication_lag"] = q("stat_replication segment_config", _SHIP, "SELECT * FROM lag")
     sql["replication_max_lag"] = q("stat_replication segment_config", _SHIP, "SELECT cluster, snapshot_ts, CAST(max(replay_lag_bytes) AS DOUBLE) AS max_lag_bytes FROM ship GROUP BY 1, 2")
+    sql["union_sources"] = q("stat_replication", "", "SELECT cluster, content, state, count(*) AS shippers FROM stat_replication GROUP BY 1, 2, 3")
     size = "CAST(floor(bytes / CAST(1048576 AS DOUBLE)) AS DOUBLE)"
     sql["database_size"] = q("database_size", "", f"SELECT cluster, snapshot_ts, datname, {size} AS size_mb FROM database_size")
     sql["database_size_totals"] = q("database_size", "", f"SELECT cluster, snapshot_ts, sum({size}) AS total_mb, count(*) AS databases FROM database_size GROUP BY 1, 2")

@@ -100,6 +100,13 @@ def _cluster_tables(t: Inputs) -> dict[str, DataFrame]:
     return {**_replication(t), "cluster_facts": t["cluster_facts"]}
 
 
+def _union_sources(t: Inputs) -> DataFrame:
+    """Coordinator rows without their tag, and segment rows with theirs, put together again."""
+    rows = t["stat_replication"]
+    both = replication.union_sources(rows.filter("content = -1").drop("content"), rows.filter("content >= 0"))
+    return both.groupBy("cluster", "content", "state").agg(F.count(F.lit(1)).alias("shippers"))
+
+
 def _instant(t: Inputs) -> DataFrame:
     return series.instant_select(t["metric_samples"], MONTH_END, 32 * DAY)
 
@@ -190,6 +197,7 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     # replication
     "replication_lag": lambda t: replication.replication_lag(_replication(t)),
     "replication_max_lag": lambda t: replication.replication_max_lag(_replication(t)),
+    "union_sources": _union_sources,
     # databases and tables
     "database_size": lambda t: databases.database_size(t),
     "database_size_totals": lambda t: databases.database_size_totals(t),

@@ -107,6 +107,27 @@ def test_extended_locks_counts_joined_rows(spark):
     ]
 
 
+def test_hot_session_never_fans_out(spark):
+    """One session with 3000 waiting locks and 3000 backends: nine million joined rows, counted without making them."""
+    n = 3000
+    base = spark.range(n).select(F.lit("c").alias("cluster"), F.lit(T0).alias("snapshot_ts"), F.col("id").alias("pid"))
+    t = {
+        "locks": base.select("*", F.lit("relation").alias("locktype"), F.lit("m").alias("mode"), F.lit(1).alias("database"), F.lit(False).alias("granted"), F.lit(0).alias("gp_segment_id"), F.lit(7).alias("mppsessionid")),
+        "activity": base.select("*", F.lit(7).alias("sess_id"), F.lit(T0).alias("query_start")),
+        "pg_database": spark.createDataFrame([(1, "one")], "oid bigint, datname string"),
+    }
+    got = {r.metric: r.value for r in locks.extended_locks(t).collect()}
+    assert got == {"lock_waiting_queries": n * n, "lock_wait_max_wait_seconds": 0}
+
+
+def test_long_absence_is_expanded_in_blocks(spark):
+    days = 9000
+    spine = spark.range(days).select(F.lit("c").alias("cluster"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id"))).alias("snapshot_ts"))
+    e = spark.createDataFrame([("c", T0, "x", 1.0)], SCOPED + "k string, v double")
+    shown = lifecycle.absent_policy(e, ["k"], ["v"], "zero", spine)
+    assert shown.count() == days and shown.select("snapshot_ts").distinct().count() == days and shown.agg(F.sum("v")).first()[0] == 1.0
+
+
 def test_cluster_state_defaults(spark):
     facts = spark.createDataFrame(
         [("a", T0, None, at(-10.7), None, 100, 3), ("b", T0, "x", None, at(0.25), None, None)],
