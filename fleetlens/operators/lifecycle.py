@@ -8,6 +8,7 @@ cluster, so neither a cluster nor an entity with a very long history ends up in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -126,8 +127,8 @@ def pinned_labels(
 
 def validate_entities(entities: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Rows that break the entity contract, with the reason; empty when all is well."""
-    no_key = F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x)
-    no_value = F.forall(F.array(*[F.col(v).isNull() for v in values]), lambda x: x)
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    no_value = reduce(Column.__and__, [F.col(v).isNull() for v in values])
     return entities.withColumn(
         "problem", F.when(no_key, F.lit("null key")).when(no_value, F.lit("null value"))
     ).filter(F.col("problem").isNotNull())

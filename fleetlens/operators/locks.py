@@ -40,16 +40,17 @@ def locked_sessions(tables: Mapping[str, DataFrame]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("granted")).alias("_ungranted"))
     )
     pairs = F.col("_ungranted") * F.col("_old") + F.col("_all") * F.col("_new")
-    raw = (
+    # Blank, NULL and literal 'unknown' types share a key; the source reads them in type order and the last one wins.
+    kind = F.col("locktype")
+    missing, blank = F.sum(F.when(kind.isNull(), pairs)), F.sum(F.when(kind == "", pairs))
+    named = F.sum(F.when(kind != "", pairs))
+    none = F.lit(0)
+    return (
         locks.join(sessions, [*SCOPE, "pid"])
-        .groupBy(*SCOPE, "locktype")
-        .agg(F.sum(pairs).alias("sessions"))
+        .groupBy(*SCOPE, blank_or_unknown("locktype").alias("lock_type"))
+        .agg(F.coalesce(F.nullif(missing, none), F.nullif(named, none), blank).alias("sessions"))
         .filter(F.col("sessions") > 0)
     )
-    # Blank, NULL and literal 'unknown' types share a key; the source reads them in type order and the last one wins.
-    return raw.groupBy(*SCOPE, blank_or_unknown("locktype").alias("lock_type")).agg(
-        F.max_by("sessions", F.struct(F.col("locktype").isNull(), F.col("locktype"))).alias("sessions")
-    )
 
 
 def locks_waiting_count(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:

@@ -7,11 +7,13 @@ labels. The cluster is a column and is treated as one more label by the matchers
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LOOKBACK_SECONDS = 300
+_PLAIN_NAMES = re.compile(r"[\w-]+(\|[\w-]+)*")
 _SERIES = ("cluster", "metric", "_labels")
 
 
@@ -34,18 +36,37 @@ def _from_key(df: DataFrame, *rest: str) -> DataFrame:
 
 
 def match_labels(samples: DataFrame, matchers: Mapping[str, str] | None = None, metric: str | None = None) -> DataFrame:
-    """Keep a metric and the series whose labels match anchored regular expressions (``.*`` matches all)."""
+    """Keep a metric and the series whose labels match anchored regular expressions (``.*`` matches all).
+
+    Plain names, alone or separated by ``|``, become a list test, which reaches the scan for the cluster column.
+    """
     out = samples if metric is None else samples.filter(F.col("metric") == metric)
     for name, pattern in (matchers or {}).items():
-        if pattern not in (".*", "$__all"):
+        if pattern in (".*", "$__all"):
+            continue
+        if _PLAIN_NAMES.fullmatch(pattern):
+            out = out.filter(label(name).isin(pattern.split("|")))
+        else:
             out = out.filter(label(name).rlike(f"^(?:{pattern})$"))
     return out
 
 
-def time_range(samples: DataFrame, end: dt.datetime | str, seconds: int, ts: str = "ts") -> DataFrame:
+def _within(samples: DataFrame, after: Column, until: Column, closed: bool = False) -> DataFrame:
+    """Samples in ``(after, until]``, or ``[after, until]`` when closed.
+
+    History tables are foldered by ``date``; the same bounds on it leave other folders unread.
+    """
+    low = F.col("ts") >= after if closed else F.col("ts") > after
+    kept = samples.filter(low & (F.col("ts") <= until))
+    if "date" in samples.columns:
+        kept = kept.filter((F.col("date") >= after.cast("date")) & (F.col("date") <= until.cast("date")))
+    return kept
+
+
+def time_range(samples: DataFrame, end: dt.datetime | str, seconds: int) -> DataFrame:
     """Samples of the last ``seconds`` up to ``end``. Plain bounds on ``ts``, so they reach the scan."""
     stop = F.lit(end).cast("timestamp")
-    return samples.filter((F.col(ts) >= stop - F.make_dt_interval(secs=F.lit(seconds))) & (F.col(ts) <= stop))
+    return _within(samples, stop - F.make_dt_interval(secs=F.lit(seconds)), stop, closed=True)
 
 
 def instant_select(samples: DataFrame, at: dt.datetime | str, lookback_seconds: int = LOOKBACK_SECONDS) -> DataFrame:
@@ -56,7 +77,7 @@ def instant_select(samples: DataFrame, at: dt.datetime | str, lookback_seconds:
     stop = F.lit(at).cast("timestamp")
     start = stop - F.make_dt_interval(secs=F.lit(lookback_seconds))
     latest = (
-        _with_key(samples.filter((F.col("ts") > start) & (F.col("ts") <= stop)))
+        _with_key(_within(samples, start, stop))
         .groupBy(*_SERIES)
         .agg(F.max_by("value", "ts").alias("value"))
     )
@@ -92,9 +113,7 @@ def range_select(
     step_no = F.greatest(_floor_div(since_us + (step - 1), step), F.lit(0).cast("long"))
     # Last step that still sees a sample: strictly less than lookback later.
     reach = _floor_div(since_us + (hold - 1), step)
-    in_range = samples.filter(
-        (F.col("ts") > first - F.make_dt_interval(secs=F.lit(lookback_seconds))) & (F.col("ts") <= last)
-    )
+    in_range = _within(samples, first - F.make_dt_interval(secs=F.lit(lookback_seconds)), last)
     reduced = (
         _with_key(in_range)
         .withColumn("_step", step_no)

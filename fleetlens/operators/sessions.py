@@ -36,14 +36,13 @@ def connections_by_state(tables: Mapping[str, DataFrame]) -> DataFrame:
     reads states by falling count and the last row of a key wins.
     """
     client = (F.col("major") < 7) | (F.col("backend_type") == "client backend")
-    raw = (
+    named, unnamed = F.count("state"), F.count_if(F.col("state").isNull())
+    counted = F.when((named > 0) & (unnamed > 0), F.least(named, unnamed)).otherwise(named + unnamed)
+    return (
         tables["activity"]
         .filter(_not_own() & client)
-        .groupBy(*SCOPE, "state")
-        .agg(F.count(F.lit(1)).alias("connections"))
-    )
-    return (
-        raw.groupBy(*SCOPE, or_unknown("state").alias("state")).agg(F.min("connections").alias("connections"))
+        .groupBy(*SCOPE, or_unknown("state").alias("state"))
+        .agg(counted.alias("connections"))
     )
 
 

@@ -62,18 +62,29 @@ def label_map(labels: Sequence[tuple[str, str]]) -> Column:
 
 
 def to_samples(df: DataFrame, metrics: Sequence[MetricSpec], namespace: str = "fleet", ts: str = "snapshot_ts") -> DataFrame:
-    """``cluster, ts, metric, labels, value``: one row per entity and metric. Narrow, reads the input once."""
+    """``cluster, ts, metric, labels, value``: one row per entity and metric. Narrow, reads the input once.
+
+    Metrics with the same labels share one map, built before the rows are multiplied.
+    """
+    label_sets = list(dict.fromkeys(m.labels for m in metrics))
+    values = list(dict.fromkeys(m.value for m in metrics))
+    wide = df.select(
+        "cluster",
+        F.col(ts).alias("ts"),
+        *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)],
+        *[label_map(pairs).alias(f"_l{i}") for i, pairs in enumerate(label_sets)],
+    )
     rows = F.array(
         *[
             F.struct(
                 F.lit(m.full_name(namespace)).alias("metric"),
-                label_map(m.labels).alias("labels"),
-                F.col(m.value).cast("double").alias("value"),
+                F.col(f"_l{label_sets.index(m.labels)}").alias("labels"),
+                F.col(f"_v{values.index(m.value)}").alias("value"),
             )
             for m in metrics
         ]
     )
-    return df.select("cluster", F.col(ts).alias("ts"), F.explode(rows).alias("_m")).select("cluster", "ts", "_m.*")
+    return wide.select("cluster", "ts", F.explode(rows).alias("_m")).select("cluster", "ts", "_m.*")
 
 
 def metric_column_samples(

@@ -110,6 +110,19 @@ def test_samples_round_trip_and_lines(spark, tmp_path):
     assert lines[2] == 'ns_cluster_segment_status{cluster="c",content="-1",dbid="1",hostname="h",port="5",preferred_role="unknown",role="p"} 1.0'
 
 
+def test_history_reads_only_the_days_and_metric_it_needs(spark, tmp_path):
+    rows = [("c%d" % (i % 2), NOW + dt.timedelta(days=i), m, {"a": "b"}, float(i)) for i in range(5) for m in ("x", "y")]
+    ddl = "cluster string, ts timestamp, metric string, labels map<string,string>, value double"
+    catalog.write_samples(spark.createDataFrame(rows, ddl), str(tmp_path))
+    history = series.match_labels(catalog.read_samples(spark, str(tmp_path)), {"cluster": "c0|c9"}, "x")
+    got = series.range_select(history, "2024-01-03 00:00:00", "2024-01-03 00:10:00", 600)
+    assert [r.value for r in got.collect()] == [2.0]
+    scan = next(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    folders = scan.split("PartitionFilters:")[1].split("PushedFilters:")[0]
+    assert "date" in folders and "metric" in folders and "In(cluster" in scan
+    assert [r.value for r in series.time_range(history, "2024-01-03 00:00:00", 2 * 86400).orderBy("ts").collect()] == [0.0, 2.0]
+
+
 @pytest.mark.parametrize("value,text", [(float("nan"), "NaN"), (float("inf"), "+Inf"), (float("-inf"), "-Inf"), (1.5, "1.5")])
 def test_line_numbers_and_escapes(spark, value, text):
     df = spark.createDataFrame([("c", NOW, "m", {"a": 'q"\\\n'}, value), ("c", NOW, "m", {}, value)], "cluster string, ts timestamp, metric string, labels map<string,string>, value double")
