@@ -8,7 +8,8 @@ per-key window runs over the chunk summaries.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,55 +33,76 @@ def block_chunk(number: str) -> Column:
     return F.floor(F.col(number) / F.lit(BLOCK))
 
 
-def _carry_join(inner: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return inner.join(carry, [*keys, _CHUNK], "left")
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Rows with a key and a chunk. The test stands here because the join with the edges implies it for them; without it
+    the two sides would differ below their shuffle and each would run it."""
+    out = df.withColumn(_CHUNK, chunk)
+    return out.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, _CHUNK)]))
+
+
+def _edge_rows(inner: DataFrame, keys: Sequence[str], pick, order: Column) -> DataFrame:
+    """First or last whole row of each chunk, as ``_edge``.
+
+    The whole row is taken, though only some of its columns are needed: the rows and their edges then ask the shuffle
+    below them for the same columns, so Spark runs that shuffle, and all that feeds it, once and reads it twice.
+    """
+    rest = [c for c in inner.columns if c not in keys and c != _CHUNK]
+    return inner.groupBy(*keys, _CHUNK).agg(pick(F.struct(*rest), order).alias("_edge"))
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], chunk: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], chunk: Column
 ) -> DataFrame:
-    """Running totals up to and including each row. Key columns must not be NULL; ``order`` must be total."""
-    chunked = df.withColumn(_CHUNK, chunk)
+    """Replace each of ``columns`` by its running total up to and including the row.
+
+    Rows without a key are left out; ``order`` must be total.
+    """
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = chunked.withColumns({f"_in_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    totals = inner.groupBy(*keys, _CHUNK).agg(*[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()])
+    chunked = _chunked(df, keys, chunk)
+    inner = chunked.select(
+        *[F.sum(c).over(inside).alias(c) if c in columns else F.col(c) for c in chunked.columns]
+    )
     across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*_BEFORE)
-    carry = totals.select(*keys, _CHUNK, *[F.sum(f"_total_{n}").over(across).alias(f"_carry_{n}") for n in sums])
-    joined = _carry_join(inner, carry, keys)
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.coalesce(f"_carry_{n}", F.lit(0)) + F.coalesce(f"_in_{n}", F.lit(0))).alias(n) for n in sums],
+    carry = _edge_rows(inner, keys, F.max_by, F.struct(*order)).select(
+        *keys, _CHUNK, *[F.sum(F.col("_edge")[c]).over(across).alias(f"_carry_{c}") for c in columns]
     )
+    joined = inner.join(carry, [*keys, _CHUNK], "left")
+    total = lambda c: F.coalesce(f"_carry_{c}", F.lit(0)) + F.coalesce(c, F.lit(0))
+    return joined.select(*[total(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def fill_forward(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column], chunk: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], chunk: Column
 ) -> DataFrame:
-    """Last non-null value at or before each row. Key columns must not be NULL; ``order`` must be total."""
-    chunked = df.withColumns({_CHUNK: chunk, **{f"_v_{n}": c for n, c in values.items()}})
+    """Replace NULLs in ``columns`` by the last non-null value before the row.
+
+    Rows without a key are left out; ``order`` must be total and must not contain the filled columns.
+    """
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = chunked.withColumns({f"_in_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
-    rank = F.struct(*order)
-    tails = inner.groupBy(*keys, _CHUNK).agg(*[F.max_by(f"_in_{n}", rank).alias(f"_tail_{n}") for n in values])
-    across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*_BEFORE)
-    carry = tails.select(
-        *keys, _CHUNK, *[F.last(f"_tail_{n}", ignorenulls=True).over(across).alias(f"_carry_{n}") for n in values]
+    chunked = _chunked(df, keys, chunk)
+    inner = chunked.select(
+        *[F.last(c, ignorenulls=True).over(inside).alias(c) if c in columns else F.col(c) for c in chunked.columns]
     )
-    joined = _carry_join(inner, carry, keys)
-    return joined.select(
-        *[F.col(c) for c in df.columns], *[F.coalesce(f"_in_{n}", f"_carry_{n}").alias(n) for n in values]
+    across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*_BEFORE)
+    carry = _edge_rows(inner, keys, F.max_by, F.struct(*order)).select(
+        *keys,
+        _CHUNK,
+        *[F.last(F.col("_edge")[c], ignorenulls=True).over(across).alias(f"_carry_{c}") for c in columns],
     )
+    joined = inner.join(carry, [*keys, _CHUNK], "left")
+    return joined.select(*[F.coalesce(c, f"_carry_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: str, out: str, chunk: Column) -> DataFrame:
-    """The following value of ``order`` within the key, NULL at the end. ``order`` must be unique per key."""
+    """Add the following value of ``order`` within the key, NULL at the end. ``order`` must be unique per key."""
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(order)
-    inner = df.withColumn(_CHUNK, chunk).withColumn("_in_next", F.lead(order).over(inside))
-    firsts = inner.groupBy(*keys, _CHUNK).agg(F.min(order).alias("_first"))
+    inner = _chunked(df, keys, chunk).withColumn(out, F.lead(order).over(inside))
     across = Window.partitionBy(*keys).orderBy(_CHUNK)
-    carry = firsts.select(*keys, _CHUNK, F.lead("_first").over(across).alias("_next_first"))
-    joined = _carry_join(inner, carry, keys)
-    return joined.select(*[F.col(c) for c in df.columns], F.coalesce("_in_next", "_next_first").alias(out))
+    carry = _edge_rows(inner, keys, F.min_by, F.col(order)).select(
+        *keys, _CHUNK, F.lead(F.col("_edge")[order]).over(across).alias("_carry")
+    )
+    joined = inner.join(carry, [*keys, _CHUNK], "left")
+    return joined.select(*df.columns, F.coalesce(out, "_carry").alias(out))
 
 
 def expand_range(df: DataFrame, low: str, high: str, out: str) -> DataFrame:
@@ -111,7 +133,7 @@ def snapshot_spine(snapshots: DataFrame, key: str = "cluster", ts: str = "snapsh
         F.lead("_first").over(across).alias("_next_first"),
         (F.sum("_n").over(Window.partitionBy(key)) - 1).alias("last_idx"),
     )
-    return _carry_join(inner, carry, [key]).select(
+    return inner.join(carry, [key, _CHUNK], "left").select(
         key,
         ts,
         (F.col("_offset") + F.col("_pos") - 1).cast("long").alias("idx"),

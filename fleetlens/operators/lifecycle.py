@@ -115,13 +115,13 @@ def pinned_labels(
             .select(*SCOPE, *keys, *values, "_pin.*")
         )
     spine = snapshot_spine(entities if snapshots is None else snapshots)
+    birth = F.when(~F.col("_before"), F.struct(*[F.col("_data")[c].alias(c) for c in labels]))
     rows = (
         _marks(entities, keys, spine, [*labels, *values])
         .filter("_present")
-        .select(*SCOPE, *keys, "_before", "_data.*")
+        .select(*SCOPE, *keys, *[F.col("_data")[v].alias(v) for v in values], birth.alias("_pin"))
     )
-    birth = F.when(~F.col("_before"), F.struct(*labels))
-    pinned = fill_forward(rows, ["cluster", *keys], ["snapshot_ts"], {"_pin": birth}, day_chunk("snapshot_ts"))
+    pinned = fill_forward(rows, ["cluster", *keys], ["snapshot_ts"], ["_pin"], day_chunk("snapshot_ts"))
     return pinned.select(*SCOPE, *keys, *values, "_pin.*")
 
 
@@ -140,9 +140,9 @@ def carry_forward(entities: DataFrame, snapshots: DataFrame, ok: str = "ok") ->
     ``snapshots`` lists all snapshots with a success flag. Rows of failed snapshots are ignored. ``source_ts`` is the
     snapshot the values come from.
     """
-    spine = snapshots.groupBy(*SCOPE).agg(F.max(ok).alias("_ok"))
-    good = F.when(F.col("_ok"), F.col("snapshot_ts"))
-    carried = fill_forward(spine, ["cluster"], ["snapshot_ts"], {"source_ts": good}, day_chunk("snapshot_ts")).filter(
+    good = F.when(F.max(ok), F.col("snapshot_ts"))
+    spine = snapshots.groupBy(*SCOPE).agg(good.alias("source_ts"))
+    carried = fill_forward(spine, ["cluster"], ["snapshot_ts"], ["source_ts"], day_chunk("snapshot_ts")).filter(
         F.col("source_ts").isNotNull()
     )
     source = entities.withColumnRenamed("snapshot_ts", "source_ts")

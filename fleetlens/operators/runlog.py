@@ -23,14 +23,16 @@ def scrape_staleness(
     is filled forward. ``requests`` has ``cluster, request_id, request_ts``.
     """
     ticks = scrapes.filter("successful").select(
-        "cluster", F.lit(None).cast("long").alias("request_id"), F.col("start_ts").alias("_ts"), F.lit(0).alias("_side")
+        "cluster", F.lit(None).cast("long").alias("request_id"), F.col("start_ts").alias("_ts"), F.lit(0).alias("_side"),
+        F.col("start_ts").alias("scrape_ts"),
     )
     asks = requests.select(
-        "cluster", F.col("request_id").cast("long"), F.col("request_ts").alias("_ts"), F.lit(1).alias("_side")
+        "cluster", F.col("request_id").cast("long"), F.col("request_ts").alias("_ts"), F.lit(1).alias("_side"),
+        F.lit(None).cast("timestamp").alias("scrape_ts"),
     )
     line = ticks.unionByName(asks)
-    scrape = F.when(F.col("_side") == 0, F.col("_ts"))
-    filled = fill_forward(line, ["cluster"], ["_ts", "_side"], {"scrape_ts": scrape}, hour_chunk("_ts"))
+    # Ties in the order do not matter: equal rows of one side carry the same scrape.
+    filled = fill_forward(line, ["cluster"], ["_ts", "_side"], ["scrape_ts"], hour_chunk("_ts"))
     age = elapsed_s("_ts", "scrape_ts")
     return filled.filter(F.col("_side") == 1).select(
         "cluster",
@@ -82,18 +84,16 @@ def scrape_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def run_counters(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Counter history: scrapes and failed scrapes so far, at every scrape."""
-    scrapes = tables["scrape_log"].select("cluster", "scrape_id", "start_ts", "successful")
-    counted = running_sum(
-        scrapes,
-        ["cluster"],
-        ["start_ts", "scrape_id"],
-        {
-            "scraped_total": F.lit(1).cast("long"),
-            "failed_total": F.when(F.col("successful"), F.lit(0)).otherwise(F.lit(1)).cast("long"),
-        },
-        hour_chunk("start_ts"),
+    scrapes = tables["scrape_log"].select(
+        "cluster",
+        "scrape_id",
+        "start_ts",
+        F.lit(1).cast("long").alias("scraped_total"),
+        F.when(F.col("successful"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("failed_total"),
+    )
+    return running_sum(
+        scrapes, ["cluster"], ["start_ts", "scrape_id"], ["scraped_total", "failed_total"], hour_chunk("start_ts")
     )
-    return counted.select("cluster", "scrape_id", "start_ts", "scraped_total", "failed_total")
 
 
 def failfast_cutoff(

@@ -268,11 +268,21 @@ def test_chunked_windows_equal_plain_ones(spark):
         sums[k] = sums.get(k, 0) + n
         last[k] = v if v is not None else last.get(k)
         expected[n] = (sums[k], last[k])
-    summed = running_sum(df, ["k"], ["ts"], {"total": F.col("n")}, day_chunk("ts"))
-    filled = fill_forward(summed, ["k"], ["ts"], {"latest": F.col("v")}, day_chunk("ts"))
+    summed = running_sum(df.withColumn("total", F.col("n")), ["k"], ["ts"], ["total"], day_chunk("ts"))
+    filled = fill_forward(summed.withColumn("latest", F.col("v")), ["k"], ["ts"], ["latest"], day_chunk("ts"))
     assert {r.n: (r.total, r.latest) for r in filled.collect()} == expected
 
 
+def test_chunked_histories_shuffle_their_input_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 5000).alias("ts"), F.col("id").alias("n"), "id")
+    out = fill_forward(df, ["k"], ["ts"], ["n"], day_chunk("ts"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan and plan.count("Range (0, 1000") == 1, plan
+
+
 def test_spine_across_days(spark):
     stamps = [0, 15, 86399, 86400 * 3, 86400 * 3 + 1]
     df = spark.createDataFrame([("c", at(s)) for s in stamps] * 2, "cluster string, snapshot_ts timestamp")
