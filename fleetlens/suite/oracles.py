@@ -12,7 +12,7 @@ from fleetlens.operators.cluster import BANNER_PATTERN
 from fleetlens.plans import panels, registry
 from fleetlens.sources.fixtures import with_clause
 from fleetlens.suite.queries import (
-    MONTH_END, MONTH_START, PANEL_VARIABLES, RANGE_LOOKBACK, RANGE_STEP, VALUE_BANDS, panel_window,
+    MONTH_END, MONTH_START, ONE_SNAPSHOT_COLLECTORS, PANEL_VARIABLES, RANGE_LOOKBACK, RANGE_STEP, VALUE_BANDS, panel_window,
 )
 
 EPOCH_NS = "(epoch_us({a}) - epoch_us({b})) / CAST(1000000 AS DOUBLE)"
@@ -396,6 +396,24 @@ SELECT cluster, scrape_id, seq, collector, failed, count(*) FILTER (WHERE failed
 SELECT cluster, CAST(NULL AS VARCHAR) AS datname, 'general' AS run_group, unnest({_GENERAL!r}) AS collector FROM (SELECT DISTINCT cluster FROM event_snapshots)
 UNION ALL
 SELECT cluster, datname, 'per_db', unnest({_PER_DB!r}) FROM allowed WHERE (cluster, datname) IN {_LISTED}""")
+    last = "(SELECT max(start_ts) FROM scrape_log l WHERE l.cluster = x.cluster)"
+    run_log = ["SELECT cluster, start_ts AS ts, 'fleet_up' AS metric, '' AS labels, up AS value FROM (SELECT * FROM up_rows)"]
+    run_log += [
+        f"SELECT cluster, {last} AS ts, 'fleet_exporter_{m}' AS metric, concat('collector=', collector) AS labels, CAST({c} AS DOUBLE) AS value FROM stats_rows x"
+        for m, c in (("collector_error_total", "errors"), ("collector_duration_seconds", "last_duration_ms"))
+    ]
+    run_log += [
+        f"SELECT cluster, {last} AS ts, 'fleet_exporter_{m}' AS metric, '' AS labels, round(CAST({c} AS DOUBLE), 6) AS value FROM summary_rows x"
+        for m, c in (
+            ("total_scraped_total", "scrapes"), ("total_error_total", "errors"), ("scrape_duration_seconds_count", "duration_count"),
+            ("scrape_duration_seconds_sum", "duration_sum"), ("scrape_duration_seconds_max", "duration_max"), ("uptime_seconds", "uptime_seconds"))
+    ]
+    sql["run_log_samples"] = q("scrape_log collector_run_log", ", ".join(
+        f"{name} AS ({sql[key]})" for name, key in (("up_rows", "cluster_up"), ("stats_rows", "collector_run_stats"), ("summary_rows", "scrape_summary"))),
+        " UNION ALL ".join(run_log))
+    metrics = [(m.full_name("fleet"), m.full_name("")) for s in registry.COLLECTORS if s.name in ONE_SNAPSHOT_COLLECTORS for m in s.metrics]
+    sql["collect_snapshot"] = "SELECT cluster, ts, metric, count(*) AS samples, round(sum(value), 4) AS total FROM (" + " UNION ALL ".join(
+        f"SELECT cluster, ts, '{full}' AS metric, value FROM ({_metric_sql(sql, bare)[0]})" for full, bare in metrics) + ") GROUP BY 1, 2, 3"
     sql.update({f"panel_{p.key}": panel_sql(sql, p) for p in panels.PANELS})
     del sql["cluster_state_hourly"]
     return sql
@@ -408,7 +426,7 @@ def _metric_sql(sql: dict[str, str], metric: str) -> tuple[str, dict[str, str]]:
     spec, m = next((s, m) for s in registry.COLLECTORS for m in s.metrics if m.full_name("") == metric)
     # Panels read session-based inputs where they exist; the full set of snapshots includes those with no sessions.
     source = sql["cluster_state_hourly" if spec.name == "cluster_state" else spec.name]
-    labels = {name: f'CAST({column} AS VARCHAR)' for name, column in m.labels}
+    labels = {name: f'CAST("{column}" AS VARCHAR)' for name, column in m.labels}
     columns = "".join(f', coalesce({e}, \'unknown\') AS "{n}"' for n, e in labels.items())
     value = "CASE WHEN accessible THEN 1 ELSE 0 END" if m.value == "accessible" else f'"{m.value}"'
     return f"SELECT cluster, snapshot_ts AS ts{columns}, CAST({value} AS DOUBLE) AS value FROM ({source})", labels

@@ -13,6 +13,7 @@ from fleetlens.operators import (
     tablehealth, vacuum,
 )
 from fleetlens.plans import panels, registry
+from fleetlens.plans.collect import collect_samples
 from fleetlens.plans.samples import exposition_lines, spec_samples, to_samples
 from fleetlens.session import configure
 from fleetlens.sources.catalog import parse_disk_usage
@@ -161,6 +162,30 @@ def _backup_samples(t: Inputs) -> DataFrame:
     return samples.select("cluster", "ts", "metric", labels_text().alias("labels"), "value")
 
 
+def _run_log_samples(t: Inputs) -> DataFrame:
+    parts = [to_samples(df, metrics, ts=ts) for df, metrics, ts in registry.run_log_tables(t).values()]
+    samples = reduce(DataFrame.unionByName, parts)
+    return _rounded(samples.select("cluster", "ts", "metric", labels_text().alias("labels"), "value"), value=6)
+
+
+# Collectors whose inputs share the one snapshot of the derived tables.
+ONE_SNAPSHOT_COLLECTORS = (
+    "segment_health", "segment_counts", "database_size", "database_size_totals", "table_vacuum", "db_vacuum",
+    "table_health", "disk_per_host", "disk_skew", "spill_per_host", "spill_skew", "rsg_per_host", "rsg_per_group",
+    "rsg_effective_mem_limit", "rsg_skew",
+)
+
+
+def _collect_snapshot(t: Inputs) -> DataFrame:
+    """A whole collection run, counted and summed per metric."""
+    specs = [s for s in registry.selected_specs({"table_health": True}) if s.name in ONE_SNAPSHOT_COLLECTORS]
+    tables = {name: t[name] for s in specs for name in s.inputs}
+    totals = collect_samples(tables, specs).groupBy("cluster", "ts", "metric").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total")
+    )
+    return _rounded(totals, total=4)
+
+
 def _exposition(t: Inputs) -> DataFrame:
     samples = t["metric_samples"].withColumn(
         "labels", F.map_concat("labels", F.create_map(F.lit("note"), F.concat(F.lit('a"b\\'), F.col("metric"), F.lit("\n"))))
@@ -229,6 +254,8 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     # samples
     "to_samples": _to_samples,
     "backup_samples": _backup_samples,
+    "run_log_samples": _run_log_samples,
+    "collect_snapshot": _collect_snapshot,
     "exposition_lines": _exposition,
     "external_label": lambda t: series.external_label(t["metric_samples"], cluster="main", region="eu", table="x").select(
         "cluster", "ts", "metric", labels_text().alias("labels"), "value"
