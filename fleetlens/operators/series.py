@@ -18,7 +18,9 @@ _SERIES = ("cluster", "metric", "_labels")
 
 
 def label(name: str) -> Column:
-    """Value of a label; a missing label is the empty string."""
+    """Value of a label; a missing label is the empty string. The metric's name is the label ``__name__``."""
+    if name == "__name__":
+        return F.col("metric")
     return F.col("cluster") if name == "cluster" else F.coalesce(F.col("labels")[name], F.lit(""))
 
 

@@ -229,6 +229,34 @@ def target_vector(
     return vector
 
 
+def _one_pass(p: Panel) -> bool:
+    """Targets that differ in metric and legend alone can share one selection."""
+    shapes = {(t.filters, t.above, t.sum_by) for t in p.targets}
+    return len(p.targets) > 1 and len(shapes) == 1 and not any(t.top or t.per or t.aggregate for t in p.targets)
+
+
+def _lines_in_one_pass(
+    samples: DataFrame, p: Panel, window: Window, variables: Mapping[str, str], namespace: str
+) -> DataFrame:
+    """All lines of such a panel from one scan and one reduction of the history."""
+    names = {f"{namespace}_{t.metric}": t for t in p.targets}
+    shape = p.targets[0]
+    filters = {name: variables.get(variable, ALL) for name, variable in shape.filters}
+    chosen = series.match_labels(samples.filter(F.col("metric").isin(*names)), filters)
+    vector = series.range_select(chosen, window.start, window.end, window.step_seconds, window.lookback_seconds)
+    if shape.above is not None:
+        vector = series.compare_filter(vector, ">", shape.above)
+    if shape.sum_by:
+        summed = series.sum_by_label(vector, "__name__", *shape.sum_by)
+        owner = F.col("cluster") if "cluster" in shape.sum_by else F.lit("")
+        kept = label_map([(x, x) for x in shape.sum_by if x != "cluster"])
+        vector = summed.select(
+            owner.alias("cluster"), "ts", F.col("__name__").alias("metric"), kept.alias("labels"), "value"
+        )
+    texts = [F.when(F.col("metric") == name, series.legend(t.legend)) for name, t in names.items()]
+    return vector.select("cluster", "ts", F.coalesce(*texts).alias("legend"), "value")
+
+
 def run_panel(
     samples: DataFrame,
     p: Panel,
@@ -248,6 +276,8 @@ def run_panel(
     def finish(df: DataFrame, value: str = "value") -> DataFrame:
         return series.threshold_band(df, p.bands, value).withColumn("text", value_text(value, texts))
 
+    if p.kind == "timeseries" and _one_pass(p):
+        return finish(_lines_in_one_pass(samples, p, window, variables, namespace))
     vectors = [
         (t, target_vector(samples, t, window, variables, top, namespace, instant=p.kind == "table")) for t in p.targets
     ]

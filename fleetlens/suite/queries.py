@@ -323,26 +323,31 @@ def panel_window(p: panels.Panel) -> panels.Window:
     return next((w for prefix, w in _WINDOWS.items() if p.targets[0].metric.startswith(prefix)), MONTH)
 
 
-def _metric_source(t: Inputs, metric: str) -> DataFrame:
-    """Samples of one metric, from the collector that makes it."""
-    if metric == "up":
+def _metric_sources(t: Inputs, metrics: tuple[str, ...]) -> DataFrame:
+    """Samples of some metrics, from the collectors that make them; a collector of several runs once."""
+    if metrics == ("up",):
         return to_samples(cluster.cluster_up(t), [registry.UP], ts="start_ts")
-    spec, chosen = next((s, m) for s in registry.COLLECTORS for m in s.metrics if m.full_name("") == metric)
-    tables: dict[str, DataFrame] = {name: t[name] for name in spec.inputs if name not in ("cluster_facts", "stat_replication")}
-    if "activity" in spec.inputs or "locks" in spec.inputs:
-        tables["snapshots"] = t["event_snapshots"]
-    if spec.name == "cluster_state":
-        tables = {**_replication(t), "cluster_facts": t["hourly_facts"]}
-    elif spec.collector == "replication_monitor":
-        tables = _replication(t)
-    return to_samples(spec.build(tables), [chosen])
+    parts = []
+    for spec in registry.COLLECTORS:
+        chosen = [m for m in spec.metrics if m.full_name("") in metrics]
+        if not chosen:
+            continue
+        tables: dict[str, DataFrame] = {n: t[n] for n in spec.inputs if n not in ("cluster_facts", "stat_replication")}
+        if "activity" in spec.inputs or "locks" in spec.inputs:
+            tables["snapshots"] = t["event_snapshots"]
+        if spec.name == "cluster_state":
+            tables = {**_replication(t), "cluster_facts": t["hourly_facts"]}
+        elif spec.collector == "replication_monitor":
+            tables = _replication(t)
+        parts.append(to_samples(spec.build(tables), chosen))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _panel(key: str) -> Callable[[Inputs], DataFrame]:
     p = panels.panel(key)
 
     def build(t: Inputs) -> DataFrame:
-        samples = reduce(DataFrame.unionByName, [_metric_source(t, m) for m in panels.panel_metrics(p)])
+        samples = _metric_sources(t, panels.panel_metrics(p))
         out = panels.run_panel(samples, p, panel_window(p), PANEL_VARIABLES)
         if p.kind in ("stat", "gauge"):
             out = out.withColumn("labels", labels_text())
