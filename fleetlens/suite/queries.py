@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetlens.functions.scalars import COMPACT_FORMAT, num_to_lsn
+from fleetlens.functions.scalars import COMPACT_FORMAT, num_to_lsn, value_text
 from fleetlens.operators import (
     backups, cluster, databases, hosts, lifecycle, locks, replication, resgroups, runlog, segments, series, sessions,
     tablehealth, vacuum,
@@ -17,7 +17,7 @@ from fleetlens.plans.collect import collect_samples
 from fleetlens.plans.samples import exposition_lines, spec_samples, to_samples
 from fleetlens.session import configure
 from fleetlens.sources.catalog import parse_disk_usage
-from fleetlens.sources.fixtures import derive
+from fleetlens.sources.fixtures import DERIVATIONS, derive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,7 @@ class Inputs(dict):
         self._spark, self._dir = configure(spark), sf_dir
 
     def __contains__(self, name: object) -> bool:
-        return name != "table_stats_parts"
+        return super().__contains__(name) or name in _ADAPT or name in DERIVATIONS
 
     def __missing__(self, name: str) -> DataFrame:
         self[name] = _ADAPT.get(name, lambda get: get(name))(lambda d: derive(self._spark, self._dir, d))
@@ -277,9 +277,9 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "threshold_band": lambda t: _flat(series.threshold_band(t["metric_samples"], VALUE_BANDS), "value", "band"),
     "value_text": lambda t: segments.segment_health(t).select(
         "cluster", "dbid",
-        series_text("status_value", {0: "DOWN", 1: "UP"}).alias("status_text"),
-        series_text("role_value", {1: "Primary", 2: "Mirror"}).alias("role_text"),
-        series_text("mode_value", {1: "Synchronized", 2: "Resyncing", 3: "Change Tracking", 4: "Not Syncing"}).alias("mode_text"),
+        value_text("status_value", {0: "DOWN", 1: "UP"}).alias("status_text"),
+        value_text("role_value", {1: "Primary", 2: "Mirror"}).alias("role_text"),
+        value_text("mode_value", {1: "Synchronized", 2: "Resyncing", 3: "Change Tracking", 4: "Not Syncing"}).alias("mode_text"),
     ),
     "organize_columns": _table,
     "legend": lambda t: t["metric_samples"].select(
@@ -364,12 +364,6 @@ def _panel(key: str) -> Callable[[Inputs], DataFrame]:
 _COLLECT.update({f"panel_{p.key}": _panel(p.key) for p in panels.PANELS})
 
 
-def series_text(value: str, texts: dict[int, str]) -> Column:
-    from fleetlens.functions.scalars import value_text
-
-    return value_text(value, texts)
-
-
 def all_queries() -> dict[str, Query]:
     def bind(build: Callable[[Inputs], DataFrame]) -> Query:
         return lambda spark, sf_dir: build(Inputs(spark, sf_dir))
