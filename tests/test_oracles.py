@@ -8,9 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from fleetlens.suite import oracles
+from fleetlens.suite.queries import all_queries
 
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+QUERIES = all_queries()
+ORACLES = oracles.build()
 TYPES = {
     "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
     "timestamp": "TIMESTAMP",
