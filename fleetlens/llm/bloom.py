@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import mix
 
@@ -94,3 +95,26 @@ def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray,
         start = row.segment * SEGMENT_BITS // 8
         held[start : start + SEGMENT_BITS // 8] = np.frombuffer(row.bits, np.uint8)
     return Bloom(held[: (size + 7) // 8], size, probes)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (gone_id, no nulls), moving few of them.
+
+    A filter of the ids, of a fixed size, is broadcast. Rows that it rules out stay where they are; only the others, which are
+    the rows that go and some false positives, meet ``gone`` in a join.
+    """
+
+    def halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = batch.column("gone_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return mix(ids), ids
+
+    bits = docs.sparkSession.sparkContext.broadcast(build(gone, halves, filter_bits, 4).bits)
+
+    @F.pandas_udf("boolean")
+    def listed(ids: pd.Series) -> pd.Series:
+        own = ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
+        return pd.Series(Bloom(bits.value, filter_bits, 4).contains(mix(own), own))
+
+    maybe = listed(F.col("doc_id").cast("long"))
+    asked = docs.filter(maybe)
+    return docs.filter(~maybe).unionByName(asked.join(gone, asked["doc_id"] == gone["gone_id"], "left_anti"))
