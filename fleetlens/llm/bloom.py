@@ -1,6 +1,8 @@
 """Bloom filters built by Spark in segments and used as one numpy bit array inside tasks.
 
-An item is a pair of 64-bit hashes. Its probes are ``first + i * (second | 1)``, scrambled and reduced to the filter's bits.
+An item has a key, which chooses one segment of 1 MiB, and two 64-bit hashes, which choose its bits inside the segment:
+``first + i * (second | 1)``, scrambled and reduced to the segment's bits. Items with one key share a segment, so a filter can be
+built by sending each key to its segment's task once, whatever number of items it stands for.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix
 
 SEGMENT_BITS = 1 << 23
+Hashes = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
@@ -24,77 +27,60 @@ class Bloom:
     size: int  # in bits
     probes: int
 
-    @classmethod
-    def empty(cls, size: int, probes: int) -> Bloom:
-        return cls(np.zeros((size + 7) // 8, np.uint8), size, probes)
-
-    def add(self, first: np.ndarray, second: np.ndarray) -> None:
-        for at in positions(first, second, self.size, self.probes):
-            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def contains(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def contains(self, key: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether each item may be in the filter; probes stop early for the items already ruled out."""
         found = np.zeros(len(first), bool)
         alive = np.arange(len(first))
+        segments, width = layout(self.size)
+        offset = (key.view(np.int64) % segments).astype(np.uint64) * np.uint64(width)
         for i in range(self.probes):
             if not len(alive):
                 return found
-            at = probe(first[alive], second[alive], i, self.size)
+            at = offset[alive] + probe(first[alive], second[alive], i, width)
             alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         found[alive] = True
         return found
 
 
-def probe(first: np.ndarray, second: np.ndarray, i: int, size: int) -> np.ndarray:
-    return mix(first + np.uint64(i) * (second | np.uint64(1))) % np.uint64(size)
+def layout(size: int) -> tuple[int, int]:
+    """Segments of a filter and the bits of each, a multiple of eight."""
+    segments = max(1, -(-size // SEGMENT_BITS))
+    return segments, -(-size // (8 * segments)) * 8
 
 
-def positions(first: np.ndarray, second: np.ndarray, size: int, probes: int) -> Iterator[np.ndarray]:
-    for i in range(probes):
-        yield probe(first, second, i, size)
+def probe(first: np.ndarray, second: np.ndarray, i: int, width: int) -> np.ndarray:
+    return mix(first + np.uint64(i) * (second | np.uint64(1))) % np.uint64(width)
 
 
-def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], size: int, probes: int) -> Bloom:
-    """The filter of all items. ``hashes`` turns a batch of ``items`` into the two hash arrays of what it inserts.
+def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], Hashes], size: int, probes: int) -> Bloom:
+    """The filter of all items; ``items`` has a long column ``key``.
 
-    Each task sets bits in sparse segments of 1 MiB and emits the positions grouped by segment; the segments are OR-ed by key.
-    What reaches the driver is the filter itself, so its size is ``size`` bits whatever the number of items.
+    ``hashes`` turns a batch of ``items`` into the two hash arrays of what it inserts, all under the keys of their rows. A segment's
+    task reads its rows batch by batch and holds its bits only. What reaches the driver is the filter itself, ``size`` bits whatever
+    the number of items.
     """
-    segments = (size + SEGMENT_BITS - 1) // SEGMENT_BITS
+    segments, width = layout(size)
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(width, bool)
         for batch in batches:
             first, second = hashes(batch)
-            if not len(first):
-                continue
-            at = np.unique(np.concatenate(list(positions(first, second, size, probes))))
-            segment = (at // np.uint64(SEGMENT_BITS)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(segment)) + 1
-            offsets = (at % np.uint64(SEGMENT_BITS)).astype("<u4")
-            parts = np.split(offsets, cuts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segment[np.r_[0, cuts]], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["segment", "offsets"],
-            )
-
-    def gather(key, group):
-        held = np.zeros(SEGMENT_BITS, bool)
-        for offsets in group.column("offsets"):
-            held[np.frombuffer(offsets.as_py(), "<u4")] = True
+            for i in range(probes):
+                held[probe(first, second, i, width)] = True
         packed = np.packbits(held, bitorder="little").tobytes()
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed], pa.binary())})
-
-    rows = (
-        items.mapInArrow(scatter, "segment long, offsets binary")
-        .groupBy("segment")
-        .applyInArrow(gather, "segment long, bits binary")
-        .collect()
-    )
-    held = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([packed], pa.binary())], ["segment", "bits"])
+
+    # The worker looks at these to tell batch-wise functions from whole-table ones.
+    fill.__annotations__ = {
+        "key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch],
+    }
+    placed = items.withColumn("segment", F.pmod("key", F.lit(segments).cast("long")))
+    rows = placed.groupBy("segment").applyInArrow(fill, "segment long, bits binary").collect()
+    held = np.zeros(segments * width // 8, np.uint8)
     for row in rows:
-        start = row.segment * SEGMENT_BITS // 8
-        held[start : start + SEGMENT_BITS // 8] = np.frombuffer(row.bits, np.uint8)
-    return Bloom(held[: (size + 7) // 8], size, probes)
+        start = row.segment * width // 8
+        held[start : start + width // 8] = np.frombuffer(row.bits, np.uint8)
+    return Bloom(held, size, probes)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 26) -> DataFrame:
@@ -104,16 +90,16 @@ def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 26) ->
     the rows that go and some false positives, meet ``gone`` in a join.
     """
 
-    def halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        ids = batch.column("gone_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    def halves(batch: pa.RecordBatch) -> Hashes:
+        ids = batch.column("key").to_numpy().view(np.uint64)
         return mix(ids), ids
 
-    bits = docs.sparkSession.sparkContext.broadcast(build(gone, halves, filter_bits, 4).bits)
+    bits = docs.sparkSession.sparkContext.broadcast(build(gone.select(F.col("gone_id").cast("long").alias("key")), halves, filter_bits, 4).bits)
 
     @F.pandas_udf("boolean")
     def listed(ids: pd.Series) -> pd.Series:
         own = ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
-        return pd.Series(Bloom(bits.value, filter_bits, 4).contains(mix(own), own))
+        return pd.Series(Bloom(bits.value, filter_bits, 4).contains(own, mix(own), own))
 
     maybe = listed(F.col("doc_id").cast("long"))
     asked = docs.filter(maybe)
