@@ -6,7 +6,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 QUALITY = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), wins AS (
   SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS s

@@ -24,9 +24,6 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
 
-
-
-
 def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
     """Words that lie in a window of ``width`` words that the text holds twice or more.
 
@@ -59,16 +56,26 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).when(any_equal, exact).otherwise(F.lit(0)).cast("long")
 
 
+def _once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns computed once per row, whatever filters and expressions are put on top.
+
+    A filter on a column is otherwise rewritten as a filter on its expression, which is then evaluated again for every mention,
+    and for each element where the mention is inside a lambda. Nothing is moved below a generator, so one of a single row is put here.
+    """
+    return df.select("doc_id", F.inline(F.array(F.struct(*columns))))
+
+
 def measurements(docs: DataFrame) -> DataFrame:
     """doc_id and every measurement that a rule uses; texts are read once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blank = " \t\n\x0b\x0c\r"
-    source = docs.select(F.col("doc_id"), text.alias("text")).select(
+    cut = docs.select(F.col("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.filter(F.split(F.btrim("text", F.lit(blank)), SPACES), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(blank)) != "").alias("lines"),
     )
+    source = _once(cut, "text", "words", "lines")
     joined = F.concat_ws("", "words")
-    return source.select(
+    measured = source.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.char_length(joined).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -78,6 +85,7 @@ def measurements(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit("[!?]{2,}")).cast("long").alias("n_shouts"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
     )
+    return _once(measured, *measured.columns[1:])
 
 
 @dataclass(frozen=True)
