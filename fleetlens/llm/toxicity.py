@@ -39,11 +39,11 @@ class ToxicSpec:
     bits: int = 20
     gaps: tuple[int, ...] = (0, 1, 2)  # words skipped between the two of a pair
     train_rows: int = 1 << 16
-    shard_rows: int = 1 << 13
-    epochs: int = 3
-    alpha: float = 0.1
+    shard_rows: int = 1 << 14
+    epochs: int = 4
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 5.0
     l2: float = 1.0
     threshold: float = 0.3
 

@@ -204,8 +204,7 @@ def judge(
 
 def _judge_by_join(spark: SparkSession, urls: DataFrame, lists: dict, lengths: list[int], default: str) -> DataFrame:
     """The way for lists beyond the broadcast bound: candidate keys join the list, the longest hit decides."""
-    row = F.xxhash64("page_id", "host", "path")
-    distinct = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies")).withColumn("row", row)
+    distinct = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("path"))
@@ -218,12 +217,11 @@ def _judge_by_join(spark: SparkSession, urls: DataFrame, lists: dict, lengths: l
     table = spark.createDataFrame([(k, v) for v, held in lists.items() for k in sorted(held)], "key string, verdict string")
     hits = (
         keys.join(table, "key")
-        .groupBy("page_id", "host", "path")
+        .groupBy(F.col("page_id").alias("hit_page"), F.col("host").alias("hit_host"), F.col("path").alias("hit_path"))
         .agg(F.max_by(F.struct("key", "verdict"), F.struct(F.char_length("key"), "h")).alias("hit"))
     )
-    same = [distinct[c].eqNullSafe(hits[c]) for c in ("page_id", "host", "path")]
+    same = F.col("page_id").eqNullSafe(F.col("hit_page")) & (F.col("host") == F.col("hit_host")) & (F.col("path") == F.col("hit_path"))
     return distinct.join(hits, same, "left").select(
-        distinct["page_id"], distinct["host"], distinct["path"], F.col("hit.key").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"),
+        "page_id", "host", "path", F.col("hit.key").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"),
         F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
     ).drop("copy")
