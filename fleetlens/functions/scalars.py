@@ -101,36 +101,38 @@ def round_half_up(col: Column | str, digits: int = 1) -> Column:
     return F.floor(_c(col) * scale + 0.5) / F.lit(scale)
 
 
-def lsn_to_num(col: Column | str) -> Column:
-    """Log position ``X/Y`` (two hex halves) as a number; decimal because it can pass a signed 64-bit value."""
-    text = _c(col)
-    ok = text.rlike("^[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}$")
-    high = F.conv(F.substring_index(text, "/", 1), 16, 10).cast(T.DecimalType(20, 0))
-    low = F.conv(F.substring_index(text, "/", -1), 16, 10).cast(T.DecimalType(20, 0))
-    shift = F.lit(2**32).cast(T.DecimalType(10, 0))
-    return F.when(ok, (high * shift + low).cast(T.DecimalType(20, 0)))
+# A log position is two hexadecimal halves of up to 32 bits each; any other text is no position.
+_POSITION = "^[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}$"
+MAX_LAG = 2**63 - 1
 
 
 def num_to_lsn(col: Column | str) -> Column:
-    """Inverse of :func:`lsn_to_num` for non-negative bigints."""
+    """Log position text of a non-negative bigint."""
     n = _c(col)
     return F.concat(F.hex(F.shiftright(n, 32)), F.lit("/"), F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
 
 
 def lsn_halves(col: Column | str) -> Column:
-    """Log position as a struct of its two halves, each a bigint."""
+    """Log position as a struct of its two halves, each a bigint; both NULL where the text is no position."""
     text = _c(col)
-    half = lambda side: F.conv(F.substring_index(text, "/", side), 16, 10).try_cast("long")
+    half = lambda side: F.when(text.rlike(_POSITION), F.conv(F.substring_index(text, "/", side), 16, 10).cast("long"))
     return F.struct(half(1).alias("high"), half(-1).alias("low"))
 
 
 def halves_lag(sent: Column, reached: Column) -> Column:
     """Bytes between two positions given as halves; NULL and negative differences are 0.
 
-    Differences of halves stay in exact long arithmetic for any lag a bigint can hold, without decimals.
+    A difference that a bigint cannot hold, as one broken position makes, is the greatest bigint, so the row of that one shipper
+    looks absurd and every other row stays as it is.
     """
-    diff = (sent["high"] - reached["high"]) * F.lit(2**32) + (sent["low"] - reached["low"])
-    return F.greatest(F.coalesce(diff, F.lit(0).cast("long")), F.lit(0).cast("long"))
+    high = sent["high"] - reached["high"]
+    diff = high * F.lit(2**32) + (sent["low"] - reached["low"])
+    zero = F.lit(0).cast("long")
+    return (
+        F.when(high.isNull() | (high < 0), zero)
+        .when(high >= 2**31, F.lit(MAX_LAG).cast("long"))
+        .otherwise(F.greatest(F.coalesce(diff, zero), zero))
+    )
 
 
 def lag_bytes(sent: Column | str, reached: Column | str) -> Column:

@@ -9,21 +9,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.functions.scalars import ROLE_PRIMARY, UNKNOWN, elapsed_s, epoch_with_millis
 from fleetlens.functions.scope import SCOPE, fill_snapshots, scope_of
 
-# The version banner pattern (product, number, build marker) and the oldest supported version.
-BANNER_PATTERN = r"\([^)]*?\b((\d+)\.(\d+)\.(\d+)(?:[+_-][A-Za-z0-9.]+)*)\b\s+build\b"
+# The oldest supported version, and the content id of the coordinator.
 MIN_VERSION = (6, 27, 1)
 COORDINATOR = -1
 
 
-def banner_part(banner: Column | str, part: int) -> Column:
-    """Major (0), minor (1) or patch (2) number of a banner; NULL when the banner does not match."""
-    text = F.regexp_extract(F.col(banner) if isinstance(banner, str) else banner, BANNER_PATTERN, part + 2)
-    return F.nullif(text, F.lit("")).try_cast("int")
+def banner_numbers(banner: Column | str) -> Column:
+    """Major, minor and patch number of a version banner as an array; NULL when it names no version.
+
+    A banner reads ``... (product version build ...) ...``: in a pair of parentheses, the word before ``build``, up to its first
+    ``+``, ``_`` or ``-``, is the version.
+    """
+    text = F.col(banner) if isinstance(banner, str) else banner
+    opened = F.split(text, r"\(")
+    inside = F.transform(
+        F.slice(opened, 2, F.greatest(F.size(opened) - 1, F.lit(0))), lambda part: F.split(F.substring_index(part, ")", 1), r"\s+")
+    )
+
+    def version(words: Column) -> Column:
+        before = F.get(words, F.array_position(words, "build").cast("int") - 2)
+        numbers = F.split(F.get(F.split(before, "[+_-]"), F.lit(0)), r"\.")
+        sound = (F.size(numbers) == 3) & F.forall(numbers, lambda n: n.rlike("^[0-9]+$"))
+        return F.when(sound, F.transform(numbers, lambda n: n.try_cast("int")))
+
+    found = F.filter(F.transform(inside, version), lambda numbers: numbers.isNotNull())
+    return F.get(found, F.lit(0))
 
 
 def parse_version(df: DataFrame, banner: str = "version_banner") -> DataFrame:
     """Add ``major, minor, patch, version, supported``; all NULL/False where no version is recognised."""
-    parts = df.withColumns({n: banner_part(banner, i) for i, n in enumerate(("major", "minor", "patch"))})
+    numbers = df.withColumn("_numbers", banner_numbers(banner))
+    parts = numbers.withColumns({n: F.get("_numbers", F.lit(i)) for i, n in enumerate(("major", "minor", "patch"))}).drop("_numbers")
     known = F.col("major").isNotNull()
     oldest = F.struct(*[F.lit(v).alias(n) for n, v in zip(("major", "minor", "patch"), MIN_VERSION)])
     return parts.withColumns(

@@ -6,16 +6,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.functions.scalars import BYTES_PER_MB
+from fleetlens.functions.scalars import BYTES_PER_MB, value_or_zero
 from fleetlens.functions.scope import SCOPE, fill_snapshots, scope_of
 
 FILTER_MODES = ("all", "include", "exclude", "none")
 
 
 def database_size(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Whole megabytes per database (integer division, as in the source query)."""
+    """Whole megabytes per database (integer division, as in the source query); an unknown size is 0."""
     return tables["database_size"].select(
-        *SCOPE, "datname", F.expr(f"bytes div {BYTES_PER_MB}").cast("double").alias("size_mb")
+        *SCOPE, "datname", value_or_zero(F.expr(f"bytes div {BYTES_PER_MB}")).alias("size_mb")
     )
 
 

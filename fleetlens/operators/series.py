@@ -40,6 +40,8 @@ def _from_key(df: DataFrame, *rest: str) -> DataFrame:
 def match_labels(samples: DataFrame, matchers: Mapping[str, str] | None = None, metric: str | None = None) -> DataFrame:
     """Keep a metric and the series whose labels match anchored regular expressions (``.*`` matches all).
 
+    A pattern has to match the whole value, line breaks included, and ``.`` stands for any character.
+
     Plain names, alone or separated by ``|``, become a list test, which reaches the scan for the cluster column.
     """
     out = samples if metric is None else samples.filter(F.col("metric") == metric)
@@ -49,7 +51,7 @@ def match_labels(samples: DataFrame, matchers: Mapping[str, str] | None = None,
         if _PLAIN_NAMES.fullmatch(pattern):
             out = out.filter(label(name).isin(pattern.split("|")))
         else:
-            out = out.filter(label(name).rlike(f"^(?:{pattern})$"))
+            out = out.filter(label(name).rlike(rf"(?s)\A(?:{pattern})\z"))
     return out
 
 

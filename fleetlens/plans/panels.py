@@ -1,7 +1,8 @@
 """Dashboard panels as named recipes over the sample history.
 
 A recipe is data: which metrics, which label filters, what is done at each instant, how a range becomes one number, and
-which colour and text a number gets. :func:`run_panel` composes the series operators from it.
+which colour and text a number gets: a number that is mapped to a text takes the colour of that text, any other one the colour
+of its threshold step. ``calcs`` are the figures next to the legend of a line. :func:`run_panel` composes the series operators from it.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ class Panel:
     kind: str
     targets: tuple[Target, ...]
     bands: tuple[tuple[str, float | None], ...] = (("green", None),)
-    texts: tuple[tuple[float, str], ...] = ()
+    texts: tuple[tuple[float, str, str], ...] = ()
+    calcs: tuple[str, ...] = ()
     reducer: str = "lastNotNull"
     columns: tuple[str, ...] = ()
     order_by: tuple[str, bool] = ("Value", True)
@@ -49,9 +51,11 @@ _DB = (("cluster", "cluster"), ("datname", "database"))
 _TABLES = (("cluster", "cluster"), ("database", "database"), ("schema", "schema"))
 _SEGMENTS = (("cluster", "cluster"), ("hostname", "hostname"), ("role", "role"))
 _SHIPPERS = (("cluster", "cluster"), ("host", "hostname"))
-_UP_DOWN = ((0, "DOWN"), (1, "UP"))
-_BLOAT = ((0, "No Bloat"), (1, "Moderate"), (2, "Severe"))
-_SYNC = ((0, "Unknown"), (0.5, "Potential"), (1, "Async"), (2, "Sync"))
+_UP_DOWN = ((0, "DOWN", "red"), (1, "UP", "green"))
+_BLOAT = ((0, "No Bloat", "green"), (1, "Moderate", "yellow"), (2, "Severe", "red"))
+_SYNC = ((0, "Unknown", "red"), (0.5, "Potential", "yellow"), (1, "Async", "orange"), (2, "Sync", "green"))
+_LAST = ("last",)
+_LAST_MAX = ("last", "max")
 _LAG = (("green", None), ("yellow", 1048576), ("red", 10485760))
 _AGE = (("green", None), ("yellow", 86400), ("red", 604800))
 _RATIO = (("green", None), ("yellow", 0.1), ("red", 0.3))
@@ -88,21 +92,21 @@ PANELS: tuple[Panel, ...] = (
     _stat("overview_segments_down", "cluster_segments_down", bands=(("green", None), ("red", 1))),
     _lines(
         "overview_segment_status",
-        Target("cluster_segment_status", "{{hostname}}:{{port}} (content={{content}}, role={{role}})", _C),
+        Target("cluster_segment_status", "{{hostname}}:{{port}} (content={{content}}, role={{role}})", _C), calcs=_LAST_MAX,
     ),
-    _lines("overview_connections_by_state", Target("cluster_connections_total", "{{state}}", _C)),
+    _lines("overview_connections_by_state", Target("cluster_connections_total", "{{state}}", _C), calcs=_LAST_MAX),
     _lines(
         "overview_query_activity",
         Target("query_active_queries_total", "Total Active Queries", _C),
         Target("query_active_queries_slow", "Slow Queries (>180s)", _C),
         Target("cluster_query_waiting_count", "Waiting for Locks", _C),
-        bands=(("green", None), ("yellow", 5), ("red", 10)),
+        bands=(("green", None), ("yellow", 5), ("red", 10)), calcs=_LAST_MAX,
     ),
-    _lines("overview_query_duration", Target("query_active_queries_duration_bucket", "{{bucket}}", _C)),
-    _lines("overview_replication_lag", Target("cluster_replication_lag_bytes", "{{host}} content={{content}}", _C), bands=_LAG),
+    _lines("overview_query_duration", Target("query_active_queries_duration_bucket", "{{bucket}}", _C), calcs=_LAST),
+    _lines("overview_replication_lag", Target("cluster_replication_lag_bytes", "{{host}} content={{content}}", _C), bands=_LAG, calcs=_LAST_MAX),
     _stat("overview_max_replication_lag", "cluster_replication_max_lag_bytes", bands=_LAG),
     # database health
-    _stat("dbhealth_vacuum_running", "server_vacuum_running", bands=(("green", None), ("yellow", 1)), texts=((0, "Not Running"), (1, "Running"))),
+    _stat("dbhealth_vacuum_running", "server_vacuum_running", bands=(("green", None), ("yellow", 1)), texts=((0, "Not Running", "green"), (1, "Running", "yellow"))),
     _stat("dbhealth_max_vacuum_age", "database_db_max_seconds_since_last_vacuum", _DB, bands=_AGE),
     _stat("dbhealth_max_dead_ratio", "database_db_max_dead_tuple_ratio", _DB, bands=_RATIO),
     _stat("dbhealth_avg_dead_ratio", "database_db_avg_dead_tuple_ratio", _DB, bands=(("green", None), ("yellow", 0.05), ("red", 0.2))),
@@ -115,10 +119,11 @@ PANELS: tuple[Panel, ...] = (
         "dbhealth_vacuum_counts",
         Target("database_table_vacuum_count", "{{database}} - Manual Vacuum", _TABLES, sum_by=("database",)),
         Target("database_table_autovacuum_count", "{{database}} - Auto Vacuum", _TABLES, sum_by=("database",)),
+        calcs=("last", "sum"),
     ),
-    _lines("dbhealth_top_dead_ratio", Target("database_table_dead_tuple_ratio", _TABLE_LEGEND, _TABLES, top=True), bands=_RATIO),
-    _lines("dbhealth_bloat_state", Target("server_table_bloat_state", _TABLE_LEGEND, _TABLES, above=0), bands=_BLOAT_BANDS, texts=_BLOAT),
-    _lines("dbhealth_top_skew", Target("server_table_skew_factor", _TABLE_LEGEND, _TABLES, above=1.5, top=True), bands=_SKEW),
+    _lines("dbhealth_top_dead_ratio", Target("database_table_dead_tuple_ratio", _TABLE_LEGEND, _TABLES, top=True), calcs=_LAST_MAX),
+    _lines("dbhealth_bloat_state", Target("server_table_bloat_state", _TABLE_LEGEND, _TABLES, above=0), bands=_BLOAT_BANDS, texts=_BLOAT, calcs=_LAST),
+    _lines("dbhealth_top_skew", Target("server_table_skew_factor", _TABLE_LEGEND, _TABLES, above=1.5, top=True), bands=_SKEW, calcs=_LAST_MAX),
     Panel(
         "dbhealth_bloated_tables", "table", (Target("server_table_bloat_state", filters=_TABLES, above=0),),
         bands=_BLOAT_BANDS, texts=_BLOAT, columns=("database", "schema", "table", "Value"),
@@ -131,17 +136,18 @@ PANELS: tuple[Panel, ...] = (
     _stat("replication_total_segments", "cluster_segments_total"),
     _stat("replication_segments_up", "cluster_segments_up"),
     _stat("replication_segments_down", "cluster_segments_down", bands=(("green", None), ("red", 1))),
-    _stat("replication_sync_replicas", "cluster_sync", bands=(("red", None), ("green", 1)), texts=((0, "No Sync"), (1, "Synced"))),
+    _stat("replication_sync_replicas", "cluster_sync", bands=(("red", None), ("green", 1)), texts=((0, "No Sync", "red"), (1, "Synced", "green"))),
     _lines(
         "replication_segment_status",
         Target("cluster_segment_status", "{{cluster}} - {{hostname}}:{{port}} (content={{content}}, role={{role}})", _SEGMENTS),
-        texts=_UP_DOWN,
+        texts=_UP_DOWN, calcs=_LAST,
     ),
-    _lines("replication_segment_role", Target("cluster_segment_role", _SEGMENT_LEGEND, _SEGMENTS), texts=((1, "Primary"), (2, "Mirror"))),
+    _lines("replication_segment_role", Target("cluster_segment_role", _SEGMENT_LEGEND, _SEGMENTS), texts=((1, "Primary", "green"), (2, "Mirror", "blue")), calcs=_LAST),
     _lines(
         "replication_segment_mode", Target("cluster_segment_mode", _SEGMENT_LEGEND, _SEGMENTS),
         bands=(("green", None), ("yellow", 2), ("orange", 3), ("red", 4)),
-        texts=((1, "Synchronized"), (2, "Resyncing"), (3, "Change Tracking"), (4, "Not Syncing")),
+        texts=((1, "Synchronized", "green"), (2, "Resyncing", "yellow"), (3, "Change Tracking", "orange"), (4, "Not Syncing", "red")),
+        calcs=_LAST,
     ),
     _stat("replication_max_lag_now", "cluster_replication_max_lag_bytes", bands=_LAG),
     _stat(
@@ -154,13 +160,13 @@ PANELS: tuple[Panel, ...] = (
         Target("cluster_replication_lag_bytes", "{{cluster}} - Replay Lag - {{host}} content={{content}}", _SHIPPERS),
         Target("cluster_replication_write_lag_bytes", "{{cluster}} - Write Lag - {{host}} content={{content}}", _SHIPPERS),
         Target("cluster_replication_flush_lag_bytes", "{{cluster}} - Flush Lag - {{host}} content={{content}}", _SHIPPERS),
-        bands=_LAG,
+        bands=_LAG, calcs=("last", "max", "mean"),
     ),
     _lines(
         "replication_state", Target("cluster_replication_state", _SHIPPER_LEGEND, _SHIPPERS),
-        texts=((0, "Unknown"), (1, "Streaming"), (2, "Catchup"), (3, "Backup")),
+        texts=((0, "Unknown", "red"), (1, "Streaming", "green"), (2, "Catchup", "yellow"), (3, "Backup", "blue")), calcs=_LAST,
     ),
-    _lines("replication_sync_state", Target("cluster_replication_sync_state", _SHIPPER_LEGEND, _SHIPPERS), texts=_SYNC),
+    _lines("replication_sync_state", Target("cluster_replication_sync_state", _SHIPPER_LEGEND, _SHIPPERS), texts=_SYNC, calcs=_LAST),
     Panel(
         "replication_segment_table", "table", (Target("cluster_segment_status", filters=_SEGMENTS),), texts=_UP_DOWN,
         columns=("cluster", "hostname", "content", "port", "role", "Value"), order_by=("content", False),
@@ -271,10 +277,13 @@ def run_panel(
     ``cluster, ts, legend, value, band, text``. ``table``: the panel's columns with ``band`` and ``text``, sorted.
     """
     variables = variables or {}
-    texts = dict(p.texts)
+    texts = {number: text for number, text, _ in p.texts}
 
     def finish(df: DataFrame, value: str = "value") -> DataFrame:
-        return series.threshold_band(df, p.bands, value).withColumn("text", value_text(value, texts))
+        banded = series.threshold_band(df, p.bands, value)
+        for number, _, colour in p.texts:
+            banded = banded.withColumn("band", F.when(F.col(value) == number, F.lit(colour)).otherwise(F.col("band")))
+        return banded.withColumn("text", value_text(value, texts))
 
     if p.kind == "timeseries" and _one_pass(p):
         return finish(_lines_in_one_pass(samples, p, window, variables, namespace))
@@ -293,8 +302,9 @@ def run_panel(
     return finish(reduced)
 
 
-def legend_values(samples: DataFrame, p: Panel, window: Window, calcs: tuple[str, ...] = ("last", "max"), **options) -> DataFrame:
-    """Figures shown next to each line's legend."""
+def legend_values(samples: DataFrame, p: Panel, window: Window, calcs: tuple[str, ...] | None = None, **options) -> DataFrame:
+    """Figures shown next to each line's legend, by default those of the panel."""
+    calcs = calcs or p.calcs
     lines = run_panel(samples, p, window, **options)
     as_series = lines.select(
         "cluster", "ts", F.lit(p.key).alias("metric"), F.create_map(F.lit("legend"), "legend").alias("labels"), "value"

@@ -67,8 +67,9 @@ SELECT concat('c', CAST(c_custkey % 3 AS STRING)) AS cluster, {_NOW}, c_custkey
 FROM {{customer}}""",
     "listed_databases": """
 SELECT DISTINCT concat('c', CAST(o_custkey % 3 AS STRING)) AS cluster,
-       concat(CASE WHEN o_custkey % 10 = 0 THEN 'DB' ELSE 'db' END, CAST(o_custkey AS STRING)) AS datname
-FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'""",
+       concat(CASE WHEN o_orderstatus <> 'F' OR o_orderpriority NOT LIKE '1%' THEN 'other' WHEN o_custkey % 10 = 0 THEN 'DB' ELSE 'db' END,
+              CAST(o_custkey AS STRING)) AS datname
+FROM {orders}""",
     "segment_config": f"""
 SELECT concat('c', CAST(s_suppkey % 3 AS STRING)) AS cluster, {_NOW}, s_suppkey AS dbid,
        CAST(floor(floor(s_suppkey / 3.0) / 2.0) AS BIGINT) - 1 AS content,
@@ -126,9 +127,9 @@ SELECT concat('c', CAST(o_orderkey % 3 AS STRING)) AS cluster, {_NOW},
 FROM {{orders}}""",
     "bloat_diag": f"""
 SELECT concat('c', CAST(p_partkey % 3 AS STRING)) AS cluster, {_NOW}, concat('db', CAST(p_partkey % 5 AS STRING)) AS datname,
-       CASE WHEN p_partkey % 10 = 0 THEN 'gp_toolkit' ELSE lower(p_type) END AS nspname, concat('t', CAST(p_partkey AS STRING)) AS relname,
+       CASE WHEN p_partkey % 10 = 0 THEN 'gp_toolkit' ELSE lower(p_type) END AS nspname, concat(CASE WHEN p_partkey % 8 = 1 THEN 'gone' ELSE 't' END, CAST(p_partkey AS STRING)) AS relname,
        CAST(p_size AS BIGINT) * 10 AS relpages, p_partkey % 25 AS exppages
-FROM {{part}} WHERE p_partkey % 8 <> 1""",
+FROM {{part}}""",
     "skew_coefficients": f"""
 SELECT concat('c', CAST(p_partkey % 3 AS STRING)) AS cluster, {_NOW}, concat('db', CAST(p_partkey % 5 AS STRING)) AS datname,
        CASE WHEN p_partkey % 10 = 0 THEN 'gp_toolkit' ELSE lower(p_type) END AS nspname, concat('t', CAST(p_partkey AS STRING)) AS relname,
@@ -153,8 +154,9 @@ SELECT concat('c', CAST(s_suppkey % 3 AS STRING)) AS cluster,
                         CAST(CAST(floor(abs(s_acctbal) * 50 / 10000) AS BIGINT) AS STRING), '%') END AS value
 FROM {supplier}""",
     "workfile_usage": f"""
-SELECT concat('c', CAST(l_orderkey % 3 AS STRING)) AS cluster, {_NOW}, l_suppkey % 12 AS segid, CAST(floor(l_extendedprice) AS BIGINT) AS size
-FROM {{lineitem}} WHERE l_suppkey % 12 <> 5""",
+SELECT concat('c', CAST(l_orderkey % 3 AS STRING)) AS cluster, {_NOW}, CASE WHEN l_suppkey % 12 = 5 THEN 1000005 ELSE l_suppkey % 12 END AS segid,
+       CAST(floor(l_extendedprice) AS BIGINT) AS size
+FROM {{lineitem}}""",
     "customer_groups": f"""
 SELECT concat('c', CAST(c_custkey % 3 AS STRING)) AS cluster, {_NOW},
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END AS groupid,
@@ -169,9 +171,9 @@ SELECT cluster, snapshot_ts, groupid, count(*) AS num_running, max(load) AS num_
 FROM {customer_groups} GROUP BY cluster, snapshot_ts, groupid""",
     "resgroup": "SELECT DISTINCT cluster, snapshot_ts, groupid AS oid, rsgname FROM {customer_groups}",
     "resgroup_config": """
-SELECT DISTINCT cluster, snapshot_ts, groupid, CASE WHEN groupid = 2 THEN -1 ELSE groupid * 10 END AS cpu_limit,
+SELECT DISTINCT cluster, snapshot_ts, CASE WHEN groupid = 5 THEN 55 ELSE groupid END AS groupid, CASE WHEN groupid = 2 THEN -1 ELSE groupid * 10 END AS cpu_limit,
        CASE WHEN groupid = 3 THEN 0 WHEN groupid = 4 THEN -1 ELSE groupid * CASE WHEN cluster = 'c1' THEN 20 ELSE 5 END END AS memory_limit
-FROM {customer_groups} WHERE groupid <> 5""",
+FROM {customer_groups}""",
     "backups_raw": f"""
 SELECT concat('c', CAST(o_orderkey % 3 AS STRING)) AS cluster, {_NOW}, o_orderkey AS backup_id, concat('db', CAST(o_custkey % 5 AS STRING)) AS database_name,
        o_custkey % 2 AS incremental,
@@ -196,7 +198,7 @@ SELECT cluster, scrape_id, min(start_ts) AS start_ts, CAST(sum(duration_ms) AS D
 FROM {collector_run_log} GROUP BY cluster, scrape_id""",
     "scrape_requests": """
 SELECT concat('c', CAST(event_id % 3 AS STRING)) AS cluster, event_id AS request_id, ts AS request_ts
-FROM {events} WHERE event_type = 'view'""",
+FROM {events}""",
     # Entities that come and go: users seen per day, with a label that changes over time.
     "entity_days": """
 SELECT cluster, snapshot_ts, entity, CASE WHEN max(event_id) % 2 = 0 THEN 'p' ELSE 'm' END AS role, CAST(count(*) AS DOUBLE) AS value

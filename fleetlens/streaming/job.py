@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,12 +48,20 @@ def announced(manifest: DataFrame) -> DataFrame:
 
 
 def snapshot_tables(spark: SparkSession, landing: str, names: Iterable[str], snapshots: DataFrame) -> dict[str, DataFrame]:
-    """Landed rows of the given snapshots. Their first and last day go into the plan, so other folders are not listed."""
-    first, last = snapshots.agg(F.min(F.to_date("snapshot_ts")), F.max(F.to_date("snapshot_ts"))).first()
+    """Landed rows of the given snapshots.
+
+    Their first and last time go into the plan as literals: folders of other days are not listed, and row groups of other times
+    are skipped by their statistics.
+    """
+    bounds = snapshots.agg(
+        F.min("snapshot_ts").alias("first"), F.max("snapshot_ts").alias("last"),
+        F.min(F.to_date("snapshot_ts")).alias("first_day"), F.max(F.to_date("snapshot_ts")).alias("last_day"),
+    ).first()
+    first, last = bounds["first"], bounds["last"]
     tables = {}
     for name in names:
-        rows = read_landed(spark, landing, name, first, last)
-        rows = rows.filter(F.lit(False)) if first is None else rows
+        rows = read_landed(spark, landing, name, bounds["first_day"], bounds["last_day"])
+        rows = rows.filter(F.lit(False)) if first is None else rows.filter(F.col("snapshot_ts").between(F.lit(first), F.lit(last)))
         tables[name] = rows.join(snapshots, list(SCOPE), "left_semi").drop(DATE_COLUMN)
     return tables
 
@@ -63,9 +72,14 @@ def _slot(root: str, name: str, batch_id: int) -> str:
 
 
 def _previous(spark: SparkSession, root: str, name: str, batch_id: int, like: DataFrame) -> DataFrame:
-    if batch_id == 0:
-        return like.filter(F.lit(False))
-    return spark.read.schema(like.schema).parquet(_slot(root, name, batch_id - 1))
+    """What the batch before wrote; nothing for the first batch, or for a collector that joins a running job."""
+    if batch_id > 0:
+        try:
+            return spark.read.schema(like.schema).parquet(_slot(root, name, batch_id - 1))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return like.filter(F.lit(False))
 
 
 def advance_entities(
@@ -102,7 +116,8 @@ def collect_batch(
 ) -> None:
     """One micro-batch: samples of the announced snapshots, changes and pinned labels of tracked entities.
 
-    Snapshots not later than the last one processed for their cluster are ignored.
+    Every announced snapshot gives samples, late ones too, as a snapshot needs no other. Life cycles need order: for them,
+    snapshots not later than the last one processed for their cluster are left aside.
     """
     all_new = announced(manifest)
     seen = _previous(spark, state, "seen", batch_id, all_new)
@@ -111,15 +126,19 @@ def collect_batch(
     fresh = all_new.join(last, "cluster", "left").filter(is_new).select(*SCOPE)
 
     inputs = sorted({t for s in (*specs, *(x.spec for x in tracked)) for t in s.inputs})
-    tables: dict[str, DataFrame] = snapshot_tables(spark, landing, inputs, fresh)
-    tables["snapshots"] = fresh
+    tables: dict[str, DataFrame] = snapshot_tables(spark, landing, inputs, all_new)
+    tables["snapshots"] = all_new
     samples = collect_samples(tables, specs, namespace).withColumn("date", F.to_date("ts"))
     samples.hint("rebalance", "date", "metric").write.mode("overwrite").partitionBy("date", "metric").parquet(
         f"{out}/samples/batch={batch_id}"
     )
     for one in tracked:
         name = one.spec.name
-        entities = one.spec.build(tables)
+        # Written once and read back: three results are made from it.
+        place = f"{state}/{name}/entities={batch_id % 2}"
+        built = one.spec.build(tables).join(fresh, list(SCOPE), "left_semi").select(*one.columns)
+        built.write.mode("overwrite").parquet(place)
+        entities = spark.read.schema(built.schema).parquet(place)
         previous = _previous(spark, state, name, batch_id, entities.select(*one.columns))
         changes, pinned, live = advance_entities(one, previous, entities, seen, fresh)
         changes.write.mode("overwrite").parquet(f"{out}/changes/{name}/batch={batch_id}")

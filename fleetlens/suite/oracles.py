@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from fleetlens.operators.cluster import BANNER_PATTERN
 from fleetlens.plans import panels, registry
 from fleetlens.sources.fixtures import with_clause
 from fleetlens.suite.queries import (
@@ -27,7 +26,13 @@ def half_even(expression: str) -> str:
     return f"CAST({expression} AS BIGINT)"
 
 
-_PARTS = {n: f"TRY_CAST(NULLIF(regexp_extract(version_banner, '{BANNER_PATTERN}', {i}), '') AS INTEGER)" for n, i in (("major", 2), ("minor", 3), ("patch", 4))}
+# The number between "(product " and " build": cut at the markers, last word before the second one, first three numbers.
+_TOKEN = "list_extract(string_split(split_part(split_part(version_banner, '(', 2), ' build', 1), ' '), -1)"
+_IS_VERSION = f"(contains(split_part(version_banner, '(', 2), ' build') AND {_TOKEN} SIMILAR TO '[0-9]+[.][0-9]+[.][0-9]+([+_-].*)?')"
+_PARTS = {
+    n: f"CASE WHEN {_IS_VERSION} THEN CAST(string_split(string_split_regex({_TOKEN}, '[+_-]')[1], '.')[{i}] AS INTEGER) END"
+    for n, i in (("major", 1), ("minor", 2), ("patch", 3))
+}
 _VERSION = f"""
 v AS (SELECT *, {_PARTS['major']} AS major, {_PARTS['minor']} AS minor, {_PARTS['patch']} AS patch FROM {{source}}),
 ver AS (SELECT *, CASE WHEN major IS NOT NULL THEN concat(major, '.', minor, '.', patch) END AS version,
@@ -328,13 +333,13 @@ SELECT concat(metric, '{cluster="', cluster, '",database="', label_database, '",
     sql["topk_series"] = q("flat_samples", _RANGE, f"""
 SELECT {_FLAT}, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY CASE WHEN isnan(value) THEN CAST('-inf' AS DOUBLE) ELSE value END DESC,
   isnan(value), cluster, metric, label_database, label_table) AS rank FROM rng) WHERE rank <= 5""")
-    sql["sum_by_label"] = q("flat_samples", _RANGE, "SELECT ts, label_database AS database, cluster, round(sum(value), 6) AS value FROM rng WHERE NOT isnan(value) GROUP BY 1, 2, 3")
-    sql["avg_series"] = q("flat_samples", _RANGE, "SELECT ts, round(avg(value), 6) AS value FROM rng WHERE NOT isnan(value) GROUP BY 1")
+    sql["sum_by_label"] = q("flat_samples", _RANGE, "SELECT ts, label_database AS database, cluster, round(sum(value), 6) AS value FROM rng GROUP BY 1, 2, 3")
+    sql["avg_series"] = q("flat_samples", _RANGE, "SELECT ts, round(avg(value), 6) AS value FROM rng GROUP BY 1")
     sql["min_series"] = q("flat_samples", _RANGE, "SELECT ts, coalesce(min(value) FILTER (WHERE NOT isnan(value)), CAST('NaN' AS DOUBLE)) AS value FROM rng GROUP BY 1")
     sql["connection_usage_pct"] = q("flat_samples", "", """
 SELECT cluster, ts, CASE WHEN lim = 0 THEN CAST('inf' AS DOUBLE) ELSE conn / lim * 100 END AS value FROM (
  SELECT cluster, date_trunc('day', ts) AS ts, CAST(count(*) AS DOUBLE) AS conn, CAST(count(*) FILTER (WHERE metric = 'm_view') AS DOUBLE) AS lim
- FROM flat_samples WHERE NOT isnan(value) GROUP BY 1, 2)""")
+ FROM flat_samples GROUP BY 1, 2)""")
     sql["compare_filter"] = q("flat_samples", "", "SELECT * FROM flat_samples WHERE value > 1.5 AND NOT isnan(value)")
     sql["match_labels"] = q("flat_samples", "", """
 SELECT * FROM flat_samples WHERE label_database IN ('db1', 'db3', 'db4') AND length(label_table) = 2 AND cluster IN ('c0', 'c1')""")
@@ -415,6 +420,7 @@ SELECT cluster, datname, 'per_db', unnest({_PER_DB!r}) FROM allowed WHERE (clust
     sql["collect_snapshot"] = "SELECT cluster, ts, metric, count(*) AS samples, round(sum(value), 4) AS total FROM (" + " UNION ALL ".join(
         f"SELECT cluster, ts, '{full}' AS metric, value FROM ({_metric_sql(sql, bare)[0]})" for full, bare in metrics) + ") GROUP BY 1, 2, 3"
     sql.update({f"panel_{p.key}": panel_sql(sql, p) for p in panels.PANELS})
+    sql.update({f"legend_{key}": legend_sql(sql, panels.panel(key)) for key in PANEL_CALCS})
     del sql["cluster_state_hourly"]
     return sql
 
@@ -445,12 +451,75 @@ def _selected(sql: dict[str, str], metric: str, t: panels.Target, w: panels.Wind
  FROM (SELECT * FROM ({source}) {where}) m JOIN ({steps}) s ON m.ts <= s.step_at AND m.ts > s.step_at - INTERVAL '{w.lookback_seconds}' SECOND) WHERE rn = 1""", names
 
 
+# Written by hand from the dashboards, apart from the recipes: colour steps, mapped numbers, figures of a legend.
+GREEN = "'green'"
+_STEPS = {
+    "red below 1": "CASE WHEN v >= 1 THEN 'green' ELSE 'red' END",
+    "usage": "CASE WHEN v >= 95 THEN 'red' WHEN v >= 85 THEN 'orange' WHEN v >= 70 THEN 'yellow' ELSE 'green' END",
+    "red from 1": "CASE WHEN v >= 1 THEN 'red' ELSE 'green' END",
+    "1 5": "CASE WHEN v >= 5 THEN 'red' WHEN v >= 1 THEN 'yellow' ELSE 'green' END",
+    "5 10": "CASE WHEN v >= 10 THEN 'red' WHEN v >= 5 THEN 'yellow' ELSE 'green' END",
+    "1M 10M": "CASE WHEN v >= 10485760 THEN 'red' WHEN v >= 1048576 THEN 'yellow' ELSE 'green' END",
+    "512K 5M": "CASE WHEN v >= 5242880 THEN 'red' WHEN v >= 524288 THEN 'yellow' ELSE 'green' END",
+    "day week": "CASE WHEN v >= 604800 THEN 'red' WHEN v >= 86400 THEN 'yellow' ELSE 'green' END",
+    "0.1 0.3": "CASE WHEN v >= 0.3 THEN 'red' WHEN v >= 0.1 THEN 'yellow' ELSE 'green' END",
+    "0.05 0.2": "CASE WHEN v >= 0.2 THEN 'red' WHEN v >= 0.05 THEN 'yellow' ELSE 'green' END",
+    "1.5 2": "CASE WHEN v >= 2 THEN 'red' WHEN v >= 1.5 THEN 'yellow' ELSE 'green' END",
+    "1 2": "CASE WHEN v >= 2 THEN 'red' WHEN v >= 1 THEN 'yellow' ELSE 'green' END",
+    "yellow from 1": "CASE WHEN v >= 1 THEN 'yellow' ELSE 'green' END",
+    "2 3 4": "CASE WHEN v >= 4 THEN 'red' WHEN v >= 3 THEN 'orange' WHEN v >= 2 THEN 'yellow' ELSE 'green' END",
+}
+PANEL_STEPS = {
+    "overview_cluster_status": "red below 1", "overview_connection_usage": "usage", "overview_locked_sessions": "1 5",
+    "overview_segments_down": "red from 1", "overview_query_activity": "5 10", "overview_replication_lag": "1M 10M",
+    "overview_max_replication_lag": "1M 10M", "dbhealth_vacuum_running": "yellow from 1", "dbhealth_max_vacuum_age": "day week",
+    "dbhealth_max_dead_ratio": "0.1 0.3", "dbhealth_avg_dead_ratio": "0.05 0.2", "dbhealth_oldest_vacuums": "day week",
+    "dbhealth_bloat_state": "1 2", "dbhealth_top_skew": "1.5 2", "dbhealth_bloated_tables": "1 2", "dbhealth_skewed_tables": "1.5 2",
+    "replication_segments_down": "red from 1", "replication_sync_replicas": "red below 1", "replication_segment_mode": "2 3 4",
+    "replication_max_lag_now": "1M 10M", "replication_avg_lag": "512K 5M", "replication_lag_details": "1M 10M",
+}
+_STATUS = "(0, 'DOWN', 'red'), (1, 'UP', 'green')"
+_BLOATED = "(0, 'No Bloat', 'green'), (1, 'Moderate', 'yellow'), (2, 'Severe', 'red')"
+_SYNCED = "(0, 'Unknown', 'red'), (0.5, 'Potential', 'yellow'), (1, 'Async', 'orange'), (2, 'Sync', 'green')"
+PANEL_TEXTS = {
+    "overview_cluster_status": _STATUS, "replication_segment_status": _STATUS, "replication_segment_table": _STATUS,
+    "dbhealth_vacuum_running": "(0, 'Not Running', 'green'), (1, 'Running', 'yellow')",
+    "dbhealth_bloat_state": _BLOATED, "dbhealth_bloated_tables": _BLOATED,
+    "replication_sync_replicas": "(0, 'No Sync', 'red'), (1, 'Synced', 'green')",
+    "replication_segment_role": "(1, 'Primary', 'green'), (2, 'Mirror', 'blue')",
+    "replication_segment_mode": "(1, 'Synchronized', 'green'), (2, 'Resyncing', 'yellow'), (3, 'Change Tracking', 'orange'), (4, 'Not Syncing', 'red')",
+    "replication_min_sync_state": _SYNCED, "replication_sync_state": _SYNCED,
+    "replication_state": "(0, 'Unknown', 'red'), (1, 'Streaming', 'green'), (2, 'Catchup', 'yellow'), (3, 'Backup', 'blue')",
+}
+PANEL_CALCS = {
+    "overview_segment_status": "last max", "overview_connections_by_state": "last max", "overview_query_activity": "last max",
+    "overview_query_duration": "last", "overview_replication_lag": "last max", "dbhealth_vacuum_counts": "last sum",
+    "dbhealth_top_dead_ratio": "last max", "dbhealth_bloat_state": "last", "dbhealth_top_skew": "last max",
+    "replication_segment_status": "last", "replication_segment_role": "last", "replication_segment_mode": "last",
+    "replication_lag_details": "last max mean", "replication_state": "last", "replication_sync_state": "last",
+}
+
+
 def _chain(value: str, p: panels.Panel) -> str:
-    bands = " ".join(f"WHEN {value} >= {bound} AND NOT isnan({value}) THEN '{colour}'" for colour, bound in reversed(p.bands[1:]))
-    band = f"CASE {bands} ELSE '{p.bands[0][0]}' END" if bands else f"'{p.bands[0][0]}'"
-    if not p.texts:
+    step = PANEL_STEPS.get(p.key)
+    number = f"CASE WHEN NOT isnan({value}) THEN {value} END"
+    band = _STEPS[step].replace("v >=", f"({number}) >=") if step else GREEN
+    mapped = PANEL_TEXTS.get(p.key)
+    if not mapped:
         return f"{band} AS band"
-    return f"{band} AS band, {_text(value, dict(p.texts))} AS text"
+    rows = re.findall(r"\(([0-9.]+), '([^']*)', '([^']*)'\)", mapped)
+    colours = " ".join(f"WHEN {value} = {n} THEN '{colour}'" for n, _, colour in rows)
+    return f"CASE {colours} ELSE {band} END AS band, {_text(value, {float(n): text for n, text, _ in rows})} AS text"
+
+
+def legend_sql(sql: dict[str, str], p: panels.Panel) -> str:
+    """Figures of each line: the last value by time, and folds over the values that are numbers."""
+    folds = {
+        "last": "arg_max(value, ts) AS last", "max": "max(value) FILTER (NOT isnan(value)) AS max",
+        "sum": "round(sum(value) FILTER (NOT isnan(value)), 6) AS sum", "mean": "round(avg(value) FILTER (NOT isnan(value)), 6) AS mean",
+    }
+    chosen = ", ".join(folds[c] for c in PANEL_CALCS[p.key].split())
+    return f"SELECT cluster, legend, {chosen} FROM ({panel_sql(sql, p)}) GROUP BY cluster, legend"
 
 
 def panel_sql(sql: dict[str, str], p: panels.Panel) -> str:

@@ -120,7 +120,7 @@ def _usage(t: Inputs) -> DataFrame:
     """Two metrics of the same series for the ratio: sessions and twice-a-day limits."""
     flat = t["flat_samples"]
     day = F.date_trunc("day", "ts").alias("ts")
-    daily = flat.filter(~F.isnan("value")).groupBy("cluster", day).agg(
+    daily = flat.groupBy("cluster", day).agg(
         F.count(F.lit(1)).cast("double").alias("connections"), F.count_if(F.col("metric") == "m_view").cast("double").alias("limit")
     )
     no_labels = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -264,8 +264,8 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "instant_select": lambda t: _flat(_instant(t), "value"),
     "range_select": lambda t: _flat(_range(t), "value"),
     "topk_series": lambda t: _flat(series.topk_series(_range(t), 5), "value", F.col("rank").cast("bigint")),
-    "sum_by_label": lambda t: _rounded(series.sum_by_label(series.compare_filter(_range(t), ">=", 0.0), "database", "cluster"), value=6),
-    "avg_series": lambda t: _rounded(series.avg_series(series.compare_filter(_range(t), ">=", 0.0)), value=6),
+    "sum_by_label": lambda t: _rounded(series.sum_by_label(_range(t), "database", "cluster"), value=6),
+    "avg_series": lambda t: _rounded(series.avg_series(_range(t)), value=6),
     "min_series": lambda t: series.min_series(_range(t)),
     "connection_usage_pct": lambda t: series.connection_usage_pct(_usage(t), "sessions", "limit").select("cluster", "ts", "value"),
     "compare_filter": lambda t: _flat(series.compare_filter(t["metric_samples"], ">", 1.5), "value"),
@@ -361,7 +361,19 @@ def _panel(key: str) -> Callable[[Inputs], DataFrame]:
     return build
 
 
+def _legend(key: str) -> Callable[[Inputs], DataFrame]:
+    p = panels.panel(key)
+
+    def build(t: Inputs) -> DataFrame:
+        samples = _metric_sources(t, panels.panel_metrics(p))
+        out = panels.legend_values(samples, p, panel_window(p), variables=PANEL_VARIABLES)
+        return _rounded(out, **{c: 6 for c in ("sum", "mean") if c in p.calcs})
+
+    return build
+
+
 _COLLECT.update({f"panel_{p.key}": _panel(p.key) for p in panels.PANELS})
+_COLLECT.update({f"legend_{p.key}": _legend(p.key) for p in panels.PANELS if p.calcs})
 
 
 def all_queries() -> dict[str, Query]:

@@ -363,3 +363,18 @@ def test_legend_and_organize(spark):
     assert v.select(series.legend("plain")).first()[0] == "plain"
     table = series.organize_columns(v, ["Time", "p", "h", "Value"], exclude=["Time"])
     assert table.columns == ["p", "h", "Value"] and tuple(table.first()) == ("1", "a", 2.0)
+
+
+def test_matchers_span_lines_and_whole_values(spark):
+    samples = spark.createDataFrame([("c", "m", {"d": v}) for v in ("db1", "db1\n", "a\nb", "xdb1")], "cluster string, metric string, labels map<string,string>")
+
+    def kept(pattern):
+        return sorted(r.labels["d"] for r in series.match_labels(samples, {"d": pattern}).collect())
+
+    assert kept("db1") == kept("db[1]") == kept("(db1)") == ["db1"]
+    assert kept("a.+b") == ["a\nb"] and kept("db1.") == ["db1\n"] and kept("db1|xdb1") == kept("x?db1") == ["db1", "xdb1"]
+
+
+def test_unknown_database_size_is_zero(spark):
+    rows = spark.createDataFrame([("c", None, "a", None), ("c", None, "b", 3 << 20)], "cluster string, snapshot_ts timestamp, datname string, bytes bigint")
+    assert {r.datname: r.size_mb for r in databases.database_size({"database_size": rows}).collect()} == {"a": 0.0, "b": 3.0}

@@ -28,7 +28,6 @@ CASES = [
     ("flag", S.flag, "boolean", [(True, 1.0), (False, 0.0), (None, 0.0)]),
     ("zero", S.value_or_zero, "double", [(None, 0.0), (3.5, 3.5)]),
     ("compact", S.compact_epoch, "string", [("20240301120000", 1709294400), ("", None), ("2024", None), (None, None), ("20241301000000", None)]),
-    ("lsn", S.lsn_to_num, "string", [("0/0", 0), ("1/0", 2**32), ("A/FF", 10 * 2**32 + 255), ("FFFFFFFF/FFFFFFFF", 2**64 - 1), ("x/1", None), (None, None)]),
 ]
 
 
@@ -85,6 +84,10 @@ BANNERS = [
     ("PostgreSQL 9.4.26 (X Database 6.28.0 build 1)", (6, 28, 0), True),
     ("PostgreSQL 9.4.26 (X Database 6.27.0 build 1)", (6, 27, 0), False),
     ("PostgreSQL 9.4.26 (X Database 5.99.99 build 1)", (5, 99, 99), False),
+    ("PostgreSQL (x) 9 (X Database 6.30.2-rc1 build 1)", (6, 30, 2), True),
+    ("PostgreSQL 9.4.26 (X Database 6.27 build 1)", None, False),
+    ("PostgreSQL 9.4.26 (X Database 6.27.1 builds 1)", None, False),
+    ("PostgreSQL 9.4.26 X Database 6.27.1 build 1", None, False),
     ("PostgreSQL 14.0", None, False),
     ("", None, False),
     (None, None, False),
@@ -104,3 +107,16 @@ def test_value_text(spark):
     assert [r[0] for r in df.select(S.value_text("v", {0: "Unknown", 0.5: "Potential"})).collect()] == ["Unknown", "Potential", "7.0"]
     assert one(spark, 1.0, "double", S.value_text("x", {})) == "1.0"
     assert F is not None
+
+
+@pytest.mark.parametrize(
+    "sent,reached,lag",
+    [
+        ("0/10", "0/0", 16), ("1/0", "0/FFFFFFFF", 1), ("0/0", "0/10", 0), (None, "0/0", 0), ("0/0", None, 0),
+        ("7FFFFFFF/FFFFFFFF", "0/0", 2**63 - 1), ("80000000/0", "0/0", 2**63 - 1), ("FFFFFFFF/0", "0/0", 2**63 - 1),
+        ("0/0", "FFFFFFFF/FFFFFFFF", 0), ("x/1", "0/0", 0), ("1/2/3", "0/0", 0), ("123456789/0", "0/0", 0), ("", "0/0", 0),
+    ],
+)
+def test_lag(spark, sent, reached, lag):
+    row = spark.createDataFrame([(sent, reached)], "a string, b string").select(S.lag_bytes("a", "b")).first()
+    assert row[0] == lag

@@ -9,7 +9,7 @@ from fleetlens.operators.lifecycle import entity_changes, pinned_labels
 from fleetlens.plans import registry
 from fleetlens.plans.collect import collect_samples
 from fleetlens.sources.catalog import DATE_COLUMN, read_landed, write_landed
-from fleetlens.streaming.job import Tracked, start_collecting, stream_samples
+from fleetlens.streaming.job import Tracked, snapshot_tables, start_collecting, stream_samples
 
 SPECS = {s.name: s for s in registry.COLLECTORS}
 CHOSEN = tuple(SPECS[n] for n in ("segment_health", "segment_counts", "connections_by_state", "connections_total", "vacuum_running_flag"))
@@ -83,7 +83,7 @@ def test_micro_batches_equal_batch(spark, landing, tmp_path, files):
     assert _rows(pinned) == _rows(pinned_labels(entities, keys, ["role"], snapshots=tables["snapshots"]))
 
 
-def test_late_snapshot_is_ignored_and_restart_resumes(spark, tmp_path):
+def test_late_snapshot_gives_samples_and_restart_resumes(spark, tmp_path):
     root, out = str(tmp_path / "landing"), str(tmp_path / "out")
 
     def land(day):
@@ -101,7 +101,7 @@ def test_late_snapshot_is_ignored_and_restart_resumes(spark, tmp_path):
     land(5)
     run()
     days = [r[0].day for r in spark.read.parquet(f"{out}/samples").select("ts").distinct().orderBy("ts").collect()]
-    assert days == [2, 4, 5]
+    assert days == [2, 3, 4, 5]  # the life cycle below goes without the late one
     tables = reduce(DataFrame.unionByName, [_day(spark, d)["segment_config"] for d in (2, 4, 5)])
     entities = SPECS["segment_health"].transform({"segment_config": tables})
     changes = spark.read.parquet(f"{out}/changes/segment_health").drop("batch")
@@ -122,3 +122,24 @@ def test_single_table_collector_as_stream(spark, landing, tmp_path):
     newest = expected.agg(F.max("ts")).first()[0]
     columns = ["cluster", "ts", "metric", "value"]
     assert _rows(got.select(*columns)) == _rows(expected.filter(F.col("ts") < newest).select(*columns))
+
+
+def test_collector_joins_a_running_job(spark, tmp_path):
+    root, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    more = (*TRACKED, Tracked(SPECS["connections_by_state"]))
+    for day, tracked in ((1, TRACKED), (2, more)):
+        for name, df in _day(spark, day).items():
+            write_landed(df, root, name)
+        start_collecting(
+            spark, root, out, name="joined", specs=CHOSEN, tracked=tracked, interval=None, home=str(tmp_path / "home")
+        ).awaitTermination(240)
+    changes = spark.read.parquet(f"{out}/changes/connections_by_state")
+    assert {r.snapshot_ts.day for r in changes.collect()} == {2}
+
+
+def test_batch_reads_only_the_times_it_needs(spark, landing):
+    one = spark.sql("SELECT 'c0' AS cluster, TIMESTAMP '2024-03-02 00:00:00' AS snapshot_ts")
+    rows = snapshot_tables(spark, landing, ["segment_config"], one)["segment_config"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(snapshot_ts,2024-03-02" in plan and "LessThanOrEqual(snapshot_ts,2024-03-02" in plan
+    assert {r.snapshot_ts.day for r in rows.collect()} == {2}
