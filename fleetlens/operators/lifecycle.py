@@ -59,36 +59,59 @@ def entity_changes(entities: DataFrame, keys: Sequence[str], snapshots: DataFram
     return _marks(entities, keys, spine).select(*SCOPE, *keys, _change().alias("change"))
 
 
+def absence_spans(entities: DataFrame, keys: Sequence[str], snapshots: DataFrame | None = None) -> DataFrame:
+    """One row per absence: ``cluster, keys, from_idx, until_idx``, the numbers of the first and last snapshot without the entity.
+
+    This is the compact result: an entity that is gone for a month is one row, however often its cluster was looked at.
+    """
+    spine = snapshot_spine(entities if snapshots is None else snapshots)
+    turns = _marks(entities, keys, spine).withColumn("change", _change()).filter(F.col("change") != "kept")
+    # Turns alternate between new and deleted, so an absence ends right before the turn that follows it.
+    followed = next_in_order(
+        turns.select("cluster", *keys, "idx", "last_idx", "change"), ["cluster", *keys], "idx", "_turn", block_chunk("idx")
+    )
+    return followed.filter(F.col("change") == "deleted").select(
+        "cluster", *keys, F.col("idx").alias("from_idx"), F.coalesce(F.col("_turn") - 1, F.col("last_idx")).alias("until_idx")
+    )
+
+
 def absent_policy(
     entities: DataFrame,
     keys: Sequence[str],
     values: Sequence[str],
     policy: str,
     snapshots: DataFrame | None = None,
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """Values of every known entity in every snapshot from its first sight on.
 
-    ``remove``: an absent entity has no row. ``nan`` / ``zero``: it keeps a row with that value until it returns.
-    Each absence is one (from, until) pair of snapshot numbers, expanded in place, so no entity is paired with
-    snapshots it is not reported in.
+    ``remove``: an absent entity has no row. ``nan`` / ``zero``: it keeps a row with that value until it returns. Absences are
+    expanded in place, and only for the snapshots between ``start`` and ``end`` where these are given; rows of present entities are
+    cut to the same range.
     """
     if policy not in ABSENT_POLICIES:
         raise ValueError(f"policy {policy!r} is not one of {ABSENT_POLICIES}")
-    present = entities.select(*SCOPE, *keys, *[F.col(v).cast("double").alias(v) for v in values])
+
+    def asked(df: DataFrame) -> DataFrame:
+        for bound, keep in ((start, lambda b: F.col("snapshot_ts") >= b), (end, lambda b: F.col("snapshot_ts") <= b)):
+            df = df if bound is None else df.filter(keep(F.lit(bound).cast("timestamp")))
+        return df
+
+    present = asked(entities.select(*SCOPE, *keys, *[F.col(v).cast("double").alias(v) for v in values]))
     if policy == "remove":
         return present
     fill = F.lit(float("nan") if policy == "nan" else 0.0)
     spine = snapshot_spine(entities if snapshots is None else snapshots)
-    turns = _marks(entities, keys, spine).withColumn("change", _change()).filter(F.col("change") != "kept")
-    # Turns alternate between new and deleted, so an absence ends right before the turn that follows it.
-    followed = next_in_order(
-        turns.select("cluster", *keys, "idx", "last_idx", "change"), ["cluster", *keys], "idx", "_turn", block_chunk("idx")
-    )
-    absences = followed.filter(F.col("change") == "deleted").select(
-        "cluster", *keys, "idx", F.coalesce(F.col("_turn") - 1, F.col("last_idx")).alias("_until")
-    )
-    gaps = expand_range(absences, "idx", "_until", "idx")
-    absent = gaps.join(spine.select("cluster", "idx", "snapshot_ts"), ["cluster", "idx"]).select(
+    wanted = asked(spine)
+    spans = absence_spans(entities, keys, snapshots)
+    if start is not None or end is not None:
+        reach = wanted.groupBy("cluster").agg(F.min("idx").alias("_low"), F.max("idx").alias("_high"))
+        spans = spans.join(reach, "cluster").select(
+            "cluster", *keys, F.greatest("from_idx", "_low").alias("from_idx"), F.least("until_idx", "_high").alias("until_idx")
+        ).filter("from_idx <= until_idx")
+    gaps = expand_range(spans, "from_idx", "until_idx", "idx")
+    absent = gaps.join(wanted.select("cluster", "idx", "snapshot_ts"), ["cluster", "idx"]).select(
         *SCOPE, *keys, *[fill.alias(v) for v in values]
     )
     return present.unionByName(absent)
@@ -125,13 +148,20 @@ def pinned_labels(
     return pinned.select(*SCOPE, *keys, *values, "_pin.*")
 
 
-def validate_entities(entities: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Rows that break the entity contract, with the reason; empty when all is well."""
+def _problem(keys: Sequence[str], values: Sequence[str]) -> Column:
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     no_value = reduce(Column.__and__, [F.col(v).isNull() for v in values])
-    return entities.withColumn(
-        "problem", F.when(no_key, F.lit("null key")).when(no_value, F.lit("null value"))
-    ).filter(F.col("problem").isNotNull())
+    return F.when(no_key, F.lit("null key")).when(no_value, F.lit("null value"))
+
+
+def validate_entities(entities: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows that break the entity contract, with the reason; empty when all is well."""
+    return entities.withColumn("problem", _problem(keys, values)).filter(F.col("problem").isNotNull())
+
+
+def sound_entities(entities: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The rows that keep the contract."""
+    return entities.filter(_problem(keys, values).isNull())
 
 
 def carry_forward(entities: DataFrame, snapshots: DataFrame, ok: str = "ok") -> DataFrame:

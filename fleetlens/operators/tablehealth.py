@@ -44,16 +44,17 @@ def table_skew_top(tables: Mapping[str, DataFrame], top: int = SKEW_TOP) -> Data
 
 
 def table_health(tables: Mapping[str, DataFrame], top: int = SKEW_TOP) -> DataFrame:
-    """Bloat and skew merged by table, 0 for the side a table is missing from.
+    """Bloat and skew merged by table, 0 for the side a table is missing from; bloat alone where skew could not be read.
 
     A full outer merge written as union and aggregate: one hash aggregation with map-side combine in place of two
     sorted sides, and no broadcast decision to get wrong.
     """
     bloat = table_bloat(tables).withColumn("skew_factor", F.lit(None).cast("double"))
-    skew = table_skew_top(tables, top).withColumn("bloat_state", F.lit(None).cast("int"))
+    both = bloat
+    if "skew_coefficients" in tables:
+        both = bloat.unionByName(table_skew_top(tables, top).withColumn("bloat_state", F.lit(None).cast("int")))
     return (
-        bloat.unionByName(skew)
-        .groupBy(*SCOPE, *_KEY)
+        both.groupBy(*SCOPE, *_KEY)
         .agg(
             F.coalesce(F.max("bloat_state").cast("double"), F.lit(0.0)).alias("bloat_state"),
             F.coalesce(F.max("skew_factor"), F.lit(0.0)).alias("skew_factor"),

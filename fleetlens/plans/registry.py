@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -148,7 +149,7 @@ COLLECTORS: tuple[CollectorSpec, ...] = (
     ),
     CollectorSpec(
         "table_health", "table_health", ("bloat_diag", "skew_coefficients"), tablehealth.table_health,
-        ("datname", "nspname", "relname"), absent="nan", group="per_db",
+        ("datname", "nspname", "relname"), absent="nan", group="per_db", optional=("skew_coefficients",),
         metrics=_metrics(SERVER, _TABLE, table_bloat_state="bloat_state", table_skew_factor="skew_factor"),
     ),
     CollectorSpec(
@@ -272,6 +273,19 @@ SUMMARY_METRICS = _metrics(
 )
 
 
+# Running totals, and the parts of one summary; all other metrics are gauges.
+_COUNTERS = ("collector_error_total", "total_scraped_total", "total_error_total")
+
+
+def _kind(m: MetricSpec) -> MetricSpec:
+    kind = "counter" if m.name in _COUNTERS else "summary" if m.name.startswith("scrape_duration_seconds") else m.kind
+    return replace(m, kind=kind)
+
+
+RUN_STATS_METRICS = tuple(map(_kind, RUN_STATS_METRICS))
+SUMMARY_METRICS = tuple(map(_kind, SUMMARY_METRICS))
+
+
 def run_log_tables(tables: Mapping[str, DataFrame]) -> dict[str, tuple[DataFrame, tuple[MetricSpec, ...], str]]:
     """Run-log frames with their metrics and time column (summaries carry the cluster's last scrape time)."""
     last = tables["scrape_log"].groupBy("cluster").agg(F.max("start_ts").alias("ts"))

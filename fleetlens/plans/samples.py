@@ -13,12 +13,17 @@ from fleetlens.functions.scope import SCOPE
 
 @dataclass(frozen=True)
 class MetricSpec:
-    """One metric family: its name, the column that holds the value, and the columns that become labels."""
+    """One metric family: its name, the column that holds the value, and the columns that become labels.
+
+    ``kind`` is ``gauge``, ``counter`` or ``summary``.
+    """
 
     name: str
     value: str
     labels: tuple[tuple[str, str], ...] = ()
     subsystem: str | None = None
+    kind: str = "gauge"
+    help: str = ""
 
     def full_name(self, namespace: str = "fleet") -> str:
         return metric_name(self.name, self.subsystem, namespace)
@@ -31,7 +36,8 @@ class CollectorSpec:
     Users register their own by building one of these; ``transform`` takes the input tables by name.
     ``collector`` names the switch that turns it on, ``absent`` what a metric shows once its entity is gone
     (``remove``, ``nan``, ``zero`` or None for figures that always exist), ``on_error`` whether a failure stops
-    the run (``fail``), leaves the collector out (``continue``) or yields an empty snapshot (``empty``). With
+    the run (``fail``), leaves the collector out (``continue``) or yields an empty snapshot (``empty``). Inputs in
+    ``optional`` may be missing; the transform then goes without. With
     ``spine`` the transform also takes the list of all snapshots, to report zeros for those without any row.
     """
 
@@ -44,6 +50,7 @@ class CollectorSpec:
     absent: str | None = None
     on_error: str = "fail"
     group: str = "general"
+    optional: tuple[str, ...] = ()
     spine: bool = False
     to_samples: Callable[[DataFrame, str], DataFrame] | None = field(default=None, compare=False)
 
@@ -141,12 +148,24 @@ def exposition_lines(samples: DataFrame, cluster_label: bool = True) -> DataFram
     return samples.select(F.concat("metric", body, F.lit(" "), number).alias("value"))
 
 
+def exposition_headers(metrics: Sequence[MetricSpec], namespace: str = "fleet") -> list[str]:
+    """Help and type lines, which stand before the lines of their metric family."""
+    lines = []
+    for m in metrics:
+        name = m.full_name(namespace)
+        if m.help:
+            text = m.help.replace("\\", "\\\\").replace("\n", "\\n")
+            lines.append(f"# HELP {name} {text}")
+        lines.append(f"# TYPE {name} {m.kind}")
+    return lines
+
+
 def entity_key(*columns: str, separator: str = ".") -> Column:
     """Display form of an entity key (keys stay separate columns everywhere else)."""
     return F.concat_ws(separator, *[F.col(c).cast("string") for c in columns])
 
 
 __all__ = [
-    "SCOPE", "CollectorSpec", "MetricSpec", "entity_key", "exposition_lines", "label_map",
+    "SCOPE", "CollectorSpec", "MetricSpec", "entity_key", "exposition_headers", "exposition_lines", "label_map",
     "metric_column_samples", "spec_samples", "to_samples",
 ]

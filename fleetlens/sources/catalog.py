@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetlens.plans.samples import exposition_lines
 from fleetlens.schemas import table_schema
 
+log = logging.getLogger(__name__)
+
 # Landed tables are laid out as <root>/<table>/snapshot_date=<day>/…parquet, so a time range prunes folders.
 DATE_COLUMN = "snapshot_date"
 
@@ -49,18 +52,24 @@ def read_jdbc(spark: SparkSession, cluster: str, options: Mapping[str, str], sna
     return rows.select(F.lit(cluster).alias("cluster"), when.alias("snapshot_ts"), *rows.columns)
 
 
-def read_databases(readers: Mapping[str, object], skip_errors: bool = True) -> DataFrame | None:
-    """Union over databases of what each reader returns, tagged ``datname``; a database that fails is skipped.
+def read_databases(
+    readers: Mapping[str, object], skip_errors: bool = True, failures: list[tuple[str, str]] | None = None
+) -> DataFrame | None:
+    """Union over databases of what each reader returns, tagged ``datname``.
 
-    ``readers`` maps a database name to a function without arguments that returns its frame.
+    ``readers`` maps a database name to a function without arguments that returns its frame. A database that fails is skipped, logged,
+    and noted as (database, error) in ``failures``.
     """
     parts: list[DataFrame] = []
     for name, read in readers.items():
         try:
             df = read()  # type: ignore[operator]
-        except Exception:
+        except Exception as error:
             if not skip_errors:
                 raise
+            log.warning("database %s left out: %s", name, error)
+            if failures is not None:
+                failures.append((name, str(error)))
             continue
         parts.append(df.withColumn("datname", F.lit(name)))
     return reduce(DataFrame.unionByName, parts) if parts else None

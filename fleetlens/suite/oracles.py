@@ -367,6 +367,27 @@ SELECT label_table AS "table", label_database AS database, value AS "Value" FROM
 SELECT cluster, snapshot_ts, entity, value, arg_min(role, snapshot_ts) OVER (PARTITION BY cluster, entity, life) AS role FROM (
  SELECT e.*, sum(CASE WHEN c.change = 'new' THEN 1 ELSE 0 END) OVER (PARTITION BY e.cluster, e.entity ORDER BY e.snapshot_ts) AS life
  FROM entity_days e JOIN spine s USING (cluster, snapshot_ts) JOIN changes c ON c.cluster = e.cluster AND c.entity = e.entity AND c.idx = s.idx)""")
+    sql["collect_history"] = q("entity_days entity_snapshots", _ALL_DAYS, """
+SELECT cluster, snapshot_ts AS ts, 'fleet_entity_value' AS metric, entity,
+       last_value(CASE WHEN present AND NOT coalesce(before, FALSE) THEN role END IGNORE NULLS)
+         OVER (PARTITION BY cluster, entity ORDER BY idx ROWS UNBOUNDED PRECEDING) AS role,
+       CASE WHEN present THEN value ELSE CAST('NaN' AS DOUBLE) END AS value
+FROM (
+ SELECT f.cluster, f.entity, s.idx, s.snapshot_ts, e.entity IS NOT NULL AS present, e.role, e.value,
+        lag(e.entity IS NOT NULL) OVER (PARTITION BY f.cluster, f.entity ORDER BY s.idx) AS before
+ FROM (SELECT cluster, entity, min(idx) AS first_idx FROM here GROUP BY 1, 2) f
+ JOIN spine s ON s.cluster = f.cluster AND s.idx >= f.first_idx
+ LEFT JOIN entity_days e ON e.cluster = s.cluster AND e.snapshot_ts = s.snapshot_ts AND e.entity = f.entity)""")
+    day_spine = _SPINE.format(snapshots="(SELECT DISTINCT cluster, snapshot_ts FROM entity_days)", entities="entity_days")
+    sql["absence_spans"] = q("entity_days", day_spine, """
+SELECT d.cluster, d.entity, d.idx AS from_idx,
+       coalesce((SELECT min(n.idx) - 1 FROM here n WHERE n.cluster = d.cluster AND n.entity = d.entity AND n.idx > d.idx),
+                (SELECT max(s.idx) FROM spine s WHERE s.cluster = d.cluster)) AS until_idx
+FROM changes d WHERE d.change = 'deleted'""")
+    sql["absent_policy_range"] = (
+        f"SELECT * FROM ({q('entity_days entity_snapshots', _absent('0.0'), '').strip()}) "
+        "WHERE snapshot_ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'"
+    )
     sql["pinned_labels_kept"] = q("entity_days", "", """
 SELECT cluster, snapshot_ts, entity, value, arg_min(role, snapshot_ts) OVER (PARTITION BY cluster, entity) AS role FROM entity_days""")
     sql["validate_entities"] = q("flat_samples", "", """

@@ -14,7 +14,7 @@ from fleetlens.operators import (
 )
 from fleetlens.plans import panels, registry
 from fleetlens.plans.collect import collect_samples
-from fleetlens.plans.samples import exposition_lines, spec_samples, to_samples
+from fleetlens.plans.samples import CollectorSpec, MetricSpec, exposition_lines, spec_samples, to_samples
 from fleetlens.session import configure
 from fleetlens.sources.catalog import parse_disk_usage
 from fleetlens.sources.fixtures import DERIVATIONS, derive
@@ -176,6 +176,22 @@ ONE_SNAPSHOT_COLLECTORS = (
 )
 
 
+# A collector over entities that come and go, with a label that moves.
+HISTORY_SPEC = CollectorSpec(
+    "entity_days", "entity_days", ("entity_days",), lambda t: t["entity_days"], ("entity",), absent="nan",
+    metrics=(MetricSpec("value", "value", (("entity", "entity"), ("role", "role")), "entity"),),
+)
+
+
+def _collect_history(t: Inputs) -> DataFrame:
+    """Samples under the life-cycle rules: pinned labels, and NaN for entities that are gone."""
+    tables = {"entity_days": t["entity_days"], "snapshots": t["entity_snapshots"]}
+    samples = collect_samples(tables, [HISTORY_SPEC], history=True)
+    return samples.select(
+        "cluster", "ts", "metric", F.col("labels")["entity"].alias("entity"), F.col("labels")["role"].alias("role"), "value"
+    )
+
+
 def _collect_snapshot(t: Inputs) -> DataFrame:
     """A whole collection run, counted and summed per metric."""
     specs = [s for s in registry.selected_specs({"table_health": True}) if s.name in ONE_SNAPSHOT_COLLECTORS]
@@ -291,6 +307,11 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
         t["entity_days"].join(t["entity_snapshots"].filter("ok"), ["cluster", "snapshot_ts"], "left_semi"),
         ["entity"], t["entity_snapshots"].filter("ok"),
     ),
+    "collect_history": _collect_history,
+    "absence_spans": lambda t: lifecycle.absence_spans(t["entity_days"], ["entity"]),
+    "absent_policy_range": lambda t: lifecycle.absent_policy(
+        t["entity_days"], ["entity"], ["value"], "zero", start="2024-01-10", end="2024-01-20"
+    ),
     "absent_policy": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "zero"),
     "absent_policy_nan": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "nan"),
     "absent_policy_remove": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "remove"),

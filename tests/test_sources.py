@@ -182,3 +182,26 @@ def test_panel_variables_and_top(spark):
     window = panels.Window("2024-01-01 00:00:00", "2024-01-01 00:00:00")
     got = panels.run_panel(df, panels.panel("dbhealth_top_dead_ratio"), window, {"database": "d1"}, top=2)
     assert sorted((r.legend, r.band) for r in got.collect()) == [("d1.s.t5", "red"), ("d1.s.t7", "red")]
+
+
+def test_failures_are_rows(spark):
+    from fleetlens.plans.collect import failure_rows
+
+    def fail():
+        raise OSError("gone")
+
+    failures = []
+    catalog.read_databases({"a": lambda: spark.range(1), "b": fail}, failures=failures)
+    left_out = CollectorSpec("away", "away", ("nowhere",), lambda t: t["nowhere"], on_error="continue")
+    kept = CollectorSpec("kept", "kept", ("segment_config",), lambda t: t["segment_config"], metrics=(MetricSpec("m", "dbid"),))
+    collect_samples(_segments(spark), [kept, left_out], failures=failures)
+    assert [tuple(r) for r in failure_rows(spark, failures).select("name").collect()] == [("b",), ("away",)]
+
+
+def test_headers():
+    from fleetlens.plans.registry import SUMMARY_METRICS
+    from fleetlens.plans.samples import exposition_headers
+
+    lines = exposition_headers([*SUMMARY_METRICS, MetricSpec("x", "x", help="two\nlines")])
+    assert "# TYPE fleet_exporter_total_scraped_total counter" in lines and "# TYPE fleet_exporter_uptime_seconds gauge" in lines
+    assert lines[-2:] == ["# HELP fleet_x two\\nlines", "# TYPE fleet_x gauge"]
