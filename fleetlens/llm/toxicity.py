@@ -1,7 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text: its words, pairs of neighbouring words, and pairs with one or two words between, each hashed to one of
-2^bits coordinates and counted once. Words are A to Z lower-cased and lose the punctuation at their ends.
+Features of a text: its words, the stems of its words (their first bytes, which compounds and inflections share), pairs of
+neighbouring words, and pairs with one or two words between, each hashed to one of 2^bits coordinates and counted once. Words are
+A to Z lower-cased and lose the punctuation at their ends.
 
 FTRL-proximal keeps two sums per coordinate, z and n; its weight is zero while |z| stays within the L1 bound, and its rate falls
 with the root of n, the squared gradients of that coordinate alone. So most coordinates never get a weight and the rest fit in a
@@ -37,6 +38,7 @@ class ToxicSpec:
     folds: int = 4
     held_fold: int = 2
     bits: int = 20
+    stem_bytes: int = 6
     gaps: tuple[int, ...] = (0, 1, 2)  # words skipped between the two of a pair
     train_rows: int = 1 << 16
     shard_rows: int = 1 << 14
@@ -53,22 +55,21 @@ class Features:
 
     def __init__(self, spec: ToxicSpec):
         self.spec = spec
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, tuple[int, int]] = {}  # hashes of a word and of its stem
 
-    def words(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None) -> np.ndarray:
+        """Coordinates, repeats included."""
         known = self.known
         if len(known) > KEPT_WORDS:
             known.clear()
         words = words_of(text)
-        for w in set(words):
+        distinct = set(words)
+        for w in distinct:
             if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.strip(EDGES))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Coordinates, repeats included."""
-        h = self.words(text)
-        parts = [h]
+                core = w.strip(EDGES)
+                known[w] = xxhash.xxh3_64_intdigest(core), xxhash.xxh3_64_intdigest(core[: self.spec.stem_bytes], seed=1)
+        h = np.fromiter((known[w][0] for w in words), np.uint64, len(words))
+        parts = [h, np.fromiter((known[w][1] for w in distinct), np.uint64, len(distinct))]
         for gap in self.spec.gaps:
             if len(h) > gap + 1:
                 parts.append(mix(h[: -gap - 1]) * np.uint64(3) + h[gap + 1 :] + np.uint64(gap))
