@@ -238,6 +238,11 @@ FROM ver f"""
     sql["segment_counts"] = q("segment_config", "", """
 SELECT cluster, snapshot_ts, count(*) AS total, count(*) FILTER (WHERE lower(status) = 'u') AS up, count(*) FILTER (WHERE lower(status) = 'd') AS down
 FROM segment_config GROUP BY 1, 2""")
+    sql["segment_counts_spine"] = q("segment_config event_snapshots", "", """
+SELECT s.cluster, s.snapshot_ts, count(g.dbid) AS total, count(*) FILTER (WHERE lower(g.status) = 'u') AS up,
+       count(*) FILTER (WHERE lower(g.status) = 'd') AS down
+FROM (SELECT cluster, snapshot_ts FROM event_snapshots UNION SELECT cluster, snapshot_ts FROM segment_config) s
+LEFT JOIN segment_config g ON g.cluster = s.cluster AND g.snapshot_ts = s.snapshot_ts GROUP BY 1, 2""")
     sql["cluster_version"] = q("version_banners", versions, "SELECT cluster, major, minor, patch, version, supported FROM ver")
     sql["supported_clusters"] = q("version_banners", versions, "SELECT cluster, major, minor, patch, version FROM ver WHERE supported")
     sql["cluster_up"] = q("scrape_log", "", "SELECT cluster, scrape_id, start_ts, CAST(CASE WHEN probe_ok AND version_detected AND NOT db_error THEN 1 ELSE 0 END AS DOUBLE) AS up FROM scrape_log")
@@ -269,6 +274,7 @@ SELECT {key}, 'lock_waiting_queries' AS metric, count(*) AS value FROM waiting G
 UNION ALL
 SELECT {key}, 'lock_wait_max_wait_seconds' AS metric, CAST(trunc(coalesce(max(wait_us), 0) / CAST(1000000 AS DOUBLE)) AS BIGINT) AS value FROM waiting GROUP BY 1, 2, 3, 4, 5, 6""")
     sql["replication_lag"] = q("stat_replication segment_config", _SHIP, "SELECT * FROM lag")
+    sql["replication_lag_old_names"] = sql["replication_lag"]
     sql["replication_max_lag"] = q("stat_replication segment_config", _SHIP, "SELECT cluster, snapshot_ts, CAST(max(replay_lag_bytes) AS DOUBLE) AS max_lag_bytes FROM ship GROUP BY 1, 2")
     sql["union_sources"] = q("stat_replication", "", "SELECT cluster, content, state, count(*) AS shippers FROM stat_replication GROUP BY 1, 2, 3")
     size = "CAST(floor(bytes / CAST(1048576 AS DOUBLE)) AS DOUBLE)"
@@ -422,6 +428,9 @@ SELECT cluster, scrape_id, seq, collector, failed, count(*) FILTER (WHERE failed
 SELECT cluster, CAST(NULL AS VARCHAR) AS datname, 'general' AS run_group, unnest({_GENERAL!r}) AS collector FROM (SELECT DISTINCT cluster FROM event_snapshots)
 UNION ALL
 SELECT cluster, datname, 'per_db', unnest({_PER_DB!r}) FROM allowed WHERE (cluster, datname) IN {_LISTED}""")
+    sql["collector_selection_none"] = q("event_snapshots", "", f"""
+SELECT cluster, CAST(NULL AS VARCHAR) AS datname, 'general' AS run_group, unnest({_GENERAL + _PER_DB!r}) AS collector
+FROM (SELECT DISTINCT cluster FROM event_snapshots)""")
     last = "(SELECT max(start_ts) FROM scrape_log l WHERE l.cluster = x.cluster)"
     run_log = ["SELECT cluster, start_ts AS ts, 'fleet_up' AS metric, '' AS labels, up AS value FROM (SELECT * FROM up_rows)"]
     run_log += [

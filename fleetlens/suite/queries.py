@@ -97,6 +97,12 @@ def _replication(t: Inputs) -> dict[str, DataFrame]:
     return {"stat_replication": t["stat_replication"], "segment_config": t["segment_config_any"]}
 
 
+def _replication_old_names(t: Inputs) -> dict[str, DataFrame]:
+    tables = _replication(t)
+    renamed = {f"{p}_lsn": f"{p}_location" for p in replication.POSITIONS}
+    return {**tables, "stat_replication": tables["stat_replication"].withColumnsRenamed(renamed)}
+
+
 def _cluster_tables(t: Inputs) -> dict[str, DataFrame]:
     return {**_replication(t), "cluster_facts": t["cluster_facts"]}
 
@@ -220,6 +226,9 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "cluster_state": lambda t: cluster.cluster_state(_cluster_tables(t)),
     "segment_health": lambda t: segments.segment_health(t),
     "segment_counts": lambda t: segments.segment_counts(t),
+    "segment_counts_spine": lambda t: segments.segment_counts(
+        t, t["event_snapshots"].select("cluster", "snapshot_ts").unionByName(t["segment_config"].select("cluster", "snapshot_ts"))
+    ),
     "cluster_version": lambda t: cluster.cluster_version({"cluster_facts": t["version_banners"]}),
     "supported_clusters": lambda t: cluster.supported_clusters({"cluster_facts": t["version_banners"]}),
     "cluster_up": lambda t: cluster.cluster_up(t),
@@ -237,6 +246,7 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "extended_locks": lambda t: locks.extended_locks(t),
     # replication
     "replication_lag": lambda t: replication.replication_lag(_replication(t)),
+    "replication_lag_old_names": lambda t: replication.replication_lag(_replication_old_names(t)),
     "replication_max_lag": lambda t: replication.replication_max_lag(_replication(t)),
     "union_sources": _union_sources,
     # databases and tables
@@ -312,10 +322,10 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "absent_policy_range": lambda t: lifecycle.absent_policy(
         t["entity_days"], ["entity"], ["value"], "zero", start="2024-01-10", end="2024-01-20"
     ),
-    "absent_policy": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "zero"),
-    "absent_policy_nan": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "nan"),
+    "absent_policy": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "zero", t["entity_snapshots"]),
+    "absent_policy_nan": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "nan", t["entity_snapshots"]),
     "absent_policy_remove": lambda t: lifecycle.absent_policy(t["entity_days"], ["entity"], ["value"], "remove"),
-    "pinned_labels": lambda t: lifecycle.pinned_labels(t["entity_days"], ["entity"], ["role"], ["value"]),
+    "pinned_labels": lambda t: lifecycle.pinned_labels(t["entity_days"], ["entity"], ["role"], ["value"], t["entity_snapshots"]),
     "pinned_labels_kept": lambda t: lifecycle.pinned_labels(t["entity_days"], ["entity"], ["role"], ["value"], removed=False),
     "validate_entities": _validate,
     "carry_forward": lambda t: lifecycle.carry_forward(t["entity_days"], t["entity_snapshots"]),
@@ -326,6 +336,9 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "run_counters": lambda t: runlog.run_counters(t),
     "failfast_cutoff": lambda t: runlog.failfast_cutoff(t),
     "collector_selection": _selection,
+    "collector_selection_none": lambda t: registry.collector_selection(
+        t["customer_databases"], t["event_snapshots"], {"table_health": True, "disk_per_host": False}, per_db_mode="none"
+    ),
 }
 
 
