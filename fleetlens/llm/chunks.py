@@ -166,8 +166,13 @@ def exact_groups(docs: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of ``docs`` (doc_id, text)."""
     made = verified_recipes(docs, spec)
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return made.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    # Only recipes that occur again are joined back, from a written table: both sides of the join are then plain shuffles, of
+    # which Spark splits the partitions that a large group makes.
+    again = settle(groups.filter("group_size > 1"), "repeated-recipes")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return made.join(again, "recipe", "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )
 
 
