@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cases import awkward, crc, frame, lower, normal, words  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from fleetlens.llm import bpe, chat, chunks, lmscore, mixing, queries, rules, simhash, tokencount, toxicity, urls  # noqa: E402
+from fleetlens.llm import bpe, chat, chunks, lmscore, mixing, nearcopies, queries, rules, simhash, tokencount, toxicity, urls  # noqa: E402
 from fleetlens.llm.components import component_roots  # noqa: E402
 
 PATTERN = public_tokenizers.PATTERN
@@ -259,6 +259,72 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got[0] != got[1000]
 
 
+# Near copies of the pipeline
+
+
+def plain_shingles(text):
+    w = words(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def plain_similar(texts):
+    """Components of all pairs with a similarity of 0.8 or more."""
+    sets = [plain_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+def edited_texts():
+    """Texts, copies of them with a few to many words changed, and texts that share a passage only."""
+    import random
+
+    rng = random.Random(11)
+
+    def prose(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    passage, hot, texts = prose(60), prose(120), ["", " \n", "one two", "One  two"]
+    for _ in range(40):
+        base = prose(rng.randint(5, 200))
+        texts.append(" ".join(base))
+        for k in (1, 2, 3, 4, 6):
+            other = list(base)
+            for _ in range(k):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    texts += [" ".join(passage + prose(rng.randint(5, 60))) for _ in range(60)]
+    for _ in range(100):
+        other = list(hot)
+        for _ in range(rng.randint(1, 5)):
+            other[rng.randrange(len(other))] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    return texts
+
+
+@pytest.mark.parametrize("spec", [nearcopies.NearSpec(), nearcopies.NearSpec(open_pairs=0, open_least=0, star_rounds=1, sample=1)])
+def test_near_dedup_stage_drops_edited_copies(spark, monkeypatch, spec):
+    texts = edited_texts()
+    groups = plain_similar(texts)
+    want = {min(i for i, g in enumerate(groups) if g == x) for x in set(groups)}
+    assert len(want) < len(texts) - 80
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)], extra=True)
+    monkeypatch.setattr(nearcopies.drop_similar_copies, "__defaults__", (spec,))
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
 # URL lists
 
 URLS = [
