@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetlens.session import shared_dir
 
@@ -24,6 +24,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``place``, its rows' places 0, 1, ... within their ``group`` (a column without nulls), and ``members``, the group's size.
+
+    Rows are cut into ranges of (group, order) and sorted inside each, so a group of any size is spread over many tasks; windows run
+    over one row per range and group. Rows equal in ``order`` are cut anywhere, in the order in which they were read.
+    """
+    inner = (1 << 33) - 1  # monotonically_increasing_id is the partition's number and, in 33 bits, the row's
+    cut = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(group, *order, "_read")
+    rows = settle(cut.sortWithinPartitions(group, *order, "_read").drop("_read").withColumn("_at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(inner)))
+    ranges = rows.groupBy(group, "_range").agg(F.min("_at").alias("_low"), F.count("*").alias("_rows"))
+    own = Window.partitionBy(group)
+    before = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        group, "_range", "_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(own).alias("members")
+    )
+    return rows.join(starts, [group, "_range"]).withColumn("place", F.expr("_at - _low + _before")).drop("_range", "_at", "_low", "_before")
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

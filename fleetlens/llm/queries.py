@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import bpe, chat, chunks, lmscore, mixing, oracles, rules, simhash, tokencount, toxicity, urls
+from fleetlens.llm import bpe, chat, chunks, filteraudit, licenses, lmscore, merkle, mixing, oracles, rules, simhash, tokencount, toxicity, urls
 from fleetlens.llm.common import read_table
 from fleetlens.session import configure
 
@@ -33,6 +33,15 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def license_labels(docs: DataFrame) -> DataFrame:
+    return licenses.scan(docs).drop("matches")
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return filteraudit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def preference_digests(conversations: DataFrame) -> DataFrame:
     """Each pair with its shared turns, text sizes and digests, and how many turns of each side are learned."""
 
@@ -60,6 +69,9 @@ QUERIES: dict[str, Query] = {
     "op8_preference_format": _over("conversations", preference_digests),
     "op9_toxicity": toxicity_scores,
     "op10_token_count": _over("documents", token_counts),
+    "op11_merkle_manifest": _over("documents", merkle.manifest),
+    "op12_license_scan": _over("documents", license_labels),
+    "op13_filter_audit": filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -67,4 +79,7 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": oracles.URLS,
     "op6_exact_dedup": oracles.EXACT,
     "op8_preference_format": oracles.PREFERENCE,
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_license_scan": oracles.licenses(licenses.BASE, licenses.TEMPLATES, licenses.LEAST_SHARE),
+    "op13_filter_audit": oracles.AUDIT,
 }
