@@ -4,8 +4,9 @@ A preference pair is a chosen and a rejected conversation. Their longest common
 first turn on) is the prompt and is rendered once; what follows in each is its completion. Both examples of a pair share the
 prompt; the mask of an example says which of its segments are learned: those that an assistant wrote after the prompt.
 
-Pairs are a table of their own. Where none is given, ``pairs_by_number`` takes conversations 2 n and 2 n + 1 as chosen and
-rejected, and ``pairs_by_opening`` those that open with the same turn: the one with the most assistant text is the chosen one
+Pairs are a table of their own. Where none is given, ``preference_examples`` makes a pair of every conversation: it is the chosen one,
+and the rejected one is the same conversation up to its last assistant turn, with the last assistant turn of its neighbour (id XOR 1) in that
+turn's place. ``pairs_by_number`` takes conversations 2 n and 2 n + 1 as chosen and rejected, and ``pairs_by_opening`` those that open with the same turn: the one with the most assistant text is the chosen one
 (ties: the least id), and each other one is rejected against it, one pair per rejected member and never all pairs within.
 
 All of it is built-in column functions. Prefixes are found by comparing turns in place of whole conversations: each rejected turn
@@ -14,7 +15,9 @@ example is ever put together in one row, since that row is the result.
 
 Defined results: a null role renders as ``unknown`` and a null text as empty. Turns are ordered by number, nulls last; turns with the
 same number by role and text, and are then numbered anew, so gaps and repeats in the numbers do not matter. Rows without a
-conv_id are left aside. Repeated rows are turns said twice. Equal conversations have an empty completion on both sides. Other
+conv_id are left aside. Repeated rows are turns said twice. Equal conversations have an empty completion on both sides. A conversation
+without an assistant turn, or whose neighbour has none, is returned without a rejected side (nulls): its prompt ends before its own last
+assistant turn, or is all of it. Other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -61,19 +64,20 @@ def pairs_by_opening(turns: DataFrame, template: Template = Template()) -> DataF
 
 def pairs_by_number(turns: DataFrame) -> DataFrame:
     """chosen_id, rejected_id: conversation 2 n is chosen over conversation 2 n + 1; one without a partner gives no pair."""
-    both = turns.groupBy(F.floor(F.col("conv_id") / 2)).agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
+    both = turns.groupBy(F.shiftright("conv_id", 1)).agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
     return both.filter("chosen_id < rejected_id").select("chosen_id", "rejected_id")
 
 
-def format_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per pair: prompt, both completions, both segment masks, and the number of shared turns."""
-    lengths = turns.groupBy("conv_id").agg(F.count("*").alias("turns"))
-    sized = (
-        pairs.join(lengths.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns")), "chosen_id")
-        .join(lengths.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns")), "rejected_id")
-    )
+def format_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Template(), others: DataFrame | None = None) -> DataFrame:
+    """One row per pair: prompt, both completions, both segment masks, and the number of shared turns.
+
+    The turns of rejected conversations are among ``others``, or else among ``turns`` like those of the chosen ones.
+    """
+    others = turns if others is None else others
+    lengths = others.groupBy(F.col("conv_id").alias("rejected_id")).agg(F.count("*").alias("rejected_turns"))
+    sized = pairs.join(lengths, "rejected_id")
     chosen = turns.select(F.col("conv_id").alias("chosen_id"), "k", F.col("role").alias("c_role"), F.col("text").alias("c_text"))
-    rejected = turns.select(F.col("conv_id").alias("rejected_id"), "k", "role", "text")
+    rejected = others.select(F.col("conv_id").alias("rejected_id"), "k", "role", "text")
     # The first rejected turn that the chosen conversation does not have in its place.
     met = sized.join(rejected, "rejected_id").join(chosen, ["chosen_id", "k"], "left")
     same = F.coalesce((F.col("role") == F.col("c_role")) & (F.col("text") == F.col("c_text")), F.lit(False))
@@ -81,7 +85,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Templa
     learned = F.when(F.col("role") == template.learned_role, 1).otherwise(0)
     segment = F.struct("k", rendered.alias("text"), learned.alias("learned"))
     reject_side = (
-        met.groupBy("chosen_id", "rejected_id", "chosen_turns", "rejected_turns")
+        met.groupBy("chosen_id", "rejected_id", "rejected_turns")
         .agg(F.min(F.when(~same, F.col("k"))).alias("differs"), F.sort_array(F.collect_list(segment)).alias("said"))
         .withColumn("shared", F.coalesce("differs", "rejected_turns").cast("int"))
     )
@@ -104,6 +108,40 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Templa
     )
 
 
+def swapped_replies(turns: DataFrame, template: Template = Template()) -> DataFrame:
+    """conv_id, at (its last assistant turn), reply_id, reply_role and reply (the neighbour's last assistant turn; null without one)."""
+    spoken = F.when(F.col("role") == template.learned_role, F.struct("k", "role", "text"))
+    each = turns.groupBy("conv_id").agg(F.max(spoken).alias("last"), F.count("*").alias("turns"))
+    own = each.select("conv_id", F.coalesce("last.k", "turns").alias("at"), F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("beside"), F.col("last").isNotNull().alias("speaks"))
+    other = each.filter("last is not null").select(F.col("conv_id").alias("reply_id"), F.col("last.role").alias("reply_role"), F.col("last.text").alias("reply"))
+    return own.join(other, (F.col("beside") == F.col("reply_id")) & F.col("speaks"), "left").drop("beside", "speaks")
+
+
 def preference_examples(conversations: DataFrame, template: Template = Template()) -> DataFrame:
+    """Every conversation against itself with its neighbour's last reply; see the module text."""
     turns = numbered_turns(conversations)
-    return format_pairs(turns, pairs_by_number(turns), template)
+    swaps = swapped_replies(turns, template)
+    swapped = F.col("k") == F.col("at")
+    others = turns.join(swaps.filter("reply_id is not null"), "conv_id").filter("k <= at").select(
+        "conv_id", "k", F.when(swapped, F.col("reply_role")).otherwise(F.col("role")).alias("role"),
+        F.when(swapped, F.col("reply")).otherwise(F.col("text")).alias("text"),
+    )
+    same = swaps.filter("reply_id is not null").select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"))
+    pairs = format_pairs(turns, same, template, others).withColumn("rejected_id", F.col("chosen_id").bitwiseXOR(F.lit(1).cast("long")))
+    # Conversations that stay alone are met with an empty rejected side.
+    alone = turns.join(swaps.filter("reply_id is null").select("conv_id", "at"), "conv_id")
+    learned = F.when((F.col("role") == template.learned_role) & (F.col("k") >= F.col("at")), 1).otherwise(0)
+    segment = F.struct("k", template.render(F.col("role"), F.col("text")).alias("text"), learned.alias("learned"))
+    said = alone.groupBy("conv_id", "at").agg(F.sort_array(F.collect_list(segment)).alias("said"))
+
+    def text(chosen) -> Column:
+        return F.array_join(F.transform(F.filter("said", chosen), lambda s: s["text"]), "")
+
+    return pairs.unionByName(
+        said.select(
+            F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id"), F.col("at").cast("long").alias("shared_turns"),
+            text(lambda s: s["k"] < F.col("at")).alias("prompt"), text(lambda s: s["k"] >= F.col("at")).alias("chosen"),
+            F.lit(None).cast("string").alias("rejected"), F.transform("said", lambda s: s["learned"]).alias("chosen_mask"),
+            F.lit(None).cast("array<int>").alias("rejected_mask"),
+        )
+    )

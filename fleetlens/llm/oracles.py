@@ -31,7 +31,11 @@ WITH d AS (
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
-       failed_bits = 0 AS kept, failed_bits, '2024-2' AS policy
+       failed_bits = 0 AS kept, failed_bits, '2024-2' AS policy,
+       failed_bits & 3 = 0 AS kept_base_1, failed_bits & 15 = 0 AS kept_2024_1, failed_bits & 255 = 0 AS kept_2024_2,
+       CASE failed_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+         WHEN 16 THEN 'long_words' WHEN 32 THEN 'capitals' WHEN 64 THEN 'shouting' WHEN 128 THEN 'poor_vocabulary' END AS sole_rule,
+       CASE WHEN bit_count(failed_bits) = 1 THEN count(*) OVER (PARTITION BY failed_bits) END AS sole_rule_docs
 FROM b
 """
 
@@ -65,29 +69,34 @@ WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS k,
          coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
-), pairs AS (
-  SELECT min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM t GROUP BY conv_id // 2 HAVING min(conv_id) < max(conv_id)
-), sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id
+), last AS (SELECT conv_id, max(k) FILTER (role = 'assistant') AS said_at, count(*) AS n FROM t GROUP BY conv_id
+), reply AS (
+  SELECT t.conv_id, t.k AS at, t.text FROM t JOIN last ON last.conv_id = t.conv_id AND last.said_at = t.k
+), swap AS (
+  SELECT a.conv_id, a.at, b.conv_id AS reply_id, b.text AS reply FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)
+), r AS (
+  SELECT t.conv_id, t.k, t.role, CASE WHEN t.k = s.at THEN s.reply ELSE t.text END AS text, s.at FROM t JOIN swap s ON s.conv_id = t.conv_id WHERE t.k <= s.at
 ), shared AS (
-  SELECT p.chosen_id, p.rejected_id,
-         coalesce(min(CASE WHEN c.k IS NULL OR c.role <> r.role OR c.text <> r.text THEN r.k END), any_value(s.n)) AS shared_turns
-  FROM pairs p JOIN t r ON r.conv_id = p.rejected_id JOIN sizes s ON s.conv_id = p.rejected_id
-  LEFT JOIN t c ON c.conv_id = p.chosen_id AND c.k = r.k GROUP BY p.chosen_id, p.rejected_id
+  SELECT r.conv_id, coalesce(min(CASE WHEN c.role <> r.role OR c.text <> r.text THEN r.k END), any_value(r.at) + 1) AS shared_turns
+  FROM r JOIN t c ON c.conv_id = r.conv_id AND c.k = r.k GROUP BY r.conv_id
+), head AS (
+  SELECT l.conv_id, s.reply_id, coalesce(h.shared_turns, l.said_at, l.n) AS shared_turns
+  FROM last l LEFT JOIN swap s ON s.conv_id = l.conv_id LEFT JOIN shared h ON h.conv_id = l.conv_id
 ), said AS (
-  SELECT s.chosen_id, s.rejected_id, s.shared_turns, t.conv_id = s.chosen_id AS is_chosen, t.k, t.role,
-         '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS line
-  FROM shared s JOIN t ON t.conv_id IN (s.chosen_id, s.rejected_id)
+  SELECT conv_id, k, role, text, true AS is_chosen FROM t UNION ALL SELECT conv_id, k, role, text, false FROM r
 ), texts AS (
-  SELECT chosen_id, rejected_id, any_value(shared_turns) AS shared_turns,
-         coalesce(string_agg(line, '' ORDER BY k) FILTER (k < shared_turns AND NOT is_chosen), '') AS prompt,
+  SELECT h.conv_id, any_value(reply_id) AS reply_id, any_value(shared_turns) AS shared_turns,
+         coalesce(string_agg(line, '' ORDER BY k) FILTER (k < shared_turns AND is_chosen), '') AS prompt,
          coalesce(string_agg(line, '' ORDER BY k) FILTER (k >= shared_turns AND is_chosen), '') AS chosen,
          coalesce(string_agg(line, '' ORDER BY k) FILTER (k >= shared_turns AND NOT is_chosen), '') AS rejected,
          count(*) FILTER (k >= shared_turns AND is_chosen AND role = 'assistant') AS chosen_learned,
          count(*) FILTER (k >= shared_turns AND NOT is_chosen AND role = 'assistant') AS rejected_learned
-  FROM said GROUP BY chosen_id, rejected_id
+  FROM head h JOIN (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM said) s ON s.conv_id = h.conv_id
+  GROUP BY h.conv_id
 )
-SELECT chosen_id, rejected_id, shared_turns::BIGINT AS shared_turns, length(prompt)::BIGINT AS prompt_chars, sha256(prompt) AS prompt_sha256,
-       sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256, chosen_learned, rejected_learned
+SELECT conv_id AS chosen_id, reply_id AS rejected_id, shared_turns::BIGINT AS shared_turns, length(prompt)::BIGINT AS prompt_chars,
+       sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, CASE WHEN reply_id IS NOT NULL THEN sha256(rejected) END AS rejected_sha256,
+       chosen_learned, CASE WHEN reply_id IS NOT NULL THEN rejected_learned END AS rejected_learned
 FROM texts
 """
 

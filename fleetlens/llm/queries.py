@@ -46,7 +46,7 @@ def preference_digests(conversations: DataFrame) -> DataFrame:
     """Each pair with its shared turns, text sizes and digests, and how many turns of each side are learned."""
 
     def ones(mask: str) -> F.Column:
-        return F.size(F.filter(mask, lambda x: x == 1)).cast("long")
+        return F.when(F.col(mask).isNotNull(), F.size(F.filter(mask, lambda x: x == 1)).cast("long"))
 
     def digest(column: str) -> F.Column:
         return F.sha2(F.col(column), 256).alias(f"{column}_sha256")

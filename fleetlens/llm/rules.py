@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES
+from .common import SPACES, settle
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -174,13 +174,28 @@ def ablations(book: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataF
     )
 
 
-def verdicts(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """The ledger with the base policy and the chosen one applied."""
-    return ledger(docs).select(
+def kept_column(policy: Policy) -> str:
+    return "kept_" + policy.version.replace("-", "_")
+
+
+def verdicts(docs: DataFrame, policy: Policy = CURRENT, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
+    """The written ledger with every policy version applied, and what the ablations of ``policy`` say.
+
+    ``sole_rule`` is the rule that alone rejects a document, ``sole_rule_docs`` how many documents it alone rejects, so how many come
+    back if it is left out; both are null for all other documents.
+    """
+    book = settle(ledger(docs), "rules-ledger")
+    hit = F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
+    sole = F.element_at(
+        F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(1 << i).cast("long"), F.lit(r.name))]), F.when(F.bit_count(hit) == 1, hit)
+    )
+    alone = ablations(book, (policy,)).select(F.col("rule").alias("sole_rule"), F.col("only_this_rule").alias("sole_rule_docs"))
+    judged = book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         rejected(BASE).alias("base_failed"), (~(rejected(BASE) | rejected(policy))).alias("kept"),
-        "failed_bits", F.lit(policy.version).alias("policy"),
+        "failed_bits", F.lit(policy.version).alias("policy"), *[(~rejected(p)).alias(kept_column(p)) for p in policies], sole.alias("sole_rule"),
     )
+    return judged.join(F.broadcast(alone), "sole_rule", "left")  # one row per rule
 
 
 def filter_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
