@@ -13,8 +13,8 @@ hash range is cut into cells and counted by cell, so only the cell in which the
 ``cell_rows`` rows of it.
 
 Defined results: a null source is a source of its own, last in order. A null text has size 0 and takes nothing. Rows without an id
-or with equal ids are ordered by a hash of their text too; rows equal in both are alike and either may be chosen. A source of size 0
-has target 0. An empty table gives an empty result. Other columns are ignored.
+or with equal ids are ordered by a hash of their text too; of rows equal in both exactly as many are chosen as are wanted, and they are
+numbered where they lie, so any number of them is spread over many tasks. A source of size 0 has target 0. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, settle
+from .common import WORD, numbered, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -159,8 +159,8 @@ def _measures(spec: MixSpec) -> tuple[Column, Column, Column]:
 def mix_plan(docs: DataFrame, spec: MixSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(measured rows, targets by source, plan by source and size).
 
-    The plan has one row per source and length: ``passes`` for all its documents, and one more for those whose (draw, doc_id) does not
-    lie behind (last_draw, last_id); ``all_extra`` says that all get it.
+    The plan has one row per source and length: ``passes`` for all its documents, and one more for those whose (draw, doc_id) lies
+    before (last_draw, last_id) and for ``last_take`` of the ``last_rows`` that share it; ``all_extra`` says that all get it.
     """
     source, size, draw = _measures(spec)
     measured = settle(docs.select("doc_id", source.alias("source"), size.alias("size"), draw.alias("draw")), "sizes")
@@ -185,41 +185,58 @@ def mix_plan(docs: DataFrame, spec: MixSpec) -> tuple[DataFrame, DataFrame, Data
         "edge-cells",
     )
     here = F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("size") == F.col("cut_size")) & (F.col("cell") == F.col("edge"))
-    order = Window.partitionBy("source", "size", "cell").orderBy("draw", F.col("doc_id").asc_nulls_last())
+    order = Window.partitionBy("source", "size", "cell").orderBy("draw", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    # Rows that share draw and id are one row here.
+    alike = in_cells.join(cut, here).groupBy("source", "size", "cell", "wanted", "draw", "doc_id").agg(F.count("*").alias("last_rows"))
     limit = (
-        in_cells.join(cut, here).withColumn("rank", F.row_number().over(order)).filter("rank = wanted")
-        .select(F.col("source").alias("cut_source"), F.col("size").alias("cut_size"), F.col("draw").alias("last_draw"), F.col("doc_id").alias("last_id"))
+        alike.withColumn("last_take", F.col("wanted") - F.coalesce(F.sum("last_rows").over(order), F.lit(0)))
+        .filter("last_take > 0 and last_take <= last_rows")
+        .select(
+            F.col("source").alias("cut_source"), F.col("size").alias("cut_size"), F.col("draw").alias("last_draw"), F.col("doc_id").alias("last_id"),
+            "last_take", "last_rows",
+        )
     )
     found = F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("size") == F.col("cut_size"))
     full = plan.join(limit, found, "left").select(
         F.col("source").alias("plan_source"), F.col("size").alias("plan_size"), "passes",
-        (F.col("extra") >= F.col("docs")).alias("all_extra"), (F.col("extra") > 0).alias("some_extra"), "last_draw", "last_id",
+        (F.col("extra") >= F.col("docs")).alias("all_extra"), (F.col("extra") > 0).alias("some_extra"), "last_draw", "last_id", "last_take", "last_rows",
     )
     return measured, targets, settle(full, "mix-plan")
 
 
-def _times(plan: str = "plan", row: str = "row") -> Column:
-    """How often a row is taken; without a plan row, as for empty texts, never."""
-    def p(name: str) -> Column:
-        return F.col(f"{plan}.{name}")
-
-    doc_id, draw = F.col(f"{row}.doc_id"), F.col(f"{row}.draw")
-    tied = F.coalesce(doc_id <= p("last_id"), p("last_id").isNull())
-    chosen = p("all_extra") | (p("some_extra") & ((draw < p("last_draw")) | ((draw == p("last_draw")) & tied)))
-    return F.coalesce(p("passes") + F.when(chosen, 1).otherwise(0), F.lit(0))
+def _chosen(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (row: a struct with source, size, draw and doc_id, and more) with ``times``, how often each is taken.
 
+    Without a plan row, as for empty texts, never.
+    """
+    def p(name: str) -> Column:
+        return F.col(f"plan.{name}")
 
-def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (row: a struct with source and size, and more) with the plan of their source and size."""
     inner = plan.select(F.struct("*").alias("plan"))
     same = F.col("row.source").eqNullSafe(F.col("plan.plan_source")) & (F.col("row.size") == F.col("plan.plan_size"))
-    return rows.join(inner, same, "left")
+    planned = rows.join(inner, same, "left")
+    doc_id, draw = F.col("row.doc_id"), F.col("row.draw")
+    # Rows without an id come after all others of their draw.
+    earlier = (draw < p("last_draw")) | ((draw == p("last_draw")) & F.coalesce(doc_id < p("last_id"), doc_id.isNotNull() & p("last_id").isNull()))
+    last = (draw == p("last_draw")) & doc_id.eqNullSafe(p("last_id"))
+    whole = F.col("last_take") >= F.col("last_rows")
+
+    def times(last_too: Column) -> Column:
+        chosen = p("all_extra") | (p("some_extra") & (earlier | (last & last_too)))
+        return F.coalesce(p("passes") + F.when(chosen, 1).otherwise(0), F.lit(0)).cast("int").alias("times")
+
+    if plan.filter(~whole).isEmpty():
+        return planned.select("row", times(F.lit(True)))
+    some = F.coalesce(last & (p("last_take") < p("last_rows")), F.lit(False))
+    group = F.concat_ws(":", F.col("row.size").cast("string"), F.when(F.col("row.source").isNull(), "").otherwise(F.concat(F.lit("="), "row.source")))
+    tied = numbered(planned.filter(some).withColumn("group", group), "group", [], "tied-rows")
+    return planned.filter(~some).select("row", times(F.lit(True))).unionByName(tied.select("row", times(F.col("place") < p("last_take"))))
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """doc_id, size, source_size, target and taken words of each row of ``docs`` (doc_id, source, text)."""
     measured, targets, plan = mix_plan(docs, spec)
-    taken = _planned(measured.select(F.struct("*").alias("row")), plan).select("row.*", (F.col("row.size") * _times()).cast("long").alias("taken"))
+    taken = _chosen(measured.select(F.struct("*").alias("row")), plan).select("row.*", (F.col("row.size") * F.col("times")).cast("long").alias("taken"))
     of_source = targets.withColumnRenamed("source", "target_source")
     return taken.join(of_source, F.col("source").eqNullSafe(F.col("target_source")), "left").select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -233,6 +250,6 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     rows = docs.select(F.struct("doc_id", source.alias("source"), size.alias("size"), draw.alias("draw"), F.struct("*").alias("doc")).alias("row"))
     copies = F.sequence(F.lit(1), F.col("times"))
     return (
-        _planned(rows, plan).select("row.doc", _times().cast("int").alias("times")).filter("times > 0")
+        _chosen(rows, plan).select("row.doc", "times").filter("times > 0")
         .select("doc", F.explode(copies).alias("copy")).select("doc.*")
     )
