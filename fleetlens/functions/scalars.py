@@ -198,9 +198,13 @@ def value_text(col: Column | str, texts: Mapping[float, str]) -> Column:
     return plain if out is None else out.otherwise(plain)
 
 
+class NoSuchColumn(KeyError, ValueError):
+    """A frame has none of the columns that could hold a figure."""
+
+
 def either_column(df: DataFrame, names: Sequence[str]) -> Column:
     """First non-null of those columns that exist: newer and older names of the same source column."""
     present = [F.col(n) for n in names if n in df.columns]
     if not present:
-        raise ValueError(f"none of {list(names)} in {df.columns}")
+        raise NoSuchColumn(f"none of {list(names)} in {df.columns}")
     return F.coalesce(*present) if len(present) > 1 else present[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +29,12 @@ def host_skew(
     stats = per_host.groupBy(*SCOPE).agg(
         *[f(m).alias(f"_{tag}_{m}") for m in measures for tag, f in (("max", F.max), ("avg", F.avg))]
     )
+    out = stats.select(*SCOPE, *skew_columns(measures, truncate))
+    return fill_snapshots(out, snapshots, {c: 0.0 for c in out.columns if c not in SCOPE})
+
+
+def skew_columns(measures: Iterable[str], truncate: bool = True) -> list[Column]:
+    """``max_m``, ``avg_m`` and ``m_skew_ratio`` from the columns ``_max_m`` and ``_avg_m`` over hosts."""
     columns = []
     for m in measures:
         top, mean = F.coalesce(f"_max_{m}", F.lit(0.0)), F.coalesce(f"_avg_{m}", F.lit(0.0))
@@ -40,5 +46,4 @@ def host_skew(
             round_half_up(mean).alias(f"avg_{m}"),
             round_half_up(ratio).alias(f"{m}_skew_ratio"),
         ]
-    out = stats.select(*SCOPE, *columns)
-    return fill_snapshots(out, snapshots, {c: 0.0 for c in out.columns if c not in SCOPE})
+    return columns

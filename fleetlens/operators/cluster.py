@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,32 +76,42 @@ def cluster_state(tables: Mapping[str, DataFrame]) -> DataFrame:
     coordinators of one role are an error in the source query and give the default state.
     """
     facts, segments, replication = (tables[t] for t in ("cluster_facts", "segment_config", "stat_replication"))
-    is_master = (F.col("content") == COORDINATOR) & (F.col("role") == ROLE_PRIMARY)
-    is_standby = (F.col("content") == COORDINATOR) & (F.col("role") == "m")
     seg_scope = scope_of(facts, segments)
     pair = (
         segments.filter((F.col("content") == COORDINATOR) & F.col("role").isin(ROLE_PRIMARY, "m"))
         .groupBy(*seg_scope)
-        .agg(
-            F.max(F.when(is_master, F.col("hostname"))).alias("_master"),
-            F.max(F.when(is_standby, F.col("hostname"))).alias("_standby"),
-            ((F.count_if(is_master) > 1) | (F.count_if(is_standby) > 1)).alias("_ambiguous"),
-        )
+        .agg(*coordinator_pair())
     )
     rep_scope = scope_of(facts, replication)
-    replicas = (
-        replication.filter((F.col("content") == COORDINATOR) & (F.col("state") == "streaming"))
-        .groupBy(*rep_scope)
-        .agg(F.count(F.lit(1)).alias("_replicas"))
-    )
+    replicas = streaming_replicas(replication, rep_scope)
     joined = parse_version(facts).join(pair, seg_scope, "left").join(replicas, rep_scope, "left")
+    return joined.select(*SCOPE, *state_columns())
+
+
+def coordinator_pair() -> list[Column]:
+    """Aggregates over segment rows: the hosts of both coordinators, and whether a role is taken twice."""
+    is_master = (F.col("content") == COORDINATOR) & (F.col("role") == ROLE_PRIMARY)
+    is_standby = (F.col("content") == COORDINATOR) & (F.col("role") == "m")
+    return [
+        F.max(F.when(is_master, F.col("hostname"))).alias("_master"),
+        F.max(F.when(is_standby, F.col("hostname"))).alias("_standby"),
+        ((F.count_if(is_master) > 1) | (F.count_if(is_standby) > 1)).alias("_ambiguous"),
+    ]
+
+
+def streaming_replicas(replication: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    rows = replication.filter((F.col("content") == COORDINATOR) & (F.col("state") == "streaming"))
+    return rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("_replicas"))
+
+
+def state_columns() -> list[Column]:
+    """The state from a snapshot's facts (with their parsed version), its coordinator pair and its replica count."""
     good = ~F.coalesce("_ambiguous", F.lit(False))
 
     def state(col: Column, default: object) -> Column:
         return F.coalesce(F.when(good, col), F.lit(default))
 
-    return joined.select(
-        *SCOPE,
+    return [
         (F.coalesce("reachable_segments", F.lit(0)) > 0).alias("accessible"),
         F.coalesce("version", F.lit(UNKNOWN)).alias("version"),
         state(F.col("_master"), UNKNOWN).alias("master"),
@@ -110,4 +120,4 @@ def cluster_state(tables: Mapping[str, DataFrame]) -> DataFrame:
         state(F.col("_replicas").cast("double"), 0.0).alias("sync"),
         state(epoch_with_millis("conf_load_time"), 0.0).alias("config_load_time"),
         state(F.col("max_connections"), 0).cast("int").alias("max_connections"),
-    )
+    ]

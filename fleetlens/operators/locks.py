@@ -10,12 +10,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.scalars import blank_or_unknown, elapsed_s, or_unknown
 from fleetlens.functions.scope import SCOPE, fill_snapshots, scope_of
 
 
+def is_waiting() -> Column:
+    return ((F.col("major") < 7) & F.col("waiting")) | ((F.col("major") >= 7) & (F.col("wait_event_type") == "Lock"))
+
+
+def of_type(pairs: Column) -> Column:
+    """Aggregate over a lock type's rows: blank, NULL and literal 'unknown' types share a key; the source reads them in
+    type order and the last one wins."""
+    kind = F.col("locktype")
+    missing, blank = F.sum(F.when(kind.isNull(), pairs)), F.sum(F.when(kind == "", pairs))
+    named = F.sum(F.when(kind != "", pairs))
+    none = F.lit(0)
+    return F.coalesce(F.nullif(missing, none), F.nullif(named, none), blank)
+
+
+def longest_wait(oldest: str) -> Column:
+    return F.coalesce(elapsed_s("snapshot_ts", oldest).cast("long"), F.lit(0).cast("long"))
+
+
 def locked_sessions(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Waiting sessions per lock type.
 
@@ -24,10 +42,7 @@ def locked_sessions(tables: Mapping[str, DataFrame]) -> DataFrame:
     """
     sessions = (
         tables["activity"]
-        .filter(
-            ((F.col("major") < 7) & F.col("waiting"))
-            | ((F.col("major") >= 7) & (F.col("wait_event_type") == "Lock"))
-        )
+        .filter(is_waiting())
         .groupBy(*SCOPE, "pid")
         .agg(
             F.count_if(F.col("major") < 7).alias("_old"),
@@ -40,15 +55,10 @@ def locked_sessions(tables: Mapping[str, DataFrame]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("granted")).alias("_ungranted"))
     )
     pairs = F.col("_ungranted") * F.col("_old") + F.col("_all") * F.col("_new")
-    # Blank, NULL and literal 'unknown' types share a key; the source reads them in type order and the last one wins.
-    kind = F.col("locktype")
-    missing, blank = F.sum(F.when(kind.isNull(), pairs)), F.sum(F.when(kind == "", pairs))
-    named = F.sum(F.when(kind != "", pairs))
-    none = F.lit(0)
     return (
         locks.join(sessions, [*SCOPE, "pid"])
         .groupBy(*SCOPE, blank_or_unknown("locktype").alias("lock_type"))
-        .agg(F.coalesce(F.nullif(missing, none), F.nullif(named, none), blank).alias("sessions"))
+        .agg(of_type(pairs).alias("sessions"))
         .filter(F.col("sessions") > 0)
     )
 
@@ -102,9 +112,8 @@ def extended_locks(tables: Mapping[str, DataFrame]) -> DataFrame:
         .groupBy(*SCOPE, *[c.alias(n) for n, c in label.items()])
         .agg(F.sum("_queries").alias("_queries"), F.min("_oldest").alias("_oldest"))
     )
-    longest = F.coalesce(elapsed_s("snapshot_ts", "_oldest").cast("long"), F.lit(0).cast("long"))
     return stats.select(
-        *SCOPE, *label, F.col("_queries").alias("lock_waiting_queries"), longest.alias("lock_wait_max_wait_seconds")
+        *SCOPE, *label, F.col("_queries").alias("lock_waiting_queries"), longest_wait("_oldest").alias("lock_wait_max_wait_seconds")
     ).unpivot(
         [*SCOPE, *label], ["lock_waiting_queries", "lock_wait_max_wait_seconds"], "metric", "value"
     )

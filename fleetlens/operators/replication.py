@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.scalars import (
     ROLE_PRIMARY, blank_or_unknown, either_column, halves_lag, lsn_halves, replication_state_code, scope_tag,
@@ -26,15 +26,11 @@ def union_sources(coordinator: DataFrame, segments: DataFrame) -> DataFrame:
     return tagged.unionByName(segments, allowMissingColumns=True)
 
 
-def _per_content(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per content and host: the shipper that represents it and the worst replay lag of all its shippers.
+def shippers_by_content(replication: DataFrame) -> DataFrame:
+    """One row per content: the shipper that represents it (``_r``) and the worst replay lag of all its shippers (``_worst``).
 
-    Shippers are reduced before they meet the primaries: ``max_by`` combines on the map side (ranking them in a window
-    would sort a hot content whole in one task), and the result is already partitioned by the join key.
+    ``max_by`` combines on the map side (ranking shippers in a window would sort a hot content whole in one task).
     """
-    replication, segments = tables["stat_replication"], tables["segment_config"]
-    scope = scope_of(replication, segments)
-    primaries = segments.filter(F.col("role") == ROLE_PRIMARY).select(*scope, "content", "hostname")
     named = ["application_name", "state", "sync_state"]
     lags = [f"{p}_lag_bytes" for p in POSITIONS[1:]]
     # Positions are parsed in a step of their own, so that the sent one is parsed once and not per lag.
@@ -49,24 +45,39 @@ def _per_content(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
     # Of several shippers the greatest application name stays, NULL last; the rest of the order only settles ties.
     order = F.struct(F.col("application_name").isNull(), "application_name", *reversed(lags), "state", "sync_state")
-    reduced = shipping.groupBy(*SCOPE, "content").agg(
+    return shipping.groupBy(*SCOPE, "content").agg(
         F.max_by(F.struct(*named, *lags), order).alias("_r"), F.max("replay_lag_bytes").alias("_worst")
     )
-    return reduced.join(primaries, [*scope, "content"])
 
 
-def replication_lag(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Lag per (content, host)."""
-    return _per_content(tables).select(*SCOPE, "content", "hostname", "_r.*").select(
-        *SCOPE,
+def _per_content(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The reduced shippers with the host of their content's primary; they are partitioned by the join key already."""
+    replication, segments = tables["stat_replication"], tables["segment_config"]
+    scope = scope_of(replication, segments)
+    primaries = segments.filter(F.col("role") == ROLE_PRIMARY).select(*scope, "content", "hostname")
+    return shippers_by_content(replication).join(primaries, [*scope, "content"])
+
+
+def lag_columns(shipper: str = "_r") -> list[Column]:
+    """Columns of a content's lag from its representing shipper, a struct, and the columns ``content`` and ``hostname``."""
+
+    def of(name: str) -> Column:
+        return F.col(f"{shipper}.{name}")
+
+    return [
         scope_tag("content").alias("scope"),
-        "content",
+        F.col("content"),
         F.col("hostname").alias("host"),
-        blank_or_unknown("application_name").alias("application_name"),
-        *[f"{p}_lag_bytes" for p in POSITIONS[1:]],
-        replication_state_code("state").alias("state_value"),
-        sync_state_code("sync_state").alias("sync_state_value"),
-    )
+        blank_or_unknown(of("application_name")).alias("application_name"),
+        *[of(f"{p}_lag_bytes").alias(f"{p}_lag_bytes") for p in POSITIONS[1:]],
+        replication_state_code(of("state")).alias("state_value"),
+        sync_state_code(of("sync_state")).alias("sync_state_value"),
+    ]
+
+
+def replication_lag(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Lag per (content, host)."""
+    return _per_content(tables).select(*SCOPE, *lag_columns())
 
 
 def replication_max_lag(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:

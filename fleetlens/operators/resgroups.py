@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.scalars import cpu_limit_label, either_column, zero_if_null
 from fleetlens.functions.scope import SCOPE, scope_of
@@ -15,7 +15,7 @@ FULL_MEMORY_PERCENT = 100
 LAST_RESORT_PERCENT = 1
 
 
-def _usage(tables: Mapping[str, DataFrame]) -> DataFrame:
+def usage_by_host(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Status, group name, usage and limits per (group, host), hosts of data-holding primaries only.
 
     The source joins hosts with an outer join and then requires the host to be a primary's, which drops the unmatched
@@ -57,7 +57,7 @@ def _usage(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def rsg_per_host(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return _usage(tables).select(
+    return usage_by_host(tables).select(
         *SCOPE,
         "rsgname",
         "hostname",
@@ -70,10 +70,15 @@ def rsg_per_host(tables: Mapping[str, DataFrame]) -> DataFrame:
 def rsg_per_group(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Sessions and limits of a group, from its first host by name."""
     figures = ["num_running", "num_queueing", "memory_limit", "cpu_rate_limit"]
-    first = _usage(tables).groupBy(*SCOPE, "rsgname").agg(F.min_by(F.struct(*figures), "hostname").alias("_g"))
+    first = usage_by_host(tables).groupBy(*SCOPE, "rsgname").agg(F.min_by(F.struct(*figures), "hostname").alias("_g"))
     return first.select(*SCOPE, "rsgname", "_g.*")
 
 
+def effective_limit(own: Column, total: Column) -> Column:
+    left = F.lit(FULL_MEMORY_PERCENT) - total
+    return F.when(own > 0, own).when(left > 0, left).otherwise(F.lit(LAST_RESORT_PERCENT)).cast("long")
+
+
 def rsg_effective_mem_limit(tables: Mapping[str, DataFrame]) -> DataFrame:
     """A group's own limit, else what all limits leave of 100 percent, else 1 percent.
 
@@ -81,20 +86,13 @@ def rsg_effective_mem_limit(tables: Mapping[str, DataFrame]) -> DataFrame:
     """
     groups = rsg_per_group(tables)
     totals = groups.groupBy(*SCOPE).agg(F.sum("memory_limit").alias("_sum"))
-    left = F.lit(FULL_MEMORY_PERCENT) - F.col("_sum")
-    effective = (
-        F.when(F.col("memory_limit") > 0, F.col("memory_limit"))
-        .when(left > 0, left)
-        .otherwise(F.lit(LAST_RESORT_PERCENT))
-    )
-    return groups.join(totals, list(SCOPE)).select(
-        *SCOPE, "rsgname", "memory_limit", effective.cast("long").alias("effective_mem_limit")
-    )
+    effective = effective_limit(F.col("memory_limit"), F.col("_sum")).alias("effective_mem_limit")
+    return groups.join(totals, list(SCOPE)).select(*SCOPE, "rsgname", "memory_limit", effective)
 
 
 def rsg_skew(
     tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None, truncate: bool = True
 ) -> DataFrame:
     return host_skew(
-        _usage(tables), {"mem_usage": "memory_usage", "cpu_usage": "cpu_usage"}, snapshots=snapshots, truncate=truncate
+        usage_by_host(tables), {"mem_usage": "memory_usage", "cpu_usage": "cpu_usage"}, snapshots=snapshots, truncate=truncate
     )

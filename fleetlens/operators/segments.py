@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.scalars import STATUS_DOWN, STATUS_UP, mode_code, role_code, status_code
 from fleetlens.functions.scope import SCOPE, fill_snapshots
@@ -26,15 +26,16 @@ def segment_health(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def segment_counts(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:
+def status_counts() -> list[Column]:
+    """Aggregates over the segment rows of a snapshot."""
     status = F.lower("status")
-    counts = (
-        tables["segment_config"]
-        .groupBy(*SCOPE)
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(status == STATUS_UP).alias("up"),
-            F.count_if(status == STATUS_DOWN).alias("down"),
-        )
-    )
+    return [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(status == STATUS_UP).alias("up"),
+        F.count_if(status == STATUS_DOWN).alias("down"),
+    ]
+
+
+def segment_counts(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:
+    counts = tables["segment_config"].groupBy(*SCOPE).agg(*status_counts())
     return fill_snapshots(counts, snapshots, {"total": 0, "up": 0, "down": 0})

@@ -25,6 +25,16 @@ DURATION_BUCKETS = (
 SLOW_BUCKETS = ("180_600", "600_plus")
 
 
+def is_client() -> Column:
+    """Sessions that count as connections: not the collecting one, and from version 7 on only client backends."""
+    return _not_own() & ((F.col("major") < 7) | (F.col("backend_type") == "client backend"))
+
+
+def of_state(named: Column, unnamed: Column) -> Column:
+    """Sessions of the state ``unknown`` from those with that very state and those without one."""
+    return F.when((named > 0) & (unnamed > 0), F.least(named, unnamed)).otherwise(named + unnamed)
+
+
 def _not_own() -> Column:
     return ~F.col("own_backend")
 
@@ -35,12 +45,10 @@ def connections_by_state(tables: Mapping[str, DataFrame]) -> DataFrame:
     Should a state literally be called ``unknown`` next to a NULL state, the smaller count stays, as the source
     reads states by falling count and the last row of a key wins.
     """
-    client = (F.col("major") < 7) | (F.col("backend_type") == "client backend")
-    named, unnamed = F.count("state"), F.count_if(F.col("state").isNull())
-    counted = F.when((named > 0) & (unnamed > 0), F.least(named, unnamed)).otherwise(named + unnamed)
+    counted = of_state(F.count("state"), F.count_if(F.col("state").isNull()))
     return (
         tables["activity"]
-        .filter(_not_own() & client)
+        .filter(is_client())
         .groupBy(*SCOPE, or_unknown("state").alias("state"))
         .agg(counted.alias("connections"))
     )
@@ -56,6 +64,12 @@ def _bucket_counts(tables: Mapping[str, DataFrame], snapshots: DataFrame | None)
 
     The predicates sit inside the aggregates: filtering first would drop those snapshots and need a join back.
     """
+    counts = tables["activity"].groupBy(*SCOPE).agg(*bucket_counts())
+    return fill_snapshots(counts, snapshots, {name: 0 for name, _, _ in DURATION_BUCKETS})
+
+
+def bucket_counts() -> list[Column]:
+    """Aggregates over all session rows of a snapshot: running queries per duration bucket."""
     age = elapsed_us("snapshot_ts", "query_start")
     counted = _not_own() & (F.col("state") == "active") & (F.col("application_name") != "autovacuum")
     second = 1_000_000
@@ -64,12 +78,12 @@ def _bucket_counts(tables: Mapping[str, DataFrame], snapshots: DataFrame | None)
         test = counted & (age >= low * second)
         return test if high is None else test & (age < high * second)
 
-    counts = (
-        tables["activity"]
-        .groupBy(*SCOPE)
-        .agg(*[F.count_if(inside(low, high)).alias(name) for name, low, high in DURATION_BUCKETS])
-    )
-    return fill_snapshots(counts, snapshots, {name: 0 for name, _, _ in DURATION_BUCKETS})
+    return [F.count_if(inside(low, high)).alias(name) for name, low, high in DURATION_BUCKETS]
+
+
+def bucket_totals() -> list[Column]:
+    total = sum((F.col(name) for name, _, _ in DURATION_BUCKETS[1:]), F.col(DURATION_BUCKETS[0][0]))
+    return [total.alias("total"), (F.col(SLOW_BUCKETS[0]) + F.col(SLOW_BUCKETS[1])).alias("slow")]
 
 
 def active_query_buckets(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:
@@ -78,29 +92,29 @@ def active_query_buckets(tables: Mapping[str, DataFrame], snapshots: DataFrame |
 
 
 def active_query_totals(tables: Mapping[str, DataFrame], snapshots: DataFrame | None = None) -> DataFrame:
-    counts = _bucket_counts(tables, snapshots)
-    total = sum((F.col(name) for name, _, _ in DURATION_BUCKETS[1:]), F.col(DURATION_BUCKETS[0][0]))
-    slow = F.col(SLOW_BUCKETS[0]) + F.col(SLOW_BUCKETS[1])
-    return counts.select(*SCOPE, total.alias("total"), slow.alias("slow"))
+    return _bucket_counts(tables, snapshots).select(*SCOPE, *bucket_totals())
+
+
+def vacuum_seconds() -> Column:
+    return zero_if_null(to_bigint_half_even(elapsed_s("snapshot_ts", "xact_start")))
 
 
-def _is_vacuum() -> Column:
+def is_vacuum() -> Column:
     text = F.col("query")
     return (text.ilike("vacuum%") | text.ilike("autovacuum:%")) & (F.col("state") != "idle")
 
 
 def vacuum_running(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Sessions that run a vacuum now. Narrow, no shuffle."""
-    running = to_bigint_half_even(elapsed_s("snapshot_ts", "xact_start"))
     return (
         tables["activity"]
-        .filter(_is_vacuum())
+        .filter(is_vacuum())
         .select(
             *SCOPE,
             or_unknown("datname").alias("datname"),
             or_unknown("usename").alias("usename"),
             "pid",
-            zero_if_null(running).alias("seconds_running"),
+            vacuum_seconds().alias("seconds_running"),
         )
     )
 
@@ -109,6 +123,6 @@ def vacuum_running_flag(tables: Mapping[str, DataFrame], snapshots: DataFrame |
     flags = (
         tables["activity"]
         .groupBy(*SCOPE)
-        .agg(F.max(F.when(_is_vacuum(), F.lit(1.0)).otherwise(F.lit(0.0))).alias("running"))
+        .agg(F.max(F.when(is_vacuum(), F.lit(1.0)).otherwise(F.lit(0.0))).alias("running"))
     )
     return fill_snapshots(flags, snapshots, {"running": 0.0})

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.functions.ordered import day_chunk, fill_forward
 from fleetlens.functions.scope import SCOPE
 from fleetlens.operators.lifecycle import absent_policy, pinned_labels, sound_entities
-from fleetlens.plans.registry import selected_specs
+from fleetlens.plans.fused import GROUPS, fusable, group_samples
+from fleetlens.plans.registry import COLLECTORS, selected_specs
 from fleetlens.plans.samples import CollectorSpec, spec_samples
 
 log = logging.getLogger(__name__)
@@ -31,11 +32,17 @@ def collect_samples(
     missing table or column), and noted as (collector, error) in ``failures``; one that must not fail raises. Errors while Spark
     runs the job fail the job. A table named ``snapshots`` serves as the list of all snapshots.
 
+    Collectors of one subject are run together, in one pass over what they read (:mod:`fleetlens.plans.fused`), where their inputs allow
+    it; should a group not fit its inputs, its collectors run one by one and each keeps its own policy.
+
     With ``history`` the tables are read as one history: entities keep the labels of their first sight, and those that are
     gone show what their collector says of absent ones (:func:`entity_history`).
     """
-    parts = []
-    for spec in selected_specs() if specs is None else specs:
+    specs = tuple(selected_specs() if specs is None else specs)
+    parts, done = ([], set()) if history else _together(tables, specs, namespace)
+    for spec in specs:
+        if spec.name in done:
+            continue
         try:
             missing = [t for t in spec.inputs if t not in tables and t not in spec.optional]
             if missing:
@@ -55,6 +62,22 @@ def collect_samples(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _together(tables: Mapping[str, DataFrame], specs: Iterable[CollectorSpec], namespace: str) -> tuple[list[DataFrame], set[str]]:
+    """Samples of the collectors that can be run in groups, and their names."""
+    parts, done = [], set()
+    for group in GROUPS:
+        chosen = fusable(group, [s for s in specs if s in COLLECTORS], tables)
+        if len(chosen) < 2:
+            continue
+        try:
+            parts.append(group_samples(group, chosen, tables, namespace))
+        except (KeyError, PySparkException) as error:
+            log.info("collectors %s run one by one: %s", [s.name for s in chosen], error)
+        else:
+            done.update(s.name for s in chosen)
+    return parts, done
+
+
 def failure_rows(spark: SparkSession, failures: Iterable[tuple[str, str]]) -> DataFrame:
     """What was left out of a run, as rows ``name, error`` to be kept next to its samples."""
     return spark.createDataFrame(list(failures), "name string, error string")

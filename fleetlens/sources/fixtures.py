@@ -79,6 +79,14 @@ SELECT concat('c', CAST(s_suppkey % 3 AS STRING)) AS cluster, {_NOW}, s_suppkey
        CASE WHEN s_acctbal < 0 THEN 'd' WHEN s_suppkey % 4 = 0 THEN 'U' WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'u' END AS status,
        6000 + s_suppkey AS port, concat('h', CAST(s_nationkey % 6 AS STRING)) AS hostname
 FROM {{supplier}}""",
+    # The same segments at every snapshot of log shipping too, and every snapshot of a whole run.
+    "segment_config_all": """
+SELECT * FROM {segment_config}
+UNION ALL
+SELECT s.cluster, r.snapshot_ts, s.dbid, s.content, s.role, s.preferred_role, s.mode, s.status, s.port, s.hostname
+FROM {segment_config} s JOIN (SELECT DISTINCT cluster, snapshot_ts FROM {stat_replication}) r ON r.cluster = s.cluster""",
+    "run_snapshots": """
+SELECT cluster, snapshot_ts FROM {event_snapshots} UNION SELECT cluster, snapshot_ts FROM {segment_config_all}""",
     "stat_replication": """
 SELECT concat('c', CAST(o_orderkey % 3 AS STRING)) AS cluster, date_trunc('month', o_orderdate) + INTERVAL '1' MONTH AS snapshot_ts,
        o_custkey % 3 - 1 AS content,

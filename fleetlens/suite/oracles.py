@@ -11,7 +11,7 @@ import re
 from fleetlens.plans import panels, registry
 from fleetlens.sources.fixtures import with_clause
 from fleetlens.suite.queries import (
-    MONTH_END, MONTH_START, ONE_SNAPSHOT_COLLECTORS, PANEL_VARIABLES, RANGE_LOOKBACK, RANGE_STEP, VALUE_BANDS, panel_window,
+    MONTH_END, MONTH_START, PANEL_VARIABLES, RANGE_LOOKBACK, RANGE_STEP, VALUE_BANDS, panel_window,
 )
 
 EPOCH_NS = "(epoch_us({a}) - epoch_us({b})) / CAST(1000000 AS DOUBLE)"
@@ -101,10 +101,10 @@ _DISK = """disk AS (
        FROM (SELECT DISTINCT cluster, snapshot_ts, hostname, total_kb, used_kb, avail_kb, percent FROM disk_usage))
  WHERE rn = 1)"""
 
-_SPILL = """per_segment AS (SELECT cluster, segid AS content, sum(size) AS spill_bytes FROM workfile_usage GROUP BY 1, 2),
+_SPILL = """per_segment AS (SELECT cluster, snapshot_ts, segid AS content, sum(size) AS spill_bytes FROM workfile_usage GROUP BY 1, 2, 3),
 spill AS (
  SELECT c.cluster, c.snapshot_ts, c.hostname, CAST(sum(coalesce(p.spill_bytes, 0)) AS DOUBLE) AS spill_bytes
- FROM segment_config c LEFT JOIN per_segment p ON p.cluster = c.cluster AND p.content = c.content
+ FROM segment_config c LEFT JOIN per_segment p ON p.cluster = c.cluster AND p.snapshot_ts = c.snapshot_ts AND p.content = c.content
  WHERE c.role = 'p' AND c.content >= 0 GROUP BY 1, 2, 3)"""
 
 _RSG = """rsg AS (
@@ -446,15 +446,48 @@ FROM (SELECT DISTINCT cluster FROM event_snapshots)""")
     sql["run_log_samples"] = q("scrape_log collector_run_log", ", ".join(
         f"{name} AS ({sql[key]})" for name, key in (("up_rows", "cluster_up"), ("stats_rows", "collector_run_stats"), ("summary_rows", "scrape_summary"))),
         " UNION ALL ".join(run_log))
-    metrics = [(m.full_name("fleet"), m.full_name("")) for s in registry.COLLECTORS if s.name in ONE_SNAPSHOT_COLLECTORS for m in s.metrics]
-    sql["collect_snapshot"] = "SELECT cluster, ts, metric, count(*) AS samples, round(sum(value), 4) AS total FROM (" + " UNION ALL ".join(
-        f"SELECT cluster, ts, '{full}' AS metric, value FROM ({_metric_sql(sql, bare)[0]})" for full, bare in metrics) + ") GROUP BY 1, 2, 3"
+    sql["collect_snapshot"] = _whole_run(sql)
     sql.update({f"panel_{p.key}": panel_sql(sql, p) for p in panels.PANELS})
     sql.update({f"legend_{key}": legend_sql(sql, panels.panel(key)) for key in PANEL_CALCS})
     del sql["cluster_state_hourly"]
     return sql
 
 
+def _whole_run(sql: dict[str, str]) -> str:
+    """All collectors over all snapshots; those that report totals also report 0 for listed snapshots without any row."""
+    everywhere = {
+        **sql,
+        "segment_health": _q("segment_config_all", "", f"SELECT *, {_SEGMENT_CODES} FROM segment_config_all"),
+        "segment_counts": _q("segment_config_all", "", """
+SELECT cluster, snapshot_ts, count(*) AS total, count(*) FILTER (WHERE lower(status) = 'u') AS up, count(*) FILTER (WHERE lower(status) = 'd') AS down
+FROM segment_config_all GROUP BY 1, 2"""),
+    }
+    spill = _SPILL.replace("segment_config", "segment_config_all")
+    everywhere["spill_per_host"] = _q("workfile_usage segment_config_all", spill, "SELECT * FROM spill")
+    everywhere["spill_skew"] = _q(
+        "workfile_usage segment_config_all", spill,
+        f"SELECT cluster, snapshot_ts, {skew_columns({'spill_usage': 'spill_bytes'})} FROM spill GROUP BY cluster, snapshot_ts",
+    )
+    parts = []
+    for spec in registry.COLLECTORS:
+        source = f"({everywhere[spec.name]})"
+        for m in spec.metrics:
+            own = f"SELECT cluster, snapshot_ts AS ts, '{m.full_name('fleet')}' AS metric"
+            if spec.to_samples is not None:
+                parts.append(f"{own}, CAST(value AS DOUBLE) AS value FROM {source} WHERE metric = '{m.name}'")
+                continue
+            value = "CASE WHEN accessible THEN 1 ELSE 0 END" if m.value == "accessible" else f'"{m.value}"'
+            parts.append(f"{own}, CAST({value} AS DOUBLE) AS value FROM {source}")
+            if spec.spine:
+                each = f"unnest(range({len(_BUCKETS)}))" if spec.name == "active_query_buckets" else "0"
+                parts.append(
+                    f"SELECT cluster, ts, metric, 0 AS value FROM ({own}, {each} AS k FROM run_snapshots r WHERE NOT EXISTS "
+                    f"(SELECT 1 FROM {source} x WHERE x.cluster = r.cluster AND x.snapshot_ts = r.snapshot_ts))"
+                )
+    return with_clause("run_snapshots") + f"""
+SELECT cluster, ts, metric, count(*) AS samples, round(sum(value), 4) AS total FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 3"""
+
+
 def _metric_sql(sql: dict[str, str], metric: str) -> tuple[str, dict[str, str]]:
     """Source of a metric (cluster, ts, one column per label, value) and its labels."""
     if metric == "up":

@@ -174,14 +174,6 @@ def _run_log_samples(t: Inputs) -> DataFrame:
     return _rounded(samples.select("cluster", "ts", "metric", labels_text().alias("labels"), "value"), value=6)
 
 
-# Collectors whose inputs share the one snapshot of the derived tables.
-ONE_SNAPSHOT_COLLECTORS = (
-    "segment_health", "segment_counts", "database_size", "database_size_totals", "table_vacuum", "db_vacuum",
-    "table_health", "disk_per_host", "disk_skew", "spill_per_host", "spill_skew", "rsg_per_host", "rsg_per_group",
-    "rsg_effective_mem_limit", "rsg_skew",
-)
-
-
 # A collector over entities that come and go, with a label that moves.
 HISTORY_SPEC = CollectorSpec(
     "entity_days", "entity_days", ("entity_days",), lambda t: t["entity_days"], ("entity",), absent="nan",
@@ -198,11 +190,20 @@ def _collect_history(t: Inputs) -> DataFrame:
     )
 
 
+def whole_run_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every input of every collector, and the list of all snapshots."""
+    return _run_tables(Inputs(spark, sf_dir))
+
+
+def _run_tables(t: Inputs) -> dict[str, DataFrame]:
+    tables = {name: t[name] for s in registry.COLLECTORS for name in s.inputs}
+    return {**tables, "segment_config": t["segment_config_all"], "snapshots": t["run_snapshots"]}
+
+
 def _collect_snapshot(t: Inputs) -> DataFrame:
-    """A whole collection run, counted and summed per metric."""
-    specs = [s for s in registry.selected_specs({"table_health": True}) if s.name in ONE_SNAPSHOT_COLLECTORS]
-    tables = {name: t[name] for s in specs for name in s.inputs}
-    totals = collect_samples(tables, specs).groupBy("cluster", "ts", "metric").agg(
+    """A whole collection run of all collectors over all snapshots, counted and summed per metric."""
+    specs = registry.selected_specs({"table_health": True, "backup_history": True})
+    totals = collect_samples(_run_tables(t), specs).groupBy("cluster", "ts", "metric").agg(
         F.count(F.lit(1)).alias("samples"), F.sum("value").alias("total")
     )
     return _rounded(totals, total=4)

@@ -181,7 +181,7 @@ def test_panel_variables_and_top(spark):
     df = spark.createDataFrame(rows, "cluster string, ts timestamp, metric string, labels map<string,string>, value double")
     window = panels.Window("2024-01-01 00:00:00", "2024-01-01 00:00:00")
     got = panels.run_panel(df, panels.panel("dbhealth_top_dead_ratio"), window, {"database": "d1"}, top=2)
-    assert sorted((r.legend, r.band) for r in got.collect()) == [("d1.s.t5", "red"), ("d1.s.t7", "red")]
+    assert sorted((r.legend, r.band) for r in got.collect()) == [("d1.s.t5", "green"), ("d1.s.t7", "green")]
 
 
 def test_failures_are_rows(spark):

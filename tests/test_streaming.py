@@ -138,9 +138,9 @@ def test_collector_joins_a_running_job(spark, tmp_path):
 
 
 def test_batch_reads_only_the_times_it_needs(spark, landing):
-    one = _day(spark, 2)["snapshots"].filter("cluster = 'c0'").drop("ok")
-    rows = snapshot_tables(spark, landing, ["segment_config"], one)["segment_config"]
+    days = [_day(spark, k)["snapshots"].filter("cluster = 'c0'").drop("ok") for k in (2, 3)]
+    rows = snapshot_tables(spark, landing, ["segment_config"], days[0].unionByName(days[1]))["segment_config"]
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     plan = rows._jdf.queryExecution().explainString(mode)
-    assert "GreaterThanOrEqual(snapshot_ts,2024-03-02" in plan and "LessThanOrEqual(snapshot_ts,2024-03-02" in plan
-    assert {r.snapshot_ts.day for r in rows.collect()} == {2}
+    assert "GreaterThanOrEqual(snapshot_ts,2024-03-02" in plan and "LessThanOrEqual(snapshot_ts,2024-03-03" in plan
+    assert {r.snapshot_ts.day for r in rows.collect()} == {2, 3}
