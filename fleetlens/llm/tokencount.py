@@ -3,7 +3,7 @@
 Offline, once per vocabulary, each vocabulary string is encoded on its own; those that come out as exactly one token are the
 proven set. It is broadcast (at most one string per vocabulary entry). A text is first cut at the special strings, each of which is
 one token, then into pre-tokens by the pattern. Pre-tokens in the proven set count 1 without being looked at again; only the
-distinct rest of a batch is merged, by the tokenizers library.
+distinct rest of a run of texts is merged, in one call of the tokenizers library.
 
 That pre-tokens may be encoded apart from each other is a property of the pattern: cutting a pre-token again gives the pre-token. The
 proof set and the rest both rely on it, nothing else is assumed of the vocabulary.
@@ -15,14 +15,14 @@ columns are ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 import json
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LIMIT = 512
 KEPT_PRETOKENS = 200_000
+RUN_TOKENS = 1 << 18
 
 
 def load(data: str):
@@ -59,32 +59,38 @@ class Counting:
         special = sorted(special_strings(data), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.split = regex.compile(pattern).findall
-        self.single = frozenset(single)
-        self.merged: dict[str, int] = {}
+        self.single = dict.fromkeys(single, 1)
+        self.known = dict(self.single)
 
-    def pre_tokens(self, text: str) -> tuple[Counter, int]:
-        """Pre-tokens with their counts, and the number of special strings."""
+    def pre_tokens(self, text: str) -> tuple[list[str], int]:
+        """Pre-tokens, and the number of special strings."""
         if self.cut is None or not self.cut.search(text):
-            return Counter(self.split(text)), 0
+            return self.split(text), 0
         parts = self.cut.split(text)
-        total = Counter()
-        for part in parts:
-            total.update(self.split(part))
-        return total, len(parts) - 1
-
-    def count(self, text: str) -> int:
-        tokens, total = self.pre_tokens(text)
-        rest = tokens.keys() - self.single
-        new = [t for t in rest if t not in self.merged]
-        if new:
-            if len(self.merged) > KEPT_PRETOKENS:
-                self.merged.clear()
-                new = list(rest)
-            for start in range(0, len(new), 4096):
-                part = new[start : start + 4096]
-                self.merged.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        total += tokens.total()
-        return total + sum((self.merged[t] - 1) * tokens[t] for t in rest)
+        return [t for part in parts for t in self.split(part)], len(parts) - 1
+
+    def _settle(self, waiting: list[tuple[list[str], int]]) -> Iterator[int]:
+        """Counts of texts whose pre-tokens are at hand: what is not known yet is merged once for all of them."""
+        if len(self.known) > len(self.single) + KEPT_PRETOKENS:
+            self.known = dict(self.single)
+        new = list(set().union(*(tokens for tokens, _ in waiting)).difference(self.known))
+        for start in range(0, len(new), 4096):
+            part = new[start : start + 4096]
+            self.known.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
+        size = self.known.__getitem__
+        for tokens, special in waiting:
+            yield special + sum(map(size, tokens))
+
+    def count(self, texts: Iterable[str]) -> Iterator[int]:
+        """The counts of many texts, in runs of about ``RUN_TOKENS`` pre-tokens."""
+        waiting, held = [], 0
+        for text in texts:
+            waiting.append(self.pre_tokens(text))
+            held += len(waiting[-1][0])
+            if held >= RUN_TOKENS:
+                yield from self._settle(waiting)
+                waiting, held = [], 0
+        yield from self._settle(waiting)
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -> DataFrame:
@@ -96,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = Counting(*shared.value, pattern)
         for batch in batches:
-            counts = [counting.count(t.as_py() or "") for t in batch.column("text")]
+            counts = list(counting.count(t.as_py() or "" for t in batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
