@@ -1,8 +1,9 @@
 """Bloom filters built by Spark in segments and used as one numpy bit array inside tasks.
 
 An item has a key, which chooses one segment of 1 MiB, and two 64-bit hashes, which choose its bits inside the segment:
-``first + i * (second | 1)``, scrambled and reduced to the segment's bits. Items with one key share a segment, so a filter can be
-built by sending each key to its segment's task once, whatever number of items it stands for.
+``first + i * (second | 1)``, scrambled and reduced to the segment's bits. Items with one key share a segment, so a key is sent to its
+segment once, whatever number of items it stands for. Segments are built in as many parts as the number of items asks for, and the
+parts are joined by OR, so the number of tasks grows with the input and not with the filter.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import mix
 
 SEGMENT_BITS = 1 << 23
+PART_ITEMS = 1 << 21  # rows that one task puts into a segment
+MOST_BITS = 1 << 30  # of a filter that only rules rows out; beyond that it is fuller and more rows are looked up
 Hashes = tuple[np.ndarray, np.ndarray]
 
 
@@ -52,14 +55,33 @@ def probe(first: np.ndarray, second: np.ndarray, i: int, width: int) -> np.ndarr
     return mix(first + np.uint64(i) * (second | np.uint64(1))) % np.uint64(width)
 
 
-def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], Hashes], size: int, probes: int) -> Bloom:
-    """The filter of all items; ``items`` has a long column ``key``.
+def size_for(items: int, bits: int = 12) -> int:
+    """Bits of a filter of so many items that only rules rows out."""
+    return max(1 << 12, min(MOST_BITS, bits * items))
 
-    ``hashes`` turns a batch of ``items`` into the two hash arrays of what it inserts, all under the keys of their rows. A segment's
-    task reads its rows batch by batch and holds its bits only. What reaches the driver is the filter itself, ``size`` bits whatever
-    the number of items.
+
+def _batchwise(function: Callable) -> Callable:
+    """The worker looks at these to tell batch-wise functions of a group from whole-table ones."""
+    function.__annotations__ = {
+        "key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch],
+    }
+    return function
+
+
+def parts_of(rows: int, segments: int) -> int:
+    """In how many parts each segment is built."""
+    return max(1, -(-rows // (segments * PART_ITEMS)))
+
+
+def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], Hashes], size: int, probes: int, rows: int | None = None) -> Bloom:
+    """The filter of all items; ``items`` has a long column ``key``, ``rows`` is their number where it is known.
+
+    ``hashes`` turns a batch of ``items`` into the two hash arrays of what it inserts, all under the keys of their rows. A task builds
+    its part of a segment from the rows with its share of the keys, batch by batch, and holds the bits only; another one ORs the parts.
+    What reaches the driver is the filter itself, ``size`` bits whatever the number of items.
     """
     segments, width = layout(size)
+    parts = parts_of(items.count() if rows is None else rows, segments)
 
     def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(width, bool)
@@ -70,37 +92,57 @@ def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], Hashes], size: in
         packed = np.packbits(held, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([packed], pa.binary())], ["segment", "bits"])
 
-    # The worker looks at these to tell batch-wise functions from whole-table ones.
-    fill.__annotations__ = {
-        "key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch],
-    }
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(width // 8, np.uint8)
+        for batch in batches:
+            for bits in batch.column("bits"):
+                held |= np.frombuffer(bits.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["segment", "bits"])
+
     placed = items.withColumn("segment", F.pmod("key", F.lit(segments).cast("long")))
-    rows = placed.groupBy("segment").applyInArrow(fill, "segment long, bits binary").collect()
+    if parts == 1:
+        filled = placed.groupBy("segment").applyInArrow(_batchwise(fill), "segment long, bits binary")
+    else:
+        salted = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts).cast("long")))
+        filled = salted.groupBy("segment", "part").applyInArrow(_batchwise(fill), "segment long, bits binary")
+        filled = filled.groupBy("segment").applyInArrow(_batchwise(merge), "segment long, bits binary")
     held = np.zeros(segments * width // 8, np.uint8)
-    for row in rows:
+    for row in filled.collect():
         start = row.segment * width // 8
         held[start : start + width // 8] = np.frombuffer(row.bits, np.uint8)
     return Bloom(held, size, probes)
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, filter_bits: int = 1 << 26) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone`` (gone_id, no nulls), moving few of them.
+def row_key() -> Column:
+    """The identity of a row for the stages that drop copies: its id and its text (null: empty)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text).cast("binary"), 256))
 
-    A filter of the ids, of a fixed size, is broadcast. Rows that it rules out stay where they are; only the others, which are
-    the rows that go and some false positives, meet ``gone`` in a join.
+
+def one_row_of_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``copies`` (row_key, stays: one row per key) says go; of rows that share a key that stays, one.
+
+    A filter of the keys is broadcast. Rows that it rules out stay where they are; only the others, which are the copies and some
+    false positives, meet ``copies`` in a join.
     """
+    rows = copies.count()
+    size = size_for(rows)
 
     def halves(batch: pa.RecordBatch) -> Hashes:
-        ids = batch.column("key").to_numpy().view(np.uint64)
-        return mix(ids), ids
+        keys = batch.column("key").to_numpy().view(np.uint64)
+        return mix(keys), keys
 
-    bits = docs.sparkSession.sparkContext.broadcast(build(gone.select(F.col("gone_id").cast("long").alias("key")), halves, filter_bits, 4).bits)
+    items = copies.select(F.xxhash64("row_key").alias("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(build(items, halves, size, 4, rows).bits)
 
     @F.pandas_udf("boolean")
-    def listed(ids: pd.Series) -> pd.Series:
-        own = ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
-        return pd.Series(Bloom(bits.value, filter_bits, 4).contains(own, mix(own), own))
-
-    maybe = listed(F.col("doc_id").cast("long"))
-    asked = docs.filter(maybe)
-    return docs.filter(~maybe).unionByName(asked.join(gone, asked["doc_id"] == gone["gone_id"], "left_anti"))
+    def listed(keys: pd.Series) -> pd.Series:
+        own = keys.to_numpy().astype(np.int64).view(np.uint64)
+        return pd.Series(Bloom(bits.value, size, 4).contains(own, mix(own), own))
+
+    whole = docs.select(F.struct("*").alias("row"), row_key().alias("own_key"))
+    maybe = listed(F.xxhash64("own_key"))
+    met = whole.filter(maybe).join(copies, F.col("own_key") == F.col("row_key"), "left").filter("stays is null or stays")
+    # Rows that only look listed are told apart by their number; those that share a key are reduced to one.
+    apart = met.withColumn("own", F.when(F.col("stays").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return whole.filter(~maybe).select("row.*").unionByName(apart.dropDuplicates(["own_key", "own"]).select("row.*"))

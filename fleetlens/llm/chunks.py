@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import Bloom, build, without_ids
+from .bloom import Bloom, build, one_row_of_copies, row_key, size_for
 from .common import settle
 
 # Random numbers for the rolling hash, one per byte value.
@@ -37,7 +38,7 @@ class ChunkSpec:
     most: int = 16384
     mask_bits: int = 11  # a cut every 2 KB on average
     digest_bytes: int = 16
-    filter_bits: int = 1 << 26  # of the names that occur more than once
+    run_bytes: int = 1 << 22  # of texts whose chunks are held at once
 
 
 def cuts(data: bytes, spec: ChunkSpec) -> list[int]:
@@ -83,62 +84,71 @@ def name_of(chunk: bytes, seed: int, size: int) -> bytes:
     return raw[:size]
 
 
+def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about ``size`` bytes of text each, and one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _normal(text: str | None) -> bytes:
     return b"" if text is None else text.encode().lower()
 
 
 def recipes(docs: DataFrame, spec: ChunkSpec, seed: int, size: int) -> DataFrame:
-    """doc_id, recipe (chunk names in order), text_sha256 of each row."""
+    """recipe (chunk names in order) and text_sha256 of each row, next to its columns other than the text."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, spec.run_bytes):
             names, digests = [], []
             for text in batch.column("text"):
                 data = _normal(text.as_py())
                 names.append([name_of(c, seed, size) for c in pieces(data, spec)])
                 digests.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.list_(pa.binary())), pa.array(digests, pa.string())],
-                ["doc_id", "recipe", "text_sha256"],
+                [*(batch.column(c) for c in kept), pa.array(names, pa.list_(pa.binary())), pa.array(digests, pa.string())],
+                [*kept, "recipe", "text_sha256"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(read, f"doc_id {kind}, recipe array<binary>, text_sha256 string")
+    chosen = docs.select(*kept, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return chosen.mapInArrow(read, f"{kinds}, recipe array<binary>, text_sha256 string")
 
 
 def name_clashes(docs: DataFrame, made: DataFrame, spec: ChunkSpec, seed: int, size: int) -> int:
     """How many chunk names stand for two or more different contents.
 
-    Only chunks whose name occurs twice can clash, so a filter of those names (of a fixed size; a false positive only moves a
-    chunk needlessly) is broadcast and decides what is moved.
+    Only chunks whose name occurs twice can clash, so a filter of those names (its size follows their number up to a bound; a
+    false positive only moves a chunk needlessly) is broadcast and decides what is moved.
     """
     def halves(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return _name_hashes(batch.column("name").to_pylist())[1:]
 
     shared = made.select(F.explode("recipe").alias("name")).groupBy("name").count().filter("count > 1")
-    shared = shared.select("name", F.xxhash64("name").alias("key"))
-    listed = build(shared, halves, spec.filter_bits, 4)
+    shared = settle(shared.select("name", F.xxhash64("name").alias("key")), "repeated-names")
+    n_shared = shared.count()
+    if not n_shared:
+        return 0
+    filter_bits = size_for(n_shared)
+    listed = build(shared, halves, filter_bits, 4, n_shared)
     bits = docs.sparkSession.sparkContext.broadcast(listed.bits)
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Bloom(bits.value, spec.filter_bits, 4)
-        for batch in batches:
-            found: dict[bytes, bytes] = {}
-            clash: list[tuple[bytes, bytes]] = []
-            for text in batch.column("text"):
-                for chunk in pieces(_normal(text.as_py()), spec):
-                    name = name_of(chunk, seed, size)
-                    if found.setdefault(name, chunk) != chunk:
-                        clash.append((name, chunk))
-            rows = [*found.items(), *clash]
-            keep = held.contains(*_name_hashes([n for n, _ in rows])) if rows else []
-            rows = [r for r, k in zip(rows, keep) if k]
-            for start in range(0, len(rows), 4096):
-                part = rows[start : start + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in part], pa.binary()), pa.array([c for _, c in part], pa.binary())], ["name", "content"]
-                )
+        held = Bloom(bits.value, filter_bits, 4)
+        for batch in runs(batches, spec.run_bytes):
+            # The same chunk of a run is sent once; a set tells apart contents that share a name.
+            pairs = {(name_of(c, seed, size), c) for text in batch.column("text") for c in pieces(_normal(text.as_py()), spec)}
+            if not pairs:
+                continue
+            names, chunks = zip(*pairs)
+            keep = pa.array(held.contains(*_name_hashes(list(names))))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(chunks, pa.binary())], ["name", "content"]).filter(keep)
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
     pairs = texts.mapInArrow(contents, "name binary, content binary").groupBy("name", "content").agg(F.lit(1).alias("one"))
@@ -164,7 +174,7 @@ def verified_recipes(docs: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFram
 
 def exact_groups(docs: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of ``docs`` (doc_id, text)."""
-    made = verified_recipes(docs, spec)
+    made = verified_recipes(docs.select("doc_id", "text"), spec)
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # Only recipes that occur again are joined back, from a written table: both sides of the join are then plain shuffles, of
     # which Spark splits the partitions that a large group makes.
@@ -177,9 +187,12 @@ def exact_groups(docs: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
-    """The rows of ``docs`` that stay; needs ids that are unique where they matter (a repeated row stays as often as it came).
+    """The rows of ``docs`` without exact copies: of equal texts one row with the largest id stays (one without an id if none has one).
 
-    Rows without an id stay, as nothing tells them apart.
+    Rows are told apart by id and text together, so a row goes only with its own text, and of repeated rows one stays.
     """
-    gone = exact_groups(docs, spec).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"))
-    return without_ids(docs, settle(gone.distinct(), "exact-copies"))
+    made = verified_recipes(docs.select("doc_id", "text", row_key().alias("row_key")), spec)
+    tops = made.groupBy("recipe").agg(F.count("*").alias("rows"), F.max(F.struct("doc_id", "row_key")).alias("top"))
+    tops = settle(tops.filter("rows > 1").select("recipe", F.col("top.row_key").alias("top_key")), "repeated-recipes")
+    copies = made.join(tops, "recipe").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("top_key")).alias("stays"))
+    return one_row_of_copies(docs, settle(copies, "exact-copies"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import without_ids
+from .bloom import one_row_of_copies, row_key
 from .common import settle, words_of
 from .components import component_roots
 
@@ -63,15 +63,16 @@ def fingerprint(words: list[bytes], width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, spec: SimHashSpec) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number."""
+    """The columns of ``docs`` other than the text, and fp, the fingerprint as a signed number."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(words_of(t.as_py()), spec.words) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values.view(np.int64), pa.int64())], [*kept, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(read, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(read, f"{kinds}, fp long")
 
 
 class BKTree:
@@ -196,21 +197,34 @@ def shard_links(nodes: DataFrame, spec: SimHashSpec) -> DataFrame:
     return spread.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(link, "a long, b long")
 
 
+def near_roots(nodes: DataFrame, spec: SimHashSpec) -> DataFrame:
+    """``nodes`` (fp, and more) with root, the same for all fingerprints of a component."""
+    roots = component_roots(shard_links(nodes.select("fp"), spec))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of each row of ``docs`` (doc_id, text)."""
-    marked = settle(fingerprints(docs, spec), "fingerprints")
+    marked = settle(fingerprints(docs.select("doc_id", "text"), spec), "fingerprints")
     nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = component_roots(shard_links(nodes.select("fp"), spec))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = near_roots(nodes, spec)
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = placed.join(least, "root").select("fp", "component_id")
     return marked.join(of_node, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, spec: SimHashSpec = SimHashSpec()) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least id."""
-    gone = (
-        near_groups(docs, spec).filter("doc_id is not null and doc_id <> component_id")
-        .select(F.col("doc_id").alias("gone_id")).distinct()
-    )
-    return without_ids(docs, settle(gone, "near-copies"))
+    """The rows of ``docs`` without near copies: of each component one row with the least id stays (one without an id if none has one).
+
+    Rows are told apart by id and text together, so a row goes only with its own text, and of repeated rows one stays.
+    """
+    marked = settle(fingerprints(docs.select("doc_id", "text", row_key().alias("row_key")), spec), "fingerprints")
+    # Least by id, rows without an id last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    nodes = settle(marked.groupBy("fp").agg(first.alias("first"), F.count("*").alias("rows")), "distinct-fingerprints")
+    placed = settle(near_roots(nodes, spec), "near-components")
+    groups = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1")
+    groups = groups.select("root", F.col("first.row_key").alias("first_key"))
+    of_node = settle(placed.select("fp", "root").join(groups, "root").select("fp", "first_key"), "near-kept")
+    copies = marked.join(of_node, "fp").groupBy("row_key").agg(F.max(F.col("row_key") == F.col("first_key")).alias("stays"))
+    return one_row_of_copies(docs, settle(copies, "near-copies"))

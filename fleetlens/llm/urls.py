@@ -126,8 +126,11 @@ def key_universe(urls: DataFrame, lengths: list[int]) -> DataFrame:
     return urls.select("host", "path").mapInArrow(expand, "key string, h1 long, h2 long").distinct()
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """``listed`` (key) and ``universe`` (key, h1, h2) of all keys that will ever be asked; a key of both is listed."""
+def build_cascade(universe: DataFrame, listed: DataFrame, max_bytes: int | None = None) -> Cascade | None:
+    """``listed`` (key) and ``universe`` (key, h1, h2) of all keys that will ever be asked; a key of both is listed.
+
+    None if the levels take more than ``max_bytes``; each level's size is known, and looked at, before it is built.
+    """
 
     def hashes(batch: pa.RecordBatch, level: int) -> tuple[np.ndarray, np.ndarray]:
         return salted(batch.column("h1").to_numpy().view(np.uint64), level), batch.column("h2").to_numpy().view(np.uint64)
@@ -142,7 +145,9 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
     while n_in:
         level = len(levels)
         size, probes = _shape(n_in, rate)
-        one = build(inside.withColumn("key", F.col("h1")), lambda batch: hashes(batch, level), size, probes)
+        if max_bytes is not None and sum(len(x.bits) for x in levels) + size // 8 > max_bytes:
+            return None
+        one = build(inside.withColumn("key", F.col("h1")), lambda batch: hashes(batch, level), size, probes, n_in)
         levels.append(one)
         bits = one.bits
 
@@ -168,12 +173,13 @@ def judge(
     lists = {"block": blocked, "allow": {r.key for r in rules} - blocked}
     lengths = sorted({len(r.path) for r in rules}, reverse=True)
     universe = settle(key_universe(urls, lengths), "url-keys")
-    cascades = {
-        verdict: build_cascade(universe, spark.createDataFrame([(k,) for k in sorted(keys)], "key string"))
-        for verdict, keys in lists.items()
-    }
-    if sum(c.n_bytes for c in cascades.values()) > max_filter_bytes:
-        return _judge_by_join(spark, urls, lists, lengths, default)
+    cascades, left = {}, max_filter_bytes
+    for verdict, keys in lists.items():
+        made = build_cascade(universe, spark.createDataFrame([(k,) for k in sorted(keys)], "key string"), left)
+        if made is None:
+            return _judge_by_join(spark, urls, lists, lengths, default)
+        cascades[verdict] = made
+        left -= made.n_bytes
     shared = spark.sparkContext.broadcast({v: [(x.bits, x.size, x.probes) for x in c.levels] for v, c in cascades.items()})
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
