@@ -12,12 +12,13 @@ import duckdb
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cases import awkward, crc, frame, lower, normal, words  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from fleetlens.llm import bpe, chat, chunks, lmscore, mixing, nearcopies, queries, rules, simhash, tokencount, toxicity, urls  # noqa: E402
+from fleetlens.llm import bloom, bpe, chat, chunks, lmscore, mixing, queries, rules, simhash, tokencount, toxicity, urls  # noqa: E402
 from fleetlens.llm.components import component_roots  # noqa: E402
 
 PATTERN = public_tokenizers.PATTERN
@@ -167,6 +168,20 @@ def test_ablations(docs):
         assert rules.apply_policies(book).filter(f"version = '{p.version}' and rejected").count() == sum(b & p.mask != 0 for b in bits)
 
 
+def test_verdicts_of_every_version(docs, rows):
+    book = {(r.doc_id, r.n_words, r.failed_bits) for r in rules.ledger(docs).collect()}
+    got = rules.verdicts(docs).collect()
+    assert {(r.doc_id, r.n_words, r.failed_bits) for r in got} == book and len(got) == len(rows)
+    names = [r.name for r in rules.RULES]
+    sole = Counter(r.failed_bits for r in got)
+    for r in got:
+        for p in rules.POLICIES:
+            assert r[rules.kept_column(p)] == (r.failed_bits & p.mask == 0)
+        one = r.failed_bits.bit_count() == 1
+        assert r.sole_rule == (names[r.failed_bits.bit_length() - 1] if one else None)
+        assert r.sole_rule_docs == (sole[r.failed_bits] if one else None)
+
+
 def test_quality_labels(spark):
     """Clean documents stay and junk goes."""
     book = rules.verdicts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
@@ -216,7 +231,8 @@ def test_near_groups(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {m for m in (min(x) for x in least.values())} | {None}
+    alone = {g for r, g in zip(rows, groups) if r[0] is None and g not in least}
+    assert normal(kept.select("doc_id").collect()) == normal([(min(x),) for x in least.values()] + [(None,)] * len(alone))
 
 
 @pytest.mark.parametrize("tree_rows", [4, 2048])
@@ -259,70 +275,36 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got[0] != got[1000]
 
 
-# Near copies of the pipeline
-
-
-def plain_shingles(text):
-    w = words(lower(text))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
+# Stages that drop copies
 
-def plain_similar(texts):
-    """Components of all pairs with a similarity of 0.8 or more."""
-    sets = [plain_shingles(t) for t in texts]
-    parent = list(range(len(texts)))
+REPEATS = [
+    (5, "same text", 1), (7, "same text", 2), (5, "another text that is unique", 3), (9, "r", 4), (9, "r", 5), (None, "nn", 6), (None, "nn", 7),
+    (None, "same text", 8), (11, "Case", 9), (11, "case", 10), (12, None, 11), (12, "", 12),
+]
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
-                parent[root(i)] = root(j)
-    return [root(i) for i in range(len(texts))]
+@pytest.mark.parametrize("stage", ["exact_dedup", "simhash_near_dedup"])
+def test_copies_go_by_row_and_not_by_id(spark, stage):
+    """Repeated and missing ids: no text is lost, of every group of copies one row stays."""
+    docs = frame(spark, [(i, t, "en", "a", k) for i, t, k in REPEATS], extra=True)
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+    assert kept.columns == docs.columns
+    same = 7 if stage == "exact_dedup" else 5
+    want = [(same, "same text"), (5, "another text that is unique"), (9, "r"), (None, "nn"), (11, "case"), (12, "")]
+    assert normal((r.doc_id, lower(r.text)) for r in kept.collect()) == normal(want)
 
 
-def edited_texts():
-    """Texts, copies of them with a few to many words changed, and texts that share a passage only."""
-    import random
+def test_filters_are_built_in_parts(spark, monkeypatch):
+    """The number of tasks follows the rows, and parts joined by OR are the filter of all items."""
+    import numpy as np
 
-    rng = random.Random(11)
-
-    def prose(n):
-        return [f"w{rng.randrange(5000)}" for _ in range(n)]
-
-    passage, hot, texts = prose(60), prose(120), ["", " \n", "one two", "One  two"]
-    for _ in range(40):
-        base = prose(rng.randint(5, 200))
-        texts.append(" ".join(base))
-        for k in (1, 2, 3, 4, 6):
-            other = list(base)
-            for _ in range(k):
-                other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
-            texts.append(" ".join(other))
-    texts += [" ".join(passage + prose(rng.randint(5, 60))) for _ in range(60)]
-    for _ in range(100):
-        other = list(hot)
-        for _ in range(rng.randint(1, 5)):
-            other[rng.randrange(len(other))] = f"y{rng.randrange(10**6)}"
-        texts.append(" ".join(other))
-    return texts
-
-
-@pytest.mark.parametrize("spec", [nearcopies.NearSpec(), nearcopies.NearSpec(open_pairs=0, open_least=0, star_rounds=1, sample=1)])
-def test_near_dedup_stage_drops_edited_copies(spark, monkeypatch, spec):
-    texts = edited_texts()
-    groups = plain_similar(texts)
-    want = {min(i for i, g in enumerate(groups) if g == x) for x in set(groups)}
-    assert len(want) < len(texts) - 80
-    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)], extra=True)
-    monkeypatch.setattr(nearcopies.drop_similar_copies, "__defaults__", (spec,))
-    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    items = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    halves = lambda batch: (batch.column("key").to_numpy().view(np.uint64), batch.column("key").to_numpy().view(np.uint64) * np.uint64(3))
+    assert [bloom.parts_of(n, 8) for n in (0, 10**6, 10**9, 10**12)] == [1, 1, 60, 59605]
+    whole = bloom.build(items, halves, 1 << 24, 4)
+    monkeypatch.setattr(bloom, "PART_ITEMS", 1500)
+    assert bloom.parts_of(20_000, 2) == 7
+    assert (bloom.build(items, halves, 1 << 24, 4).bits == whole.bits).all() and whole.bits.any()
 
 
 # URL lists
@@ -408,6 +390,18 @@ def test_mix(docs, rows, empty):
     assert mixed.count() == sum(r.taken // r.size for r in got if r.size)
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    """A thousand equal rows in each of two sources: as many are taken as the targets ask for."""
+    rows = [(1, "one two three", None, "a", None)] * 1000 + [(2, "one two three", None, "b", None)] * 1000
+    docs = frame(spark, rows, extra=True)
+    for cell_rows in (16, 1024):
+        spec = mixing.MixSpec(cell_rows=cell_rows)
+        got = mixing.mix(docs, spec)
+        by = {r.doc_id: r for r in got.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("rows")).collect()}
+        assert all(abs(r.taken - r.target) <= 3 and r.rows == 1000 for r in by.values())
+        assert mixing.mixed_documents(docs, spec).count() == sum(r.taken for r in by.values()) // 3
+
+
 def test_mix_hits_targets_of_real_sources(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     by = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
@@ -541,7 +535,7 @@ def test_counts_on_every_character():
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for start in range(0, len(every), 1024):
         text = " a".join(every[start : start + 1024])
-        assert counting.count(text) == len(library.encode(text, add_special_tokens=False).ids), hex(start)
+        assert list(counting.count([text]))[0] == len(library.encode(text, add_special_tokens=False).ids), hex(start)
 
 
 # Toxicity
@@ -585,11 +579,19 @@ TURNS = [
 ]
 
 
-def test_preference_pairs(spark):
-    table = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, k string").repartition(3)
-    got = {(r.chosen_id, r.rejected_id): r for r in chat.preference_examples(table).collect()}
+def show(*turns):
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+
+@pytest.fixture(scope="module")
+def talks(spark):
+    return spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, k string").repartition(3)
+
+
+def test_pairs_of_two_conversations(talks):
+    turns = chat.numbered_turns(talks)
+    got = {(r.chosen_id, r.rejected_id): r for r in chat.format_pairs(turns, chat.pairs_by_number(turns)).collect()}
     assert set(got) == {(0, 1), (2, 3), (4, 5), (8, 9)}
-    show = lambda *turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
     first = got[0, 1]
     assert first.shared_turns == 2 and first.prompt == show(("user", "hi"), ("assistant", "good"))
     assert first.chosen == show(("user", "more"), ("assistant", "yes")) and first.chosen_mask == [0, 0, 0, 1]
@@ -601,11 +603,50 @@ def test_preference_pairs(spark):
     assert apart.rejected == show(("assistant", ""), ("assistant", ""), ("user", "late"))
     short = got[8, 9]
     assert short.shared_turns == 1 and short.rejected == "" and short.chosen == show(("assistant", "b"))
-    assert chat.preference_examples(table.limit(0)).count() == 0
-    by_opening = chat.pairs_by_opening(chat.numbered_turns(table)).collect()
+    by_opening = chat.pairs_by_opening(turns).collect()
     assert normal(by_opening) == [(1, 0), (2, 3), (8, 9)] or normal(by_opening) == [(0, 1), (2, 3), (8, 9)]
 
 
+def plain_examples(rows):
+    """chosen_id to (rejected_id, shared turns, prompt, chosen, rejected, masks)."""
+    said = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            said[conv].append((turn is None, turn or 0, role or "unknown", text or ""))
+    said = {c: [t[2:] for t in sorted(turns)] for c, turns in said.items()}
+    last = {c: max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=None) for c, turns in said.items()}
+    out = {}
+    for c, own in said.items():
+        other = c ^ 1
+        learned = lambda turns, start: [int(i >= start and t[0] == "assistant") for i, t in enumerate(turns)]
+        if last[c] is None or last.get(other) is None:
+            at = len(own) if last[c] is None else last[c]
+            out[c] = (None, at, show(*own[:at]), show(*own[at:]), None, learned(own, at), None)
+            continue
+        bad = [*own[: last[c]], said[other][last[other]]]
+        shared = next((i for i, (a, b) in enumerate(zip(own, bad)) if a != b), len(bad))
+        out[c] = (other, shared, show(*own[:shared]), show(*own[shared:]), show(*bad[shared:]), learned(own, shared), learned(bad, shared))
+    return out
+
+
+def test_preference_examples(spark, talks):
+    big = 2**62
+    more = [(big, 0, "user", "u"), (big, 1, "assistant", "a"), (big + 1, 0, "assistant", "b"), (big + 2, 0, "assistant", "c"), (-2, 0, "assistant", "m"), (-1, 0, "assistant", "m")]
+    table = talks.unionByName(spark.createDataFrame([(*t, "x") for t in more], talks.schema))
+    got = {r.chosen_id: tuple(r)[1:] for r in chat.preference_examples(table).select(
+        "chosen_id", "rejected_id", "shared_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask").collect()}
+    assert got == plain_examples(TURNS + more)
+    assert got[-2][:2] == (-1, 1) and got[big][2] == show(("user", "u")) and got[big + 2][0] is None
+    assert chat.preference_examples(table.limit(0)).count() == 0
+
+
+def test_prompts_are_shared_in_the_given_table(spark, sf_dir):
+    got = queries.QUERIES["op8_preference_format"](spark, sf_dir).collect()
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert len(got) == given.select("conv_id").distinct().count()
+    assert all(r.prompt_chars > 0 for r in got if r.rejected_id is not None) and any(r.rejected_id is not None for r in got)
+
+
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op8_preference_format"])
 def test_native_plans_hold_no_python(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
