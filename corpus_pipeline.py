@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written and read again before the next.
 
 Quality rules drop what the current policy rejects; exact dedup keeps the row with the largest id of equal texts; near-dedup keeps
-the row with the least id of each group of texts that are similar at 0.8 or more over five-word shingles; mixing keeps each document as often as its source's target asks
+the row with the least id of each group of texts whose SimHash fingerprints (three-word shingles) are linked by two differing bits or fewer; mixing keeps each document as often as its source's target asks
 for, so a document may come twice or thrice and some go; the last stage encodes and decodes what is left.
 """
 
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm.chunks import drop_exact_copies
 from fleetlens.llm.common import read_table, settle
 from fleetlens.llm.mixing import mixed_documents
-from fleetlens.llm.nearcopies import drop_similar_copies
 from fleetlens.llm.queries import bpe_digests
 from fleetlens.llm.rules import filter_documents
+from fleetlens.llm.simhash import drop_near_copies
 from fleetlens.session import configure
 
 
@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar_copies(docs)
+    return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
