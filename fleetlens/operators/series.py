@@ -37,6 +37,17 @@ def _from_key(df: DataFrame, *rest: str) -> DataFrame:
     return df.select("cluster", "metric", F.map_from_entries("_labels").alias("labels"), *rest)
 
 
+def matches_all(pattern: str) -> bool:
+    return pattern in (".*", "$__all")
+
+
+def label_test(value: Column, pattern: str) -> Column:
+    """Whether a label value matches an anchored pattern. Plain names become a list test, which can reach a scan."""
+    if _PLAIN_NAMES.fullmatch(pattern):
+        return value.isin(pattern.split("|"))
+    return value.rlike(rf"(?s)\A(?:{pattern})\z")
+
+
 def match_labels(samples: DataFrame, matchers: Mapping[str, str] | None = None, metric: str | None = None) -> DataFrame:
     """Keep a metric and the series whose labels match anchored regular expressions (``.*`` matches all).
 
@@ -46,12 +57,8 @@ def match_labels(samples: DataFrame, matchers: Mapping[str, str] | None = None,
     """
     out = samples if metric is None else samples.filter(F.col("metric") == metric)
     for name, pattern in (matchers or {}).items():
-        if pattern in (".*", "$__all"):
-            continue
-        if _PLAIN_NAMES.fullmatch(pattern):
-            out = out.filter(label(name).isin(pattern.split("|")))
-        else:
-            out = out.filter(label(name).rlike(rf"(?s)\A(?:{pattern})\z"))
+        if not matches_all(pattern):
+            out = out.filter(label_test(label(name), pattern))
     return out
 
 

@@ -7,6 +7,7 @@ of its threshold step. ``calcs`` are the figures next to the legend of a line. :
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens.functions.scalars import value_text
 from fleetlens.operators import series
 from fleetlens.plans.samples import label_map
+from fleetlens.sources.seriesstore import SeriesStore
 
 
 @dataclass(frozen=True)
@@ -198,6 +200,13 @@ def panel_metrics(p: Panel) -> tuple[str, ...]:
     return tuple(dict.fromkeys(m for t in p.targets for m in (t.metric, t.per) if m))
 
 
+def _chosen(samples: DataFrame | SeriesStore, metrics: list[str], filters: Mapping[str, str]) -> DataFrame:
+    """Samples of some metrics whose labels match, from a plain history or through the index of a store."""
+    if isinstance(samples, SeriesStore):
+        return samples.select(metrics, filters)
+    return series.match_labels(samples.filter(F.col("metric").isin(*metrics)), filters)
+
+
 def _bare(df: DataFrame, metric: str, labels: tuple[str, ...] = ()) -> DataFrame:
     """An aggregated vector in sample form; labels that were aggregated away are gone."""
     kept = [x for x in labels if x != "cluster"]
@@ -208,13 +217,13 @@ def _bare(df: DataFrame, metric: str, labels: tuple[str, ...] = ()) -> DataFrame
 
 
 def target_vector(
-    samples: DataFrame, target: Target, window: Window, variables: Mapping[str, str], top: int, namespace: str, instant: bool
+    samples: DataFrame | SeriesStore, target: Target, window: Window, variables: Mapping[str, str], top: int, namespace: str, instant: bool
 ) -> DataFrame:
     """Value of a target at every instant of the window (only at its end with ``instant``)."""
 
     def select(metric: str) -> DataFrame:
         filters = {name: variables.get(variable, ALL) for name, variable in target.filters}
-        chosen = series.match_labels(samples, filters, f"{namespace}_{metric}")
+        chosen = _chosen(samples, [f"{namespace}_{metric}"], filters)
         if instant:
             return series.instant_select(chosen, window.end, window.lookback_seconds)
         return series.range_select(chosen, window.start, window.end, window.step_seconds, window.lookback_seconds)
@@ -242,13 +251,13 @@ def _one_pass(p: Panel) -> bool:
 
 
 def _lines_in_one_pass(
-    samples: DataFrame, p: Panel, window: Window, variables: Mapping[str, str], namespace: str
+    samples: DataFrame | SeriesStore, p: Panel, window: Window, variables: Mapping[str, str], namespace: str
 ) -> DataFrame:
     """All lines of such a panel from one scan and one reduction of the history."""
     names = {f"{namespace}_{t.metric}": t for t in p.targets}
     shape = p.targets[0]
     filters = {name: variables.get(variable, ALL) for name, variable in shape.filters}
-    chosen = series.match_labels(samples.filter(F.col("metric").isin(*names)), filters)
+    chosen = _chosen(samples, list(names), filters)
     vector = series.range_select(chosen, window.start, window.end, window.step_seconds, window.lookback_seconds)
     if shape.above is not None:
         vector = series.compare_filter(vector, ">", shape.above)
@@ -264,14 +273,14 @@ def _lines_in_one_pass(
 
 
 def run_panel(
-    samples: DataFrame,
+    samples: DataFrame | SeriesStore,
     p: Panel,
     window: Window,
     variables: Mapping[str, str] | None = None,
     top: int = TOP_DEFAULT,
     namespace: str = "fleet",
 ) -> DataFrame:
-    """Result of a panel.
+    """Result of a panel over a sample history or a :class:`~fleetlens.sources.seriesstore.SeriesStore`.
 
     ``stat`` and ``gauge``: one row per series, ``cluster, labels, value, band, text``. ``timeseries``:
     ``cluster, ts, legend, value, band, text``. ``table``: the panel's columns with ``band`` and ``text``, sorted.
@@ -302,7 +311,20 @@ def run_panel(
     return finish(reduced)
 
 
-def legend_values(samples: DataFrame, p: Panel, window: Window, calcs: tuple[str, ...] | None = None, **options) -> DataFrame:
+def variable_values(samples: DataFrame | SeriesStore, name: str, metric: str, chosen: Mapping[str, str] | None = None) -> DataFrame:
+    """Choices of a dashboard variable: the values of a label of a metric, given what other variables are set to."""
+    if isinstance(samples, SeriesStore):
+        return samples.label_values(name, metric, chosen)
+    return series.label_values(samples, name, metric, chosen)
+
+
+def default_window(dashboard: str, end: str, step_seconds: int = 15) -> Window:
+    """The time range a dashboard opens with, up to ``end``."""
+    start = dt.datetime.fromisoformat(end) - dt.timedelta(seconds=RANGE_SECONDS[dashboard])
+    return Window(start.isoformat(" "), end, step_seconds)
+
+
+def legend_values(samples: DataFrame | SeriesStore, p: Panel, window: Window, calcs: tuple[str, ...] | None = None, **options) -> DataFrame:
     """Figures shown next to each line's legend, by default those of the panel."""
     calcs = calcs or p.calcs
     lines = run_panel(samples, p, window, **options)

@@ -334,6 +334,11 @@ SELECT cluster, snapshot_ts AS ts, concat('fleet_gpbackup_', metric) AS metric,
 SELECT concat(metric, '{cluster="', cluster, '",database="', label_database, '",note="a\"b\\', metric, '\n",table="', label_table, '"} ',
               CASE WHEN isnan(value) THEN 'NaN' ELSE CAST(value AS VARCHAR) END) AS value FROM flat_samples""")
     sql["external_label"] = q("flat_samples", "", "SELECT 'main' AS cluster, ts, metric, concat('database=', label_database, ',region=eu,table=', label_table) AS labels, value FROM flat_samples")
+    sql["series_store_select"] = q("flat_samples", _INSTANT, """
+SELECT * FROM inst WHERE metric IN ('m_view', 'm_click') AND cluster IN ('c0', 'c2') AND label_database IN ('db0', 'db1', 'db2') AND label_table LIKE 't1%'""")
+    sql["series_store_label_values"] = q("flat_samples", "", """
+SELECT DISTINCT label_table AS label_value FROM flat_samples
+WHERE metric = 'm_view' AND cluster IN ('c1', 'c2') AND label_database IN ('db0', 'db1', 'db2', 'db3')""")
     sql["instant_select"] = q("flat_samples", _INSTANT, "SELECT * FROM inst")
     sql["range_select"] = q("flat_samples", _RANGE, "SELECT * FROM rng")
     sql["topk_series"] = q("flat_samples", _RANGE, f"""

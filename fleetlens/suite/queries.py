@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,9 +16,10 @@ from fleetlens.operators import (
 from fleetlens.plans import panels, registry
 from fleetlens.plans.collect import collect_samples
 from fleetlens.plans.samples import CollectorSpec, MetricSpec, exposition_lines, spec_samples, to_samples
-from fleetlens.session import configure
+from fleetlens.session import configure, shared_dir
 from fleetlens.sources.catalog import parse_disk_usage
 from fleetlens.sources.fixtures import DERIVATIONS, derive
+from fleetlens.sources.seriesstore import SeriesStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +120,22 @@ def _instant(t: Inputs) -> DataFrame:
     return series.instant_select(t["metric_samples"], MONTH_END, 32 * DAY)
 
 
+STORE_MATCHERS = {"database": "db[0-2]|", "table": "t1.*", "cluster": "c0|c2"}
+
+
+def _store(t: Inputs) -> SeriesStore:
+    """The whole sample history behind its index."""
+    spark = t["metric_samples"].sparkSession
+    store = SeriesStore(spark, f"{shared_dir(spark)}/series/{uuid.uuid4().hex}")
+    store.append(t["metric_samples"])
+    return store
+
+
+def _store_instant(t: Inputs) -> DataFrame:
+    chosen = _store(t).select(["m_view", "m_click"], STORE_MATCHERS)
+    return series.instant_select(chosen, MONTH_END, 32 * DAY)
+
+
 def _range(t: Inputs) -> DataFrame:
     return series.range_select(t["metric_samples"], MONTH_START, MONTH_END, RANGE_STEP, RANGE_LOOKBACK)
 
@@ -288,6 +306,8 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
         "cluster", "ts", "metric", labels_text().alias("labels"), "value"
     ),
     # series
+    "series_store_select": lambda t: _flat(_store_instant(t), "value"),
+    "series_store_label_values": lambda t: panels.variable_values(_store(t), "table", "m_view", {"cluster": "c1|c2", "database": "db[0-3]"}),
     "instant_select": lambda t: _flat(_instant(t), "value"),
     "range_select": lambda t: _flat(_range(t), "value"),
     "topk_series": lambda t: _flat(series.topk_series(_range(t), 5), "value", F.col("rank").cast("bigint")),
