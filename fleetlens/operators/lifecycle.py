@@ -164,6 +164,31 @@ def sound_entities(entities: DataFrame, keys: Sequence[str], values: Sequence[st
     return entities.filter(_problem(keys, values).isNull())
 
 
+def good_intervals(snapshots: DataFrame, ok: str = "ok") -> DataFrame:
+    """``cluster, source_ts, until_ts``: for how long each good snapshot stands, up to the snapshot before the next good one.
+
+    One row per good snapshot, whatever number of failed ones it stands in for; rows of entities are not touched.
+    """
+    spine = snapshots.groupBy(*SCOPE).agg(F.when(F.max(ok), F.col("snapshot_ts")).alias("source_ts"))
+    held = fill_forward(spine, ["cluster"], ["snapshot_ts"], ["source_ts"], day_chunk("snapshot_ts")).filter(F.col("source_ts").isNotNull())
+    return held.groupBy("cluster", "source_ts").agg(F.max("snapshot_ts").alias("until_ts"))
+
+
+def entities_at(entities: DataFrame, intervals: DataFrame, times: DataFrame) -> DataFrame:
+    """Entities as they stood at the ``times`` (cluster, ts) asked for: rows of the good snapshot whose interval holds the time.
+
+    The as-of join is an interval join bucketed by day over snapshots; only then are the rows of the snapshots met that were hit.
+    """
+    by_day = intervals.select(
+        "cluster", "source_ts", "until_ts", F.explode(F.sequence(F.to_date("source_ts"), F.to_date("until_ts"))).alias("_day")
+    )
+    met = times.select("cluster", "ts").distinct().withColumn("_day", F.to_date("ts")).join(by_day, ["cluster", "_day"])
+    hit = met.filter((F.col("source_ts") <= F.col("ts")) & (F.col("ts") <= F.col("until_ts"))).select("cluster", "ts", "source_ts")
+    rest = [c for c in entities.columns if c not in SCOPE]
+    rows = entities.withColumnRenamed("snapshot_ts", "source_ts").join(hit, ["cluster", "source_ts"])
+    return rows.select("cluster", F.col("ts").alias("snapshot_ts"), "source_ts", *rest)
+
+
 def carry_forward(entities: DataFrame, snapshots: DataFrame, ok: str = "ok") -> DataFrame:
     """The last good snapshot of a cluster, repeated for snapshots that failed after it.
 

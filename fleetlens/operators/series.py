@@ -142,6 +142,13 @@ def range_select(
     return _from_key(spread, at.alias("ts"), "value")
 
 
+def prefer(vector: DataFrame, other: DataFrame) -> DataFrame:
+    """The samples of both vectors; where both have one for a series and instant, that of ``other``."""
+    both = vector.select(*other.columns).withColumn("_rank", F.lit(0)).unionByName(other.withColumn("_rank", F.lit(1)))
+    chosen = _with_key(both).groupBy(*_SERIES, "ts").agg(F.max_by("value", "_rank").alias("value"))
+    return _from_key(chosen, "ts", "value")
+
+
 def topk_series(vector: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """The ``k`` largest samples of each instant, NaN last, ties by labels. Plans as a group limit before the shuffle."""
     rank = Window.partitionBy("ts", *by).orderBy(

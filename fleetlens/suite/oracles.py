@@ -409,6 +409,18 @@ SELECT g.cluster, g.snapshot_ts, g.source_ts, e.entity, e.role, e.value FROM (
  SELECT s.cluster, s.snapshot_ts, max(p.snapshot_ts) AS source_ts FROM entity_snapshots s
  JOIN entity_snapshots p ON p.cluster = s.cluster AND p.snapshot_ts <= s.snapshot_ts AND p.ok GROUP BY 1, 2) g
 JOIN entity_days e ON e.cluster = g.cluster AND e.snapshot_ts = g.source_ts""")
+    sql["entities_at"] = sql["carry_forward"]
+    sql["good_intervals"] = q("entity_snapshots", "", """
+SELECT cluster, source_ts, max(snapshot_ts) AS until_ts FROM (
+ SELECT s.cluster, s.snapshot_ts, max(p.snapshot_ts) AS source_ts FROM entity_snapshots s
+ JOIN entity_snapshots p ON p.cluster = s.cluster AND p.snapshot_ts <= s.snapshot_ts AND p.ok GROUP BY 1, 2) GROUP BY 1, 2""")
+    # Absences written out as a row for every snapshot, then the latest row at each step.
+    sql["range_with_absences"] = f"""
+WITH filled AS ({sql['absent_policy_nan']}), steps AS (
+ SELECT unnest(generate_series(TIMESTAMP '{MONTH_START}', TIMESTAMP '{MONTH_END}', INTERVAL '{RANGE_STEP}' SECOND)) AS step_at)
+SELECT cluster, step_at AS ts, entity, value FROM (
+ SELECT f.cluster, f.entity, f.value, s.step_at, row_number() OVER (PARTITION BY f.cluster, f.entity, s.step_at ORDER BY f.snapshot_ts DESC) AS rn
+ FROM filled f JOIN steps s ON f.snapshot_ts <= s.step_at AND f.snapshot_ts > s.step_at - INTERVAL '{RANGE_LOOKBACK}' SECOND) WHERE rn = 1"""
     age = seconds("request_ts", "scrape_ts")
     sql["scrape_staleness"] = q("scrape_requests scrape_log", """latest AS (
  SELECT r.cluster, r.request_id, r.request_ts, s.start_ts AS scrape_ts FROM scrape_requests r

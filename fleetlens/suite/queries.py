@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.scalars import COMPACT_FORMAT, num_to_lsn, value_text
 from fleetlens.operators import (
-    backups, cluster, databases, hosts, lifecycle, locks, replication, resgroups, runlog, segments, series, sessions,
+    absences, backups, cluster, databases, hosts, lifecycle, locks, replication, resgroups, runlog, segments, series, sessions,
     tablehealth, vacuum,
 )
 from fleetlens.plans import panels, registry
@@ -199,6 +199,21 @@ HISTORY_SPEC = CollectorSpec(
 )
 
 
+def _range_with_absences(t: Inputs) -> DataFrame:
+    """Steps of a range over entities that come and go, absences as intervals."""
+    rows = t["entity_days"]
+    samples = to_samples(rows.select("cluster", "snapshot_ts", "entity", "value"), [MetricSpec("value", "value", (("entity", "entity"),), "entity")])
+    intervals = absences.absence_intervals(rows, ["entity"], {"fleet_entity_value": "nan"}, [("entity", "entity")], t["entity_snapshots"])
+    out = absences.range_with_absences(samples, intervals, t["entity_snapshots"], MONTH_START, MONTH_END, RANGE_STEP, RANGE_LOOKBACK)
+    return out.select("cluster", "ts", F.col("labels")["entity"].alias("entity"), "value")
+
+
+def _entities_at(t: Inputs) -> DataFrame:
+    """Entities as they stood at every snapshot, failed ones included, from the intervals of the good ones."""
+    times = t["entity_snapshots"].select("cluster", F.col("snapshot_ts").alias("ts"))
+    return lifecycle.entities_at(t["entity_days"], lifecycle.good_intervals(t["entity_snapshots"]), times)
+
+
 def _collect_history(t: Inputs) -> DataFrame:
     """Samples under the life-cycle rules: pinned labels, and NaN for entities that are gone."""
     tables = {"entity_days": t["entity_days"], "snapshots": t["entity_snapshots"]}
@@ -349,6 +364,9 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "pinned_labels": lambda t: lifecycle.pinned_labels(t["entity_days"], ["entity"], ["role"], ["value"], t["entity_snapshots"]),
     "pinned_labels_kept": lambda t: lifecycle.pinned_labels(t["entity_days"], ["entity"], ["role"], ["value"], removed=False),
     "validate_entities": _validate,
+    "range_with_absences": _range_with_absences,
+    "good_intervals": lambda t: lifecycle.good_intervals(t["entity_snapshots"]),
+    "entities_at": _entities_at,
     "carry_forward": lambda t: lifecycle.carry_forward(t["entity_days"], t["entity_snapshots"]),
     # run log
     "scrape_staleness": lambda t: runlog.scrape_staleness(t["scrape_requests"], t["scrape_log"], 5400),
