@@ -83,6 +83,15 @@ def failure_rows(spark: SparkSession, failures: Iterable[tuple[str, str]]) -> Da
     return spark.createDataFrame(list(failures), "name string, error string")
 
 
+def entity_values(spec: CollectorSpec) -> list[str]:
+    return list(dict.fromkeys(m.value for m in spec.metrics))
+
+
+def entity_labels(spec: CollectorSpec) -> list[str]:
+    """Label columns that are no part of an entity's key, so that are pinned."""
+    return [c for c in dict.fromkeys(c for m in spec.metrics for _, c in m.labels) if c not in spec.keys]
+
+
 def entity_history(spec: CollectorSpec, entities: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """Entity rows over several snapshots under the life-cycle rules of their collector.
 
@@ -91,9 +100,7 @@ def entity_history(spec: CollectorSpec, entities: DataFrame, snapshots: DataFram
     """
     if not spec.keys or spec.to_samples is not None:
         return entities
-    keys = list(spec.keys)
-    values = list(dict.fromkeys(m.value for m in spec.metrics))
-    labels = [c for c in dict.fromkeys(c for m in spec.metrics for _, c in m.labels) if c not in keys]
+    keys, values, labels = list(spec.keys), entity_values(spec), entity_labels(spec)
     sound = sound_entities(entities, keys, values)
     spine = sound if snapshots is None else snapshots
     pinned = pinned_labels(sound, keys, labels, values, snapshots=spine) if labels else sound.select(*SCOPE, *keys, *values)

@@ -15,14 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.scope import SCOPE
-from fleetlens.operators.lifecycle import entity_changes, pinned_labels
-from fleetlens.plans.collect import collect_samples
+from fleetlens.operators.absences import FILLS
+from fleetlens.operators.lifecycle import entity_changes, pinned_labels, sound_entities
+from fleetlens.plans.collect import collect_samples, entity_history, entity_labels, entity_values
 from fleetlens.plans.registry import selected_specs
 from fleetlens.plans.samples import CollectorSpec, spec_samples
 from fleetlens.schemas import TABLES, table_schema
@@ -54,14 +56,15 @@ def snapshot_tables(spark: SparkSession, landing: str, names: Iterable[str], sna
     are skipped by their statistics.
     """
     bounds = snapshots.agg(
-        F.min("snapshot_ts").alias("first"), F.max("snapshot_ts").alias("last"),
+        F.unix_micros(F.min("snapshot_ts")).alias("first"), F.unix_micros(F.max("snapshot_ts")).alias("last"),
         F.min(F.to_date("snapshot_ts")).alias("first_day"), F.max(F.to_date("snapshot_ts")).alias("last_day"),
     ).first()
+    # Instants travel as numbers: as local times of the driver, those of a doubled hour could not be told apart.
     first, last = bounds["first"], bounds["last"]
     tables = {}
     for name in names:
         rows = read_landed(spark, landing, name, bounds["first_day"], bounds["last_day"])
-        rows = rows.filter(F.lit(False)) if first is None else rows.filter(F.col("snapshot_ts").between(F.lit(first), F.lit(last)))
+        rows = rows.filter(F.lit(False)) if first is None else rows.filter(F.col("snapshot_ts").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))))
         tables[name] = rows.join(snapshots, list(SCOPE), "left_semi").drop(DATE_COLUMN)
     return tables
 
@@ -71,14 +74,22 @@ def _slot(root: str, name: str, batch_id: int) -> str:
     return f"{root}/{name}/slot={batch_id % 2}"
 
 
-def _previous(spark: SparkSession, root: str, name: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """What the batch before wrote; nothing for the first batch, or for a collector that joins a running job."""
-    if batch_id > 0:
+class LostState(RuntimeError):
+    """State that an earlier batch wrote is gone; going on without it would report all entities as new."""
+
+
+def _previous(spark: SparkSession, root: str, name: str, batch_id: int, like: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
+    """What the batch before wrote; nothing for the first batch, or for a state that no earlier batch knew of.
+
+    ``known`` names the states that the batch before wrote; without it this one is taken to be among them.
+    """
+    if batch_id > 0 and (known is None or name in known):
         try:
             return spark.read.schema(like.schema).parquet(_slot(root, name, batch_id - 1))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            raise LostState(f"{_slot(root, name, batch_id - 1)} is missing; start the job anew under another home") from error
     return like.filter(F.lit(False))
 
 
@@ -102,6 +113,40 @@ def advance_entities(
     return changes, pinned_all.join(fresh, list(SCOPE), "left_semi"), live
 
 
+def history_samples(
+    tracked: Tracked, previous: DataFrame, gone: DataFrame, entities: DataFrame, seen: DataFrame, fresh: DataFrame, namespace: str
+) -> tuple[DataFrame, DataFrame]:
+    """Samples of the fresh snapshots under the collector's life-cycle rules, and who is gone after them.
+
+    ``gone`` holds the entities that were known and not there at the last snapshot, with the labels they had: they show NaN or 0 in each
+    fresh snapshot until they return, and are pinned anew then.
+    """
+    spec, keys = tracked.spec, list(tracked.spec.keys)
+    values, labels = entity_values(spec), entity_labels(spec)
+    if not set(labels) <= set(tracked.labels):
+        raise ValueError(f"{spec.name} needs its labels {labels} tracked")
+    numbers = [F.col(v).cast("double").alias(v) for v in values]
+    prior = previous.select(*SCOPE, *keys, *labels, *[F.lit(0.0).alias(v) for v in values])
+    current = sound_entities(entities, keys, values).select(*SCOPE, *keys, *labels, *numbers)
+    columns = [*SCOPE, *keys, *labels, *values]
+    rows = entity_history(spec, prior.unionByName(current), seen.unionByName(fresh)).join(fresh, list(SCOPE), "left_semi").select(*columns)
+    if spec.absent not in FILLS:
+        return spec_samples(spec, rows, namespace), gone
+    back = current.groupBy("cluster", *keys).agg(F.min("snapshot_ts").alias("_back"))
+    missed = gone.join(back, ["cluster", *keys], "left").join(fresh, "cluster").filter(F.col("_back").isNull() | (F.col("snapshot_ts") < F.col("_back")))
+    still = missed.select(*SCOPE, *keys, *labels, *[F.lit(FILLS[spec.absent]).alias(v) for v in values])
+    # A struct of the labels is only taken with something in it.
+    pin = F.struct(F.lit(1).alias("_any"), *labels).alias("_pin")
+    at = F.col("snapshot_ts").alias("_at")
+    known = rows.select("cluster", *keys, pin, at).unionByName(prior.select("cluster", *keys, pin, at))
+    known = known.unionByName(gone.select("cluster", *keys, pin, F.lit(None).cast("timestamp").alias("_at")))
+    last = known.groupBy("cluster", *keys).agg(F.max_by("_pin", F.struct("_at")).alias("_pin"))
+    newest = seen.unionByName(fresh).groupBy("cluster").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    there = prior.unionByName(current).join(newest, list(SCOPE), "left_semi").select("cluster", *keys)
+    after = last.join(there, ["cluster", *keys], "left_anti").join(newest, "cluster", "left_semi").select("cluster", *keys, *[F.col(f"_pin.{c}").alias(c) for c in labels])
+    return spec_samples(spec, rows.unionByName(still), namespace), after
+
+
 def collect_batch(
     spark: SparkSession,
     manifest: DataFrame,
@@ -113,13 +158,20 @@ def collect_batch(
     tracked: tuple[Tracked, ...] = (),
     namespace: str = "fleet",
     retain_days: int | None = None,
+    history: bool = False,
 ) -> None:
     """One micro-batch: samples of the announced snapshots, changes and pinned labels of tracked entities.
 
     Every announced snapshot gives samples, late ones too, as a snapshot needs no other. Life cycles need order: for them,
-    snapshots not later than the last one processed for their cluster are left aside.
+    snapshots not later than the last one processed for their cluster are left aside. With ``history`` the samples of tracked collectors
+    carry pinned labels and show what gone entities show (late snapshots give the rows they hold).
     """
     all_new = announced(manifest)
+    names = spark.createDataFrame([], "name string, batch long")
+    listed = _previous(spark, state, "names", batch_id, names).collect()
+    if any(r["batch"] != batch_id - 1 for r in listed):
+        raise LostState(f"the state under {state} is not that of batch {batch_id - 1}")
+    known = frozenset(r["name"] for r in listed)
     seen = _previous(spark, state, "seen", batch_id, all_new)
     last = seen.withColumnRenamed("snapshot_ts", "_last")
     is_new = F.col("_last").isNull() | (F.col("snapshot_ts") > F.col("_last"))
@@ -128,23 +180,38 @@ def collect_batch(
     inputs = sorted({t for s in (*specs, *(x.spec for x in tracked)) for t in s.inputs})
     tables: dict[str, DataFrame] = snapshot_tables(spark, landing, inputs, all_new)
     tables["snapshots"] = all_new
-    samples = collect_samples(tables, specs, namespace).withColumn("date", F.to_date("ts"))
-    samples.hint("rebalance", "date", "metric").write.mode("overwrite").partitionBy("date", "metric").parquet(
-        f"{out}/samples/batch={batch_id}"
-    )
+    apart = {x.spec.name for x in tracked if x.spec.keys and x.spec.to_samples is None} if history else set()
+    together = tuple(s for s in specs if s.name not in apart)
+    parts = [collect_samples(tables, together, namespace)] if together else []
+    written = {"names", "seen"}
     for one in tracked:
         name = one.spec.name
         # Written once and read back: three results are made from it.
         place = f"{state}/{name}/entities={batch_id % 2}"
-        built = one.spec.build(tables).join(fresh, list(SCOPE), "left_semi").select(*one.columns)
+        whole = one.spec.build(tables)
+        needed = list(dict.fromkeys((*one.columns, *(entity_values(one.spec) if name in apart else ()))))
+        built = whole.join(fresh, list(SCOPE), "left_semi").select(*needed)
         built.write.mode("overwrite").parquet(place)
         entities = spark.read.schema(built.schema).parquet(place)
-        previous = _previous(spark, state, name, batch_id, entities.select(*one.columns))
+        previous = _previous(spark, state, name, batch_id, entities.select(*one.columns), known)
         changes, pinned, live = advance_entities(one, previous, entities, seen, fresh)
         changes.write.mode("overwrite").parquet(f"{out}/changes/{name}/batch={batch_id}")
         if one.labels:
             pinned.write.mode("overwrite").parquet(f"{out}/pinned/{name}/batch={batch_id}")
         live.write.mode("overwrite").parquet(_slot(state, name, batch_id))
+        written.add(name)
+        if name in apart:
+            like = entities.select("cluster", *one.spec.keys, *entity_labels(one.spec))
+            gone = _previous(spark, state, f"{name}-gone", batch_id, like, known)
+            own, after = history_samples(one, previous, gone, entities, seen, fresh, namespace)
+            after.write.mode("overwrite").parquet(_slot(state, f"{name}-gone", batch_id))
+            written.add(f"{name}-gone")
+            late = whole.join(fresh, list(SCOPE), "left_anti")
+            parts += [own, spec_samples(one.spec, late, namespace)]
+    samples = reduce(DataFrame.unionByName, parts).withColumn("date", F.to_date("ts"))
+    samples.hint("rebalance", "date", "metric").write.mode("overwrite").partitionBy("date", "metric").parquet(
+        f"{out}/samples/batch={batch_id}"
+    )
     after = seen.unionByName(fresh).groupBy("cluster").agg(F.max("snapshot_ts").alias("snapshot_ts"))
     if retain_days is not None:
         # Clusters that stopped reporting long ago leave the state.
@@ -152,6 +219,8 @@ def collect_batch(
         oldest = F.lit(newest) - F.make_dt_interval(days=F.lit(retain_days))
         after = after.filter(F.col("snapshot_ts") >= oldest)
     after.write.mode("overwrite").parquet(_slot(state, "seen", batch_id))
+    marks = spark.createDataFrame([(n, batch_id) for n in sorted(written)], names.schema)
+    marks.coalesce(1).write.mode("overwrite").parquet(_slot(state, "names", batch_id))
 
 
 def start_collecting(
@@ -166,6 +235,7 @@ def start_collecting(
     max_files_per_trigger: int | None = None,
     retain_days: int | None = None,
     home: str | None = None,
+    history: bool = False,
 ) -> StreamingQuery:
     """Start the job. With ``interval=None`` it processes what has landed and stops.
 
@@ -183,7 +253,7 @@ def start_collecting(
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         collect_batch(
-            session, batch, batch_id, landing, out, f"{home}/state", chosen, followed, namespace, retain_days
+            session, batch, batch_id, landing, out, f"{home}/state", chosen, followed, namespace, retain_days, history
         )
 
     writer = manifest.writeStream.queryName(name).option("checkpointLocation", f"{home}/checkpoint").foreachBatch(run)

@@ -9,7 +9,7 @@ from fleetlens.operators.lifecycle import entity_changes, pinned_labels
 from fleetlens.plans import registry
 from fleetlens.plans.collect import collect_samples
 from fleetlens.sources.catalog import DATE_COLUMN, read_landed, write_landed
-from fleetlens.streaming.job import Tracked, snapshot_tables, start_collecting, stream_samples
+from fleetlens.streaming.job import LostState, Tracked, collect_batch, snapshot_tables, start_collecting, stream_samples
 
 SPECS = {s.name: s for s in registry.COLLECTORS}
 CHOSEN = tuple(SPECS[n] for n in ("segment_health", "segment_counts", "connections_by_state", "connections_total", "vacuum_running_flag"))
@@ -144,3 +144,31 @@ def test_batch_reads_only_the_times_it_needs(spark, landing):
     plan = rows._jdf.queryExecution().explainString(mode)
     assert "GreaterThanOrEqual(snapshot_ts,2024-03-02" in plan and "LessThanOrEqual(snapshot_ts,2024-03-03" in plan
     assert {r.snapshot_ts.day for r in rows.collect()} == {2, 3}
+
+
+@pytest.mark.parametrize("files", [4, None])
+def test_history_samples_equal_batch(spark, landing, tmp_path, files):
+    """Pinned labels, NaN and 0 of gone entities of real collectors, over batches as over the whole history."""
+    out = str(tmp_path / "out")
+    followed = (Tracked(SPECS["segment_health"], ("content", "preferred_role", "role", "port")), Tracked(SPECS["connections_by_state"]))
+    start_collecting(
+        spark, landing, out, name=f"history{files}", specs=CHOSEN, tracked=followed, interval=None, max_files_per_trigger=files,
+        home=str(tmp_path / "home"), history=True,
+    ).awaitTermination(400)
+    tables = {n: read_landed(spark, landing, n).drop(DATE_COLUMN) for n in ("segment_config", "activity", "snapshots")}
+    expected = collect_samples(tables, CHOSEN, history=True)
+    columns = ["cluster", "ts", "metric", F.to_json("labels").alias("labels"), "value"]
+    got = _rows(spark.read.parquet(f"{out}/samples").select(*columns))
+    assert got == _rows(expected.select(*columns))
+    assert any("nan" in r for r in got)
+
+
+def test_lost_state_is_no_empty_state(spark, landing, tmp_path):
+    manifest = _day(spark, 2)["snapshots"]
+    run = lambda k: collect_batch(spark, manifest, k, landing, str(tmp_path / "out"), str(tmp_path / "state"), CHOSEN[:2], TRACKED)
+    with pytest.raises(LostState):
+        run(5)
+    run(0)
+    run(1)
+    with pytest.raises(LostState):
+        run(3)
