@@ -63,17 +63,6 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().lower().split()
 
 
-class Numbering(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        number = self[key] = len(self)
-        return number
-
-    def numbers(self, keys: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

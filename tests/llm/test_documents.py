@@ -69,22 +69,46 @@ def test_base_scores(docs, rows):
         assert all(r.score < 0 for r in got)
 
 
-def test_model_probabilities(spark, docs):
-    """Probabilities after a known word sum to about one over the vocabulary, and never to much more."""
+def masses(model, vocabulary, contexts):
+    """Sum of P(. | h) over the vocabulary for each context h, and of P(.)."""
     import numpy as np
 
+    hashes = lmscore.token_hashes([w.encode() for w in vocabulary])
+    size = len(vocabulary)
+    single = 10 ** lmscore.slice_scores(model, np.arange(size), np.arange(size), hashes)[0]
+    found = []
+    for at in contexts:
+        ids = np.stack([np.full(size, at), np.arange(size)], 1).ravel()
+        both = 10 ** lmscore.slice_scores(model, ids, np.arange(0, len(ids), 2), hashes)[0]
+        found.append((both / single[at]).sum())
+    return np.array(found), single.sum()
+
+
+def training_words(texts):
+    counts = Counter(t for doc_id, text in texts if crc(doc_id, 5) != 1 for t in [*words(lower(text)), "\n"])
+    return [w for w, _ in counts.most_common()]
+
+
+def test_model_probabilities(spark, docs, rows):
+    """P(. | h) sums to one over the vocabulary and one unseen word, for frequent and for rare words h."""
     spec = lmscore.ModelSpec()
     model = lmscore.fit(lmscore.gram_counts(docs, spec), spec)
-    vocabulary = sorted({w for r in awkward() if crc(r[0], 5) != 1 for w in words(lower(r[1]))} | {"\n"})
-    encoded = [w.encode() for w in vocabulary]
-    hashes = lmscore.token_hashes(encoded)
-    single = 10 ** lmscore.slice_scores(model, np.arange(len(encoded)), np.arange(len(encoded)), hashes)
-    assert 0.9 < single.sum() < 1.02
-    for context in ("the", "five", "er"):
-        at = vocabulary.index(context)
-        ids = np.stack([np.full(len(encoded), at), np.arange(len(encoded))], 1).ravel()
-        both = 10 ** lmscore.slice_scores(model, ids, np.arange(0, len(ids), 2), hashes)
-        assert 0.5 < (both / single[at]).sum() < 1.3
+    vocabulary = [*training_words((r[0], r[1]) for r in rows), "one-unseen-word"]
+    found, single = masses(model, vocabulary, range(0, len(vocabulary) - 1, 97))
+    assert 0.99 < single < 1.01
+    assert ((found > 0.98) & (found < 1.02)).mean() > 0.98 and found.max() < 1.3
+
+
+def test_model_probabilities_of_a_large_vocabulary(spark):
+    """Invented pairs grow with the vocabulary; their guards grow as well."""
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    spec = lmscore.ModelSpec()
+    model = lmscore.fit(lmscore.gram_counts(whole, spec), spec)
+    vocabulary = [*training_words((r.doc_id, r.text) for r in whole.collect()), "one-unseen-word"]
+    contexts = sorted({int(len(vocabulary) ** (i / 60)) for i in range(1, 60)})
+    found, single = masses(model, vocabulary, contexts)
+    assert 0.99 < single < 1.01
+    assert ((found > 0.98) & (found < 1.02)).mean() > 0.95 and found.max() < 1.6, sorted(found)
 
 
 def test_counts_come_back_from_the_filter(docs):
@@ -95,12 +119,34 @@ def test_counts_come_back_from_the_filter(docs):
     model = lmscore.fit(counts, spec)
     for kind in (lmscore.TOKENS, lmscore.PAIRS):
         table = counts.filter(f"kind = {kind}").toPandas()
-        h1 = table.h1.to_numpy().view(np.uint64)
-        h2 = table.h2.to_numpy().view(np.uint64) if kind == lmscore.TOKENS else np.zeros(len(table), np.uint64)
-        least = 1 if kind == lmscore.TOKENS else spec.min_pair
-        want = lmscore.level_of(table.n.to_numpy() / least, spec.base)
-        got = model.levels(kind, h1, h2)
-        assert (got >= want).all() and (got > want).mean() < 0.03
+        h1, h2 = (table[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        level = lmscore.level_of(table.n.to_numpy(), spec.base)
+        if kind == lmscore.TOKENS:
+            want, got = level, model.tokens(np.stack([h1, h2], 1))
+        else:
+            want, got = level - spec.skipped, model.pairs(h1)
+            assert (lmscore.least_count(want + spec.skipped, spec.base) <= table.n).all()
+        assert len(table) and (got >= want).all() and (got > want).mean() < 0.03
+
+
+def test_pairs_that_the_filter_cannot_hold_are_looked_up(spark):
+    """A filter with room for the words alone, or for a part of the pairs, gives the scores of one that holds all."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    spec = lmscore.ModelSpec()
+    whole = {r.doc_id: r.score for r in lmscore.score(docs, spec).collect()}
+    counts = lmscore.gram_counts(docs, spec)
+    full = lmscore.fit(counts, spec)
+    assert full.least_pair == 1
+    tokens = int(lmscore.level_of(counts.filter(f"kind = {lmscore.TOKENS}").toPandas().n.to_numpy(), spec.base).sum())
+    pairs = full.filter.size / spec.bits_per_event - tokens
+    for share in (0, 0.5):
+        small = lmscore.ModelSpec(filter_bits=int((tokens + share * pairs + 2) * spec.bits_per_event))
+        model = lmscore.fit(lmscore.gram_counts(docs, small), small)
+        assert model.least_token == 1 and model.least_pair > 1
+        got = {r.doc_id: r.score for r in lmscore.score(docs, small).collect()}
+        assert got.keys() == whole.keys()
+        apart = sorted(abs(got[i] - whole[i]) / -whole[i] for i in whole)
+        assert apart[-1] < 0.02, apart[-5:]  # false positives differ
 
 
 def test_small_filter_keeps_the_frequent_grams(docs):
