@@ -39,6 +39,7 @@ _DDL = {
     "backups": _SCOPED
     + "backup_id bigint, database_name string, incremental int, status string, timestamp string, end_time string",
     "snapshots": _SCOPED + "ok boolean",
+    "read_errors": _SCOPED + "source_table string, datname string, error string",
     "metric_samples": "cluster string, ts timestamp, metric string, labels map<string,string>, value double",
     "scrape_log": "cluster string, scrape_id bigint, start_ts timestamp, duration_s double, successful boolean, "
     "probe_ok boolean, version_detected boolean, db_error boolean",

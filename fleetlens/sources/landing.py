@@ -124,7 +124,7 @@ def land_snapshot(
     """Read one snapshot of a cluster and land it, its manifest row last.
 
     ``databases`` has a reader per allowed database (leave it out for mode ``none``: the base database then stands for
-    all); a database that cannot be read is skipped.
+    all); a database that cannot be read is skipped, and leaves a row (table, database, error) in the landed ``read_errors``.
     """
     statements = {**landing_sql(major)}
     per_database = dict(DATABASE_SQL)
@@ -132,17 +132,23 @@ def land_snapshot(
     for table, sql in statements.items():
         if table in wanted:
             write_landed(conform(base(sql), table, cluster, snapshot_ts), root, table)
+    errors: list[tuple[str, str, str]] = []
     for table, sql in per_database.items():
         if table not in wanted:
             continue
         if databases is None:
             rows = base(sql.replace("SELECT ", "SELECT current_database() AS datname, ", 1))
         else:
-            rows = read_databases({name: (lambda read=read, sql=sql: read(sql)) for name, read in databases.items()})
+            failures: list[tuple[str, str]] = []
+            rows = read_databases({name: (lambda read=read, sql=sql: read(sql)) for name, read in databases.items()}, failures=failures)
+            errors += [(table, name, error) for name, error in failures]
         if rows is not None:
             write_landed(conform(rows, table, cluster, snapshot_ts), root, table)
     if backups is not None and "backups" in wanted:
         write_landed(conform(backups(BACKUP_SQL["backups"]), "backups", cluster, snapshot_ts), root, "backups")
+    if errors:
+        failed = spark.createDataFrame(errors, "source_table string, datname string, error string")
+        write_landed(conform(failed, "read_errors", cluster, snapshot_ts), root, "read_errors")
     done = spark.range(1).select(F.lit(True).alias("ok"))
     write_landed(conform(done, "snapshots", cluster, snapshot_ts), root, "snapshots")
 

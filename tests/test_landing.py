@@ -47,6 +47,8 @@ def test_land_and_collect(spark, tmp_path):
 
     wanted = ["segment_config", "activity", "table_stats"]
     land_snapshot(spark, str(tmp_path), "c", NOW, 6, base, {"a": good, "b": bad}, tables=wanted)
+    errors = read_landed(spark, str(tmp_path), "read_errors").drop(DATE_COLUMN).collect()
+    assert [tuple(r) for r in errors] == [("c", NOW, "table_stats", "b", "unreachable")]
     tables = {t: read_landed(spark, str(tmp_path), t).drop(DATE_COLUMN) for t in [*wanted, "snapshots"]}
     specs = [s for s in selected_specs() if set(s.inputs) <= set(wanted)]
     values = {(r.metric, tuple(sorted(r.labels.items()))): r.value for r in collect_samples(tables, specs).collect()}
