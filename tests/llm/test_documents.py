@@ -9,6 +9,7 @@ import sys
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -606,6 +607,56 @@ def test_toxicity_of_awkward_rows(spark, docs, rows, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def plain_weights(rows, spec):
+    """FTRL-proximal as published, a row and a coordinate at a time: (coordinate, weight) without zeros, and the intercept."""
+    z, n = {}, {}
+    intercept = 1 << spec.bits
+
+    def weight(i):
+        bound = 0.0 if i == intercept else spec.l1
+        if abs(z.get(i, 0.0)) <= bound:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * bound) / ((spec.beta + math.sqrt(n[i])) / spec.alpha + spec.l2)
+
+    def coordinates(text):
+        cores = [w.strip(toxicity.EDGES) for w in re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())]
+        hashes = [xxhash.xxh3_64_intdigest(c) for c in cores]
+        found = set(hashes) | {xxhash.xxh3_64_intdigest(c[: spec.stem_bytes], seed=1) for c in cores}
+        for gap in spec.gaps:
+            for left, right in zip(hashes, hashes[gap + 1 :]):
+                found.add((int(toxicity.mix(np.array([left], np.uint64))[0]) * 3 + right + gap) % 2**64)
+        mixed = [int(toxicity.mix(np.array([h], np.uint64))[0]) >> (64 - spec.bits) for h in found]
+        return sorted({*mixed, intercept})
+
+    ordered = sorted(rows, key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
+    for _ in range(spec.epochs):
+        for _, text, label in ordered:
+            own = coordinates(text)
+            current = {i: weight(i) for i in own}
+            gradient = 1 / (1 + math.exp(-sum(current.values()))) - label
+            for i in own:
+                step = (math.sqrt(n.get(i, 0.0) + gradient**2) - math.sqrt(n.get(i, 0.0))) / spec.alpha
+                z[i] = z.get(i, 0.0) + gradient - step * current[i]
+                n[i] = n.get(i, 0.0) + gradient**2
+    return {i: weight(i) for i in z if i != intercept and weight(i)}, weight(intercept)
+
+
+def test_weights_against_plain_rules(spark):
+    """A small bound of L1 leaves weights on the few rows; some of the words are shared, doubled, or bare punctuation."""
+    texts = ["Bad bad word, here", "good morning all", "bad people (here)", "a good word", None, "", "!!! bad", "all good people here", "word"]
+    rows = [(i, t, int("bad" in (t or "").lower())) for i, t in enumerate(texts * 4)]
+    spec = toxicity.ToxicSpec(bits=12, l1=0.4, epochs=3)
+    used = [r for r in rows if crc(r[0], spec.folds) != spec.held_fold]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    at, weight, intercept = toxicity.train(docs, labels, spec)
+    expected, base = plain_weights(used, spec)
+    got = dict(zip(at.tolist(), weight.tolist()))
+    assert set(got) == set(expected) and len(got) > 5 and intercept == pytest.approx(base)
+    assert got == pytest.approx(expected)
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     from pyspark.sql import functions as F
