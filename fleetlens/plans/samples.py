@@ -160,12 +160,30 @@ def exposition_headers(metrics: Sequence[MetricSpec], namespace: str = "fleet")
     return lines
 
 
+def exposition_text(samples: DataFrame, metrics: Sequence[MetricSpec], namespace: str = "fleet") -> DataFrame:
+    """The whole text, in order: the header lines of each metric family that has samples, then its lines.
+
+    Families are in order of name. Sorting deals ranges of lines to the tasks, so a family with most of the samples is spread over several
+    files that follow each other. A family that ``metrics`` does not list has no header.
+    """
+    listed: dict[str, list[str]] = {}
+    for m in metrics:
+        listed.setdefault(m.full_name(namespace), exposition_headers([m], namespace))
+    rows = [(name, at, line) for name, lines in listed.items() for at, line in enumerate(lines)]
+    spark = samples.sparkSession
+    known = spark.createDataFrame(rows, "metric string, at int, value string")
+    headers = known.join(samples.select("metric").distinct(), "metric", "left_semi")
+    # exposition_lines keeps the line alone; a line starts with the name of its family, which ends at "{" or a space.
+    lines = exposition_lines(samples).select(F.regexp_extract("value", "^[^{ ]+", 0).alias("metric"), F.lit(None).cast("int").alias("at"), "value")
+    return headers.unionByName(lines).orderBy("metric", F.asc_nulls_last("at"), "value").select("value")
+
+
 def entity_key(*columns: str, separator: str = ".") -> Column:
     """Display form of an entity key (keys stay separate columns everywhere else)."""
     return F.concat_ws(separator, *[F.col(c).cast("string") for c in columns])
 
 
 __all__ = [
-    "SCOPE", "CollectorSpec", "MetricSpec", "entity_key", "exposition_headers", "exposition_lines", "label_map",
+    "SCOPE", "CollectorSpec", "MetricSpec", "entity_key", "exposition_headers", "exposition_lines", "exposition_text", "label_map",
     "metric_column_samples", "spec_samples", "to_samples",
 ]

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetlens.plans.samples import exposition_lines
+from fleetlens.plans.samples import MetricSpec, exposition_lines, exposition_text
 from fleetlens.schemas import table_schema
 
 log = logging.getLogger(__name__)
@@ -110,5 +110,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_exposition(samples: DataFrame, path: str, mode: str = "append") -> None:
-    exposition_lines(samples).write.mode(mode).text(path)
+def write_exposition(samples: DataFrame, path: str, mode: str = "append", metrics: Sequence[MetricSpec] | None = None) -> None:
+    """Text lines of samples; with ``metrics``, in order of their families and under their header lines."""
+    lines = exposition_lines(samples) if metrics is None else exposition_text(samples, metrics)
+    lines.write.mode(mode).text(path)

@@ -333,6 +333,11 @@ SELECT cluster, snapshot_ts AS ts, concat('fleet_gpbackup_', metric) AS metric,
     sql["exposition_lines"] = q("flat_samples", "", r"""
 SELECT concat(metric, '{cluster="', cluster, '",database="', label_database, '",note="a\"b\\', metric, '\n",table="', label_table, '"} ',
               CASE WHEN isnan(value) THEN 'NaN' ELSE CAST(value AS VARCHAR) END) AS value FROM flat_samples""")
+    sql["exposition_text"] = q("flat_samples", "", r"""
+SELECT concat(metric, '{cluster="', cluster, '",database="', label_database, '",table="', label_table, '"} ',
+              CASE WHEN isnan(value) THEN 'NaN' ELSE CAST(value AS VARCHAR) END) AS value FROM flat_samples
+UNION ALL SELECT h.value FROM (VALUES ('m_view', '# HELP m_view Pages\\seen'), ('m_view', '# TYPE m_view gauge'), ('m_click', '# TYPE m_click counter'),
+  ('m_absent', '# TYPE m_absent gauge')) h(metric, value) WHERE h.metric IN (SELECT metric FROM flat_samples)""")
     sql["external_label"] = q("flat_samples", "", "SELECT 'main' AS cluster, ts, metric, concat('database=', label_database, ',region=eu,table=', label_table) AS labels, value FROM flat_samples")
     sql["series_store_select"] = q("flat_samples", _INSTANT, """
 SELECT * FROM inst WHERE metric IN ('m_view', 'm_click') AND cluster IN ('c0', 'c2') AND label_database IN ('db0', 'db1', 'db2') AND label_table LIKE 't1%'""")

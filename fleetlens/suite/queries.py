@@ -15,7 +15,7 @@ from fleetlens.operators import (
 )
 from fleetlens.plans import panels, registry
 from fleetlens.plans.collect import collect_samples
-from fleetlens.plans.samples import CollectorSpec, MetricSpec, exposition_lines, spec_samples, to_samples
+from fleetlens.plans.samples import CollectorSpec, MetricSpec, exposition_lines, exposition_text, spec_samples, to_samples
 from fleetlens.session import configure, shared_dir
 from fleetlens.sources.catalog import parse_disk_usage
 from fleetlens.sources.fixtures import DERIVATIONS, derive
@@ -249,6 +249,12 @@ def _exposition(t: Inputs) -> DataFrame:
     return exposition_lines(samples)
 
 
+def _exposition_text(t: Inputs) -> DataFrame:
+    """All samples under the headers of their families: one with a help text, one of another kind, one that has no samples."""
+    metrics = [MetricSpec("view", "value", help="Pages\\seen"), MetricSpec("click", "value", kind="counter"), MetricSpec("absent", "value")]
+    return exposition_text(t["metric_samples"], metrics, "m")
+
+
 def _table(t: Inputs) -> DataFrame:
     top = series.topk_series(series.match_labels(_instant(t), metric="m_view"), 20)
     wanted = ["Time", "__name__", "cluster", "table", "database", "Value"]
@@ -317,6 +323,7 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
     "run_log_samples": _run_log_samples,
     "collect_snapshot": _collect_snapshot,
     "exposition_lines": _exposition,
+    "exposition_text": _exposition_text,
     "external_label": lambda t: series.external_label(t["metric_samples"], cluster="main", region="eu", table="x").select(
         "cluster", "ts", "metric", labels_text().alias("labels"), "value"
     ),

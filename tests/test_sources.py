@@ -205,3 +205,19 @@ def test_headers():
     lines = exposition_headers([*SUMMARY_METRICS, MetricSpec("x", "x", help="two\nlines")])
     assert "# TYPE fleet_exporter_total_scraped_total counter" in lines and "# TYPE fleet_exporter_uptime_seconds gauge" in lines
     assert lines[-2:] == ["# HELP fleet_x two\\nlines", "# TYPE fleet_x gauge"]
+
+
+def test_text_with_headers_is_in_order(spark, tmp_path):
+    from fleetlens.sources.catalog import write_exposition
+
+    samples = spark.createDataFrame(
+        [("c", "fleet_b", {"k": "2"}, 1.0), ("c", "fleet_ab", {}, 3.0), ("c", "fleet_b", {"k": "1"}, 2.0), ("c", "other", {"k": "v"}, 4.0)],
+        "cluster string, metric string, labels map<string,string>, value double",
+    )
+    metrics = [MetricSpec("b", "x", help="B"), MetricSpec("b", "y", help="B"), MetricSpec("ab", "x", kind="counter"), MetricSpec("c", "x")]
+    write_exposition(samples, f"{tmp_path}/text", metrics=metrics)
+    text = [line for part in sorted((tmp_path / "text").glob("part-*")) for line in part.read_text().splitlines()]
+    assert text == [
+        "# TYPE fleet_ab counter", 'fleet_ab{cluster="c"} 3.0', "# HELP fleet_b B", "# TYPE fleet_b gauge",
+        'fleet_b{cluster="c",k="1"} 2.0', 'fleet_b{cluster="c",k="2"} 1.0', 'other{cluster="c",k="v"} 4.0',
+    ]
