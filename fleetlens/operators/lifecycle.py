@@ -75,6 +75,26 @@ def absence_spans(entities: DataFrame, keys: Sequence[str], snapshots: DataFrame
     )
 
 
+def entity_lives(
+    entities: DataFrame, keys: Sequence[str], labels: Sequence[str] = (), snapshots: DataFrame | None = None
+) -> DataFrame:
+    """One row per life: ``cluster, keys, labels, from_ts, until_ts, gone_ts``, with the labels of its first snapshot.
+
+    ``until_ts`` is the last snapshot that shows the entity, ``gone_ts`` the one after it; both are NULL while it is there.
+    Rows with a NULL in their key have no life.
+    """
+    spine = snapshot_spine(entities if snapshots is None else snapshots)
+    marks = _marks(entities, keys, spine, labels).withColumn("change", _change()).filter(F.col("change") != "kept")
+    first = [F.col("_data")[c].alias(c) for c in labels]
+    turns = marks.select("cluster", *keys, "idx", "snapshot_ts", "change", *first)
+    followed = next_in_order(turns, ["cluster", *keys], "idx", "_turn", block_chunk("idx")).filter(F.col("change") == "new")
+    ends = spine.select("cluster", (F.col("idx") + 1).alias("_turn"), F.col("snapshot_ts").alias("until_ts"), F.col("next_ts").alias("gone_ts"))
+    return followed.join(ends, ["cluster", "_turn"], "left").select(
+        "cluster", *keys, *labels, F.col("snapshot_ts").alias("from_ts"),
+        F.when(F.col("_turn").isNotNull(), F.col("until_ts")).alias("until_ts"), F.when(F.col("_turn").isNotNull(), F.col("gone_ts")).alias("gone_ts"),
+    )
+
+
 def absent_policy(
     entities: DataFrame,
     keys: Sequence[str],

@@ -30,6 +30,7 @@ from fleetlens.plans.samples import CollectorSpec, spec_samples
 from fleetlens.schemas import TABLES, table_schema
 from fleetlens.session import shared_dir
 from fleetlens.sources.catalog import DATE_COLUMN, read_landed
+from fleetlens.streaming.lives import snapshot_feed
 
 
 @dataclass(frozen=True)
@@ -159,12 +160,14 @@ def collect_batch(
     namespace: str = "fleet",
     retain_days: int | None = None,
     history: bool = False,
+    feed_buckets: int | None = None,
 ) -> None:
     """One micro-batch: samples of the announced snapshots, changes and pinned labels of tracked entities.
 
     Every announced snapshot gives samples, late ones too, as a snapshot needs no other. Life cycles need order: for them,
     snapshots not later than the last one processed for their cluster are left aside. With ``history`` the samples of tracked collectors
-    carry pinned labels and show what gone entities show (late snapshots give the rows they hold).
+    carry pinned labels and show what gone entities show (late snapshots give the rows they hold). With ``feed_buckets`` the rows of
+    tracked collectors, late ones too, are also written for the life log (:mod:`fleetlens.streaming.lives`), which corrects lives.
     """
     all_new = announced(manifest)
     names = spark.createDataFrame([], "name string, batch long")
@@ -186,13 +189,17 @@ def collect_batch(
     written = {"names", "seen"}
     for one in tracked:
         name = one.spec.name
-        # Written once and read back: three results are made from it.
+        # Written once and read back: several results are made from it.
         place = f"{state}/{name}/entities={batch_id % 2}"
         whole = one.spec.build(tables)
         needed = list(dict.fromkeys((*one.columns, *(entity_values(one.spec) if name in apart else ()))))
-        built = whole.join(fresh, list(SCOPE), "left_semi").select(*needed)
+        built = whole.select(*needed)
         built.write.mode("overwrite").parquet(place)
-        entities = spark.read.schema(built.schema).parquet(place)
+        stored = spark.read.schema(built.schema).parquet(place)
+        entities = stored.join(fresh, list(SCOPE), "left_semi")
+        if feed_buckets is not None:
+            feed = snapshot_feed(stored, one.spec.keys, one.labels, all_new, feed_buckets)
+            feed.write.mode("overwrite").parquet(f"{out}/feed/{name}/batch={batch_id}")
         previous = _previous(spark, state, name, batch_id, entities.select(*one.columns), known)
         changes, pinned, live = advance_entities(one, previous, entities, seen, fresh)
         changes.write.mode("overwrite").parquet(f"{out}/changes/{name}/batch={batch_id}")
@@ -206,7 +213,7 @@ def collect_batch(
             own, after = history_samples(one, previous, gone, entities, seen, fresh, namespace)
             after.write.mode("overwrite").parquet(_slot(state, f"{name}-gone", batch_id))
             written.add(f"{name}-gone")
-            late = whole.join(fresh, list(SCOPE), "left_anti")
+            late = stored.join(fresh, list(SCOPE), "left_anti")
             parts += [own, spec_samples(one.spec, late, namespace)]
     samples = reduce(DataFrame.unionByName, parts).withColumn("date", F.to_date("ts"))
     samples.hint("rebalance", "date", "metric").write.mode("overwrite").partitionBy("date", "metric").parquet(
@@ -236,6 +243,7 @@ def start_collecting(
     retain_days: int | None = None,
     home: str | None = None,
     history: bool = False,
+    feed_buckets: int | None = None,
 ) -> StreamingQuery:
     """Start the job. With ``interval=None`` it processes what has landed and stops.
 
@@ -253,7 +261,7 @@ def start_collecting(
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         collect_batch(
-            session, batch, batch_id, landing, out, f"{home}/state", chosen, followed, namespace, retain_days, history
+            session, batch, batch_id, landing, out, f"{home}/state", chosen, followed, namespace, retain_days, history, feed_buckets
         )
 
     writer = manifest.writeStream.queryName(name).option("checkpointLocation", f"{home}/checkpoint").foreachBatch(run)

@@ -188,6 +188,17 @@ _GOOD_DAYS = (
 )
 _CHANGES = "SELECT c.cluster, s.snapshot_ts, c.entity, c.change FROM changes c JOIN spine s USING (cluster, idx)"
 
+# Neighbouring snapshots of an entity share the difference between their number and their rank.
+_LIVES = _ALL_DAYS + """,
+seen AS (
+ SELECT e.cluster, e.entity, e.role, e.snapshot_ts, s.idx, s.idx - row_number() OVER (PARTITION BY e.cluster, e.entity ORDER BY s.idx) AS run
+ FROM entity_days e JOIN spine s USING (cluster, snapshot_ts)),
+lives AS (
+ SELECT l.cluster, l.entity, l.role, l.low, l.from_ts, CASE WHEN g.idx IS NOT NULL THEN l.last_ts END AS until_ts, g.snapshot_ts AS gone_ts, g.idx AS gone
+ FROM (SELECT cluster, entity, arg_min(role, idx) AS role, min(idx) AS low, max(idx) AS high, min(snapshot_ts) AS from_ts, max(snapshot_ts) AS last_ts
+       FROM seen GROUP BY cluster, entity, run) l
+ LEFT JOIN spine g ON g.cluster = l.cluster AND g.idx = l.high + 1)"""
+
 
 def _absent(fill: str) -> str:
     return f"""{_ALL_DAYS},
@@ -394,6 +405,12 @@ FROM (
  FROM (SELECT cluster, entity, min(idx) AS first_idx FROM here GROUP BY 1, 2) f
  JOIN spine s ON s.cluster = f.cluster AND s.idx >= f.first_idx
  LEFT JOIN entity_days e ON e.cluster = s.cluster AND e.snapshot_ts = s.snapshot_ts AND e.entity = f.entity)""")
+    sql["entity_lives"] = q("entity_days entity_snapshots", _LIVES, "SELECT cluster, entity, role, from_ts, until_ts, gone_ts FROM lives")
+    sql["life_log"] = sql["entity_lives"]
+    sql["life_changes"] = q("entity_days entity_snapshots", _LIVES, """
+SELECT l.cluster, s.snapshot_ts, l.entity, l.role,
+       CASE WHEN s.idx = l.low THEN 'new' WHEN s.idx = l.gone THEN 'deleted' ELSE 'kept' END AS change
+FROM lives l JOIN spine s ON s.cluster = l.cluster AND s.idx >= l.low AND (l.gone IS NULL OR s.idx <= l.gone)""")
     day_spine = _SPINE.format(snapshots="(SELECT DISTINCT cluster, snapshot_ts FROM entity_days)", entities="entity_days")
     sql["absence_spans"] = q("entity_days", day_spine, """
 SELECT d.cluster, d.entity, d.idx AS from_idx,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.functions.scalars import COMPACT_FORMAT, num_to_lsn, value_text
 from fleetlens.operators import (
@@ -20,6 +21,7 @@ from fleetlens.session import configure, shared_dir
 from fleetlens.sources.catalog import parse_disk_usage
 from fleetlens.sources.fixtures import DERIVATIONS, derive
 from fleetlens.sources.seriesstore import SeriesStore
+from fleetlens.streaming import lives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,6 +216,18 @@ def _entities_at(t: Inputs) -> DataFrame:
     return lifecycle.entities_at(t["entity_days"], lifecycle.good_intervals(t["entity_snapshots"]), times)
 
 
+def _life_log(t: Inputs) -> DataFrame:
+    """The lives that the change log of keyed state ends with, over the whole history as one batch."""
+    feed = lives.snapshot_feed(t["entity_days"], ["entity"], ["role"], t["entity_snapshots"])
+    rows = t["entity_days"].schema
+    return lives.current_lives(lives.life_log(feed, StructType([rows["entity"]]), StructType([rows["role"]])))
+
+
+def _life_changes(t: Inputs) -> DataFrame:
+    days, listed = t["entity_days"], t["entity_snapshots"]
+    return lives.life_changes(lifecycle.entity_lives(days, ["entity"], ["role"], listed), ["entity"], ["role"], listed)
+
+
 def _collect_history(t: Inputs) -> DataFrame:
     """Samples under the life-cycle rules: pinned labels, and NaN for entities that are gone."""
     tables = {"entity_days": t["entity_days"], "snapshots": t["entity_snapshots"]}
@@ -361,6 +375,9 @@ _COLLECT: dict[str, Callable[[Inputs], DataFrame]] = {
         ["entity"], t["entity_snapshots"].filter("ok"),
     ),
     "collect_history": _collect_history,
+    "entity_lives": lambda t: lifecycle.entity_lives(t["entity_days"], ["entity"], ["role"], t["entity_snapshots"]),
+    "life_log": _life_log,
+    "life_changes": _life_changes,
     "absence_spans": lambda t: lifecycle.absence_spans(t["entity_days"], ["entity"]),
     "absent_policy_range": lambda t: lifecycle.absent_policy(
         t["entity_days"], ["entity"], ["value"], "zero", start="2024-01-10", end="2024-01-20"
