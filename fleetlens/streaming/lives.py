@@ -190,6 +190,8 @@ class LifeLog(StatefulProcessor):
 def life_log(feed: DataFrame, keys: StructType, labels: StructType, retain_seconds: int | None = None) -> DataFrame:
     """The log of a feed (a stream, or a table taken as one batch), with the key and label columns of the given types."""
     retain = None if retain_seconds is None else retain_seconds * 1_000_000
+    # Executors look for the driver's registry of state, which a session without a stream has not started yet; naming its streams does.
+    _ = feed.sparkSession.streams.active
     log = feed.groupBy("cluster", "bucket").transformWithState(LifeLog(retain), LOG, "Append", "None")
     read = {"_keys": F.from_json("entity", keys), "_labels": F.from_json("labels", labels)}
     instants = [F.timestamp_micros(source).alias(name) for source, name in (("first", "from_ts"), ("last", "until_ts"), ("gone", "gone_ts"))]
