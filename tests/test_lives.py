@@ -138,6 +138,24 @@ def test_log_of_a_stream_equals_batch(spark, history, tmp_path, order):
     assert _rows(changes.filter("change <> 'deleted'").drop("change")) == _rows(pinned)
 
 
+def test_state_written_is_that_of_what_changed(spark, history, tmp_path):
+    """A second snapshot of one cluster that shows the same entities writes the times of its three buckets and nothing else."""
+    entities, snapshots = history
+    feed, out, home = (str(tmp_path / n) for n in ("feed", "out", "home"))
+    first = snapshots.filter(F.dayofmonth("snapshot_ts") == 1)
+    told = snapshot_feed(entities, KEYS.names, LABELS.names, first, 3)
+    again = told.filter("cluster = 'c0'").withColumn("at", F.col("at") + 1)
+    written = []
+    for part in (told, again):
+        part.coalesce(1).write.mode("append").parquet(feed)
+        query = start_lives(spark, feed, out, home, KEYS, LABELS, interval=None)
+        query.awaitTermination(300)
+        busy = [p for p in query.recentProgress if p["numInputRows"]]
+        written.append((busy[0]["numInputRows"], busy[0]["stateOperators"][0]["numRowsUpdated"]))
+    assert written[0][0] == 6 and written[0][1] > 6
+    assert written[1] == (3, 3)
+
+
 def test_too_late_and_empty(spark, history):
     entities, snapshots = history
     feed = snapshot_feed(entities, KEYS.names, [], snapshots.filter("cluster = 'c0'"), 1)
