@@ -133,8 +133,11 @@ def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Slice]:
 
 
 def _slice(docs: pa.RecordBatch) -> Slice:
-    """ASCII white space is what cuts words, and only A to Z have an ASCII lower case."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(docs.column("text").cast(pa.large_string()).fill_null("")))
+    """ASCII white space is what cuts words, and only A to Z have an ASCII lower case.
+
+    Lower case comes before the cast: a cast slice starts at an offset that is not 0, of which ``ascii_lower`` loses the text.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(docs.column("text").fill_null("")).cast(pa.large_string()))
     offsets = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     ids, voc = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -70,6 +71,24 @@ def test_base_scores(docs, rows):
         assert all(r.score < 0 for r in got)
 
 
+def test_base_scores_of_texts_cut_into_slices(spark, rows):
+    """Batches above ``slice_bytes`` are cut; the later slices keep their texts."""
+    texts = [r[1] for r in rows]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    for limit in (1, 2000, 1 << 30):
+        found = []
+        for held in lmscore._slices(iter([batch]), limit):
+            sizes = np.diff(np.r_[held.starts, len(held.ids)])
+            found += [held.hashes[ids].tolist() for ids in np.split(held.ids, np.cumsum(sizes)[:-1])]
+        assert found == [lmscore.token_hashes([*(w.encode() for w in words(lower(t))), lmscore.END]).tolist() for t in texts]
+    docs = frame(spark, rows).coalesce(1)
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+    whole, cut = (lmscore.score(docs, lmscore.ModelSpec(slice_bytes=limit)).collect() for limit in (1 << 30, 3000))
+    assert normal((*(r[c] for c in columns), round(r.base_score, 6), round(r.score, 6)) for r in cut) == normal(
+        (*(r[c] for c in columns), round(r.base_score, 6), round(r.score, 6)) for r in whole
+    )
+
+
 def masses(model, vocabulary, contexts):
     """Sum of P(. | h) over the vocabulary for each context h, and of P(.)."""
     import numpy as np
