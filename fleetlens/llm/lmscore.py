@@ -13,9 +13,9 @@ with the least count of a pair's level, the greatest of a context's and the midd
 over, in 64ths. It is summed from the answers that the finished filter gives (right or not) and kept in a second filter as two
 unary digits, so that P(. | h) sums to one within a 64th or so over the vocabulary and one unseen word. The first word has no history.
 
-The filters grow with the corpus up to ``filter_bits``. Beyond that the pairs of the least counts stay out of the filter, and what
-it does not know is looked up by a join with their counts: same levels, same score. Only when the words themselves pass the bound
-are the rarest of them read as unknown words, which share their mass.
+The filters grow with the corpus up to ``filter_bits``. Beyond that the pairs of the least counts stay out of the filter, and then
+the words of the least counts. What the filter does not know is looked up by joins with the counts: same levels, same score. The
+levels of a document's words come before it is scored, those of its pairs after.
 
 ``base_score`` does not use the filter: it takes exact counts. Those of the most frequent levels, ``hot_tokens`` rows at most, are broadcast; all other tokens of a document are joined with the table of counts.
 
@@ -191,8 +191,7 @@ class Model:
     train_tokens: int
     distinct_tokens: int
     total: float  # denominator of P(w)
-    rest: float  # numerator of P(w) for a word that the filter does not hold
-    least_token: int = 1  # least levels of what the filter holds
+    least_token: int = 1  # least levels of what the filter holds; lesser answers are wrong ones
     least_pair: int = 1
     least_hot: int = 1  # least level of the tokens whose exact counts are broadcast
 
@@ -208,11 +207,13 @@ class Model:
         return steps
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        return self._steps(self.filter, TOKENS, hashes[:, 0].copy(), hashes[:, 1].copy())
+        """Levels of tokens, 0 of those that the filter does not hold."""
+        level = self._steps(self.filter, TOKENS, hashes[:, 0].copy(), hashes[:, 1].copy())
+        return np.where(level >= self.least_token, level, 0)
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
-        steps = self._steps(self.filter, PAIRS, keys, np.zeros(len(keys), np.uint64))
-        return np.maximum(steps - self.spec.guards(self.distinct_tokens) + 1, 0)
+        level = self._steps(self.filter, PAIRS, keys, np.zeros(len(keys), np.uint64)) - self.spec.guards(self.distinct_tokens) + 1
+        return np.where(level >= self.least_pair, level, 0)
 
     def direct_mass(self, contexts: np.ndarray) -> np.ndarray:
         """What the pairs of each context (its key) take of its probability."""
@@ -276,37 +277,35 @@ def fit(counts: DataFrame, spec: ModelSpec) -> Model:
         least_hot = r.level
     least_token, used = choose(tokens, 0, 0)
     least_pair, used = choose(pairs, guards - 1, used)
-    mass = sum(r.grams * float(expected(np.array([r.level]), spec.base)[0]) for r in tokens if r.level >= least_token)
-    left_out = sum(r.n for r in tokens if r.level < least_token)
-    n_left = sum(r.grams for r in tokens if r.level < least_token)
-    denominator = max(mass + left_out + 0.5 * (distinct + 1), 0.5)
-    rest = (left_out + 0.5 * (n_left + 1)) / (n_left + 1)
+    mass = sum(r.grams * float(expected(np.array([r.level]), spec.base)[0]) for r in tokens)
+    denominator = max(mass + 0.5 * (distinct + 1), 0.5)
 
     held = levelled.filter(F.col("level") >= F.when(pair, least_pair).otherwise(least_token))
     held = held.select("kind", "h1", "h2", (F.col("level") + F.when(pair, guards - 1).otherwise(0)).alias("steps"))
     number = sum(r.grams for r in tokens if r.level >= least_token) + sum(r.grams for r in pairs if r.level >= least_pair)
     grams = _filled(held, used, number, spec.bits_per_event, spec.probes)
-    model = Model(grams, None, spec, total, distinct, denominator, rest, least_token, least_pair, least_hot)
+    model = Model(grams, None, spec, total, distinct, denominator, least_token, least_pair, least_hot)
     model.shares = _shares(levelled, model)
     return model
 
 
 def _shares(levelled: DataFrame, model: Model) -> Bloom:
-    """The filter of what the pairs of each context take, by the answers that the filter of grams gives."""
-    spec = model.spec
+    """The filter of what the pairs of each context take, by the answers that the filter of grams gives and the levels of what it lacks."""
+    spec, least_token, least_pair = model.spec, model.least_token, model.least_pair
     shared = levelled.sparkSession.sparkContext.broadcast((model.filter.bits, model.filter.size))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, size = shared.value
-        asked = Model(Bloom(bits, size, spec.probes), None, spec, 0, model_words, 1.0, 1.0)
+        asked = Model(Bloom(bits, size, spec.probes), None, spec, 0, model_words, 1.0, least_token, least_pair)
         for batch in batches:
             kind, h1, h2, level = (batch.column(c).to_numpy() for c in ("kind", "h1", "h2", "level"))
             token = kind == TOKENS
             first, second = h1.view(np.uint64), h2.view(np.uint64)
-            own = asked.pairs(first[~token])
+            own = np.empty(len(kind), np.int64)
+            own[~token], own[token] = asked.pairs(first[~token]), asked.tokens(np.stack([first[token], second[token]], 1))
+            own = np.where(own > 0, own, level)
             value = np.empty(len(kind))
-            value[~token] = pair_value(np.where(own > 0, own, level[~token]), spec)
-            value[token] = greatest_count(asked.tokens(np.stack([first[token], second[token]], 1)), spec.base)
+            value[~token], value[token] = pair_value(own[~token], spec), greatest_count(own[token], spec.base)
             context = np.where(token, context_key(first), second).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(context), pa.array(value)], ["token", "h1", "value"])
 
@@ -342,11 +341,16 @@ class Unknown:
     back: np.ndarray  # back(h) P(w)
 
 
-def slice_scores(model: Model, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, Unknown | None]:
-    """log10 P of each document of a slice, and the pairs to look up elsewhere if the filter does not hold all."""
+def slice_scores(
+    model: Model, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, level: np.ndarray | None = None
+) -> tuple[np.ndarray, Unknown | None]:
+    """log10 P of each document of a slice, and the pairs to look up elsewhere if the filter does not hold all.
+
+    ``level`` has the levels of the tokens where the filter does not hold all of them.
+    """
     spec, size = model.spec, len(hashes)
-    level = model.tokens(hashes)
-    p = np.where(level > 0, expected(level, spec.base) + 0.5, model.rest) / model.total
+    level = model.tokens(hashes) if level is None else level
+    p = (expected(level, spec.base) + 0.5) / model.total
     count = greatest_count(level, spec.base)
     first = hashes[:, 0].copy()
     share = np.zeros(size)
@@ -358,8 +362,8 @@ def slice_scores(model: Model, ids: np.ndarray, starts: np.ndarray, hashes: np.n
     if len(at):
         pairs, where = np.unique(keys, return_inverse=True)
         h, w = pairs // size, pairs % size
-        # A pair can only be known if its context has pairs, and its word is in the filter where that holds all words.
-        maybe = np.flatnonzero((share[h] > 0) & ((level[w] > 0) | (model.least_token > 1)))
+        # A pair can only be known if its context has pairs and its word was counted.
+        maybe = np.flatnonzero((share[h] > 0) & (level[w] > 0))
         q = np.zeros(len(pairs))
         q[maybe] = pair_value(model.pairs(pair_key(first[h[maybe]], first[w[maybe]])), spec)
         scale = 1 / np.maximum(count[h], 1)
@@ -374,6 +378,42 @@ def slice_scores(model: Model, ids: np.ndarray, starts: np.ndarray, hashes: np.n
     return np.add.reduceat(logs, starts), unknown
 
 
+def with_rare_words(docs: DataFrame, tokens: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text) with ``rare``, the levels of those of its words that were counted but are not in the filter."""
+    spec, least_token = model.spec, model.least_token
+    shared = docs.sparkSession.sparkContext.broadcast((model.filter.bits, model.filter.size))
+
+    def unheld(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, size = shared.value
+        asked = Model(Bloom(bits, size, spec.probes), None, spec, 0, 0, 1.0, least_token)
+        for held in _slices(batches, spec.slice_bytes):
+            ids, hashes = held.ids, held.hashes
+            doc = np.repeat(np.arange(len(held.starts)), np.diff(np.r_[held.starts, len(ids)]))
+            open_ = (asked.tokens(hashes) == 0)[ids]
+            words = np.unique(doc[open_] * len(hashes) + ids[open_])
+            at, token = pa.array(words // len(hashes)), words % len(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [held.docs.column("doc_id").take(at), held.docs.column("text_key").take(at),
+                 *(pa.array(hashes[token, k].view(np.int64)) for k in (0, 1))],
+                ["rare_id", "rare_key", "h1", "h2"],
+            )
+
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    level = _level(F.col("c"), spec.base)
+    rare = tokens.filter(level < least_token).select("h1", "h2", level.alias("level"))
+    words = keyed.mapInArrow(unheld, "rare_id long, rare_key long, h1 long, h2 long").join(rare, ["h1", "h2"])
+    lists = words.groupBy("rare_id", "rare_key").agg(F.collect_set(F.struct("h1", "h2", "level")).alias("rare"))
+    same = F.col("doc_id").eqNullSafe(F.col("rare_id")) & (F.col("text_key") == F.col("rare_key"))
+    return keyed.join(lists, same, "left").select("doc_id", "text", "rare")
+
+
+def _listed(rare: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and levels of the rare words of some documents, in the order of the hashes."""
+    h1, h2, level = (c.to_numpy() for c in rare.flatten().flatten())
+    order = np.lexsort((h2, h1))
+    return h1[order], h2[order], level[order]
+
+
 def score(docs: DataFrame, spec: ModelSpec = ModelSpec()) -> DataFrame:
     """Train on one part of ``docs`` (doc_id, text) and score all of it; see the module text for the columns."""
     spark = docs.sparkSession
@@ -383,22 +423,23 @@ def score(docs: DataFrame, spec: ModelSpec = ModelSpec()) -> DataFrame:
     hot = tokens.filter(_level(F.col("c"), spec.base) >= model.least_hot).select("h1", "h2", "c").toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])
     # Plain arrays and numbers only: the filters, at most filter_bits and share_bits for each context in it, and hot_tokens rows of 24 bytes.
     shared = spark.sparkContext.broadcast(
-        (model.filter.bits, model.filter.size, model.shares.bits, model.shares.size, model.distinct_tokens, model.total, model.rest,
+        (model.filter.bits, model.filter.size, model.shares.bits, model.shares.size, model.distinct_tokens, model.total,
          model.least_token, model.least_pair, *(hot[c].to_numpy() for c in ("h1", "h2", "c")))
     )
     scale = model.train_tokens + 0.5 * (model.distinct_tokens + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, size, share_bits, share_size, words, total, rest, least_token, least_pair, hot1, hot2, hot_n = shared.value
-        own = Model(
-            Bloom(bits, size, spec.probes), Bloom(share_bits, share_size, spec.share_probes), spec, 0, words, total, rest, least_token, least_pair
-        )
+        bits, size, share_bits, share_size, words, total, least_token, least_pair, hot1, hot2, hot_n = shared.value
+        own = Model(Bloom(bits, size, spec.probes), Bloom(share_bits, share_size, spec.share_probes), spec, 0, words, total, least_token, least_pair)
         for held in _slices(batches, spec.slice_bytes):
             ids, starts, hashes = held.ids, held.starts, held.hashes
             doc_ids = held.docs.column("doc_id")
             texts = held.docs.column("text").cast(pa.large_binary()).to_pylist()
             key = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
-            scores, unknown = slice_scores(own, ids, starts, hashes)
+            level = own.tokens(hashes)
+            if least_token > 1:
+                level = np.where(level > 0, level, _find(*_listed(held.docs.column("rare")), hashes.view(np.int64)))
+            scores, unknown = slice_scores(own, ids, starts, hashes, level)
             known = _find(hot1, hot2, hot_n, hashes.view(np.int64))
             base = np.where(known > 0, np.log10((known + 0.5) / scale), 0.0)
             sizes = np.diff(np.r_[starts, len(ids)])
@@ -418,9 +459,10 @@ def score(docs: DataFrame, spec: ModelSpec = ModelSpec()) -> DataFrame:
                     h2=context_key(first[unknown.context]), n=np.ones(len(at), np.int64), scale=unknown.scale, most=unknown.most, back=unknown.back,
                 )
 
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        measure, ", ".join(["doc_id long", "text_key long", *(f"{c} {t}" for c, t in MEASURED.items())])
-    )
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if model.least_token > 1:
+        whole = with_rare_words(whole, tokens, model)
+    parts = whole.mapInArrow(measure, ", ".join(["doc_id long", "text_key long", *(f"{c} {t}" for c, t in MEASURED.items())]))
     if model.least_pair > 1:
         level = _level(F.col("n"), spec.base)
         q = F.ceil(F.pow(F.lit(spec.base), level - 1) - 1e-9) - spec.discount

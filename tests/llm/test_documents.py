@@ -169,6 +169,24 @@ def test_pairs_that_the_filter_cannot_hold_are_looked_up(spark):
         assert apart[-1] < 0.02, apart[-5:]  # false positives differ
 
 
+def test_words_that_the_filter_cannot_hold_are_looked_up(spark, docs):
+    """A filter with room for half or a tenth of the words gives the scores of one that holds all; rare words keep their own counts."""
+    for table in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), docs):
+        whole = {(r.doc_id, r.n_tokens): r.score for r in lmscore.score(table).collect()}
+        spec = lmscore.ModelSpec()
+        counts = lmscore.gram_counts(table, spec)
+        full = lmscore.fit(counts, spec)
+        tokens = int(lmscore.level_of(counts.filter(f"kind = {lmscore.TOKENS}").toPandas().n.to_numpy(), spec.base).sum())
+        for share in (0.5, 0.1):
+            small = lmscore.ModelSpec(filter_bits=int(share * tokens * spec.bits_per_event), slice_bytes=100_000)
+            model = lmscore.fit(counts, small)
+            assert model.least_token > 1 and model.total == full.total
+            got = {(r.doc_id, r.n_tokens): r.score for r in lmscore.score(table, small).collect()}
+            assert got.keys() == whole.keys()
+            apart = sorted(abs(got[i] - whole[i]) / -whole[i] for i in whole)
+            assert apart[-1] < 0.03 and apart[len(apart) // 2] < 0.005, apart[-5:]  # false positives differ
+
+
 def test_small_filter_keeps_the_frequent_grams(docs):
     spec = lmscore.ModelSpec(filter_bits=4096)
     got = lmscore.score(docs, spec)
