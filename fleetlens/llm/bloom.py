@@ -30,18 +30,33 @@ class Bloom:
     size: int  # in bits
     probes: int
 
+    def starts(self, key: np.ndarray) -> np.ndarray:
+        """Where the segment of each key begins, in bits."""
+        segments, width = layout(self.size)
+        return (key.view(np.int64) % segments).astype(np.uint64) * np.uint64(width)
+
     def contains(self, key: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether each item may be in the filter; probes stop early for the items already ruled out."""
+        return self.contains_at(self.starts(key), first, second)
+
+    def contains_at(self, start: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """``contains`` of items whose segments begin at ``start``. Quickest for some thousand items, the segments in order."""
         found = np.zeros(len(first), bool)
-        alive = np.arange(len(first))
-        segments, width = layout(self.size)
-        offset = (key.view(np.int64) % segments).astype(np.uint64) * np.uint64(width)
+        alive = None  # all
+        width = np.uint64(layout(self.size)[1])
+        step, at = second | np.uint64(1), first
         for i in range(self.probes):
-            if not len(alive):
-                return found
-            at = offset[alive] + probe(first[alive], second[alive], i, width)
-            alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        found[alive] = True
+            if i:
+                at = at + step
+            bit = mix(at)
+            bit = (bit - bit // width * width + start).view(np.int64)  # the remainder; numpy divides faster than it takes one
+            hit = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            if not hit.all():
+                alive = np.flatnonzero(hit) if alive is None else alive[hit]
+                if not len(alive):
+                    return found
+                start, at, step = start[hit], at[hit], step[hit]
+        found[slice(None) if alive is None else alive] = True
         return found
 
 
@@ -60,7 +75,7 @@ def size_for(items: int, bits: int = 12) -> int:
     return max(1 << 12, min(MOST_BITS, bits * items))
 
 
-def _batchwise(function: Callable) -> Callable:
+def batchwise(function: Callable) -> Callable:
     """The worker looks at these to tell batch-wise functions of a group from whole-table ones."""
     function.__annotations__ = {
         "key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch],
@@ -101,11 +116,11 @@ def build(items: DataFrame, hashes: Callable[[pa.RecordBatch], Hashes], size: in
 
     placed = items.withColumn("segment", F.pmod("key", F.lit(segments).cast("long")))
     if parts == 1:
-        filled = placed.groupBy("segment").applyInArrow(_batchwise(fill), "segment long, bits binary")
+        filled = placed.groupBy("segment").applyInArrow(batchwise(fill), "segment long, bits binary")
     else:
         salted = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts).cast("long")))
-        filled = salted.groupBy("segment", "part").applyInArrow(_batchwise(fill), "segment long, bits binary")
-        filled = filled.groupBy("segment").applyInArrow(_batchwise(merge), "segment long, bits binary")
+        filled = salted.groupBy("segment", "part").applyInArrow(batchwise(fill), "segment long, bits binary")
+        filled = filled.groupBy("segment").applyInArrow(batchwise(merge), "segment long, bits binary")
     held = np.zeros(segments * width // 8, np.uint8)
     for row in filled.collect():
         start = row.segment * width // 8

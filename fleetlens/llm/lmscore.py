@@ -36,11 +36,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bloom import Bloom, build
+from .bloom import Bloom, batchwise, build
 from .common import fold, mix, settle
 
 END = b"\n"  # no word holds a line break
 TOKENS, PAIRS, COARSE, FINE = 1, 2, 3, 4
+ASKED = 1 << 13  # grams for which a filter is asked in one go
 GRAM = "kind byte, h1 long, h2 long, n long"
 
 
@@ -59,6 +60,7 @@ class ModelSpec:
     share_probes: int = 14
     hot_tokens: int = 1 << 18
     slice_bytes: int = 6 << 20
+    cell_bytes: int = 4 << 20  # of text for each range of hashes in which grams are added up
 
     @property
     def skipped(self) -> int:
@@ -140,7 +142,7 @@ def _slice(docs: pa.RecordBatch) -> Slice:
     words = pc.ascii_split_whitespace(pc.ascii_lower(docs.column("text").fill_null("")).cast(pa.large_string()))
     offsets = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    ids, voc = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
+    ids, voc = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
     word = np.array([len(v) > 0 for v in voc], bool)[ids] if voc else np.zeros(0, bool)  # the split leaves empty ends
     ends = np.r_[0, np.cumsum(word)][offsets - offsets[0]]
     ids = np.insert(ids[word], ends[1:], len(voc))
@@ -152,28 +154,71 @@ def _pairs(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
     inner = np.ones(len(ids), bool)
     inner[starts] = False
     at = np.flatnonzero(inner)
-    return at, ids[at - 1] * size + ids[at]
+    return at, ids[at - 1] * np.int64(size) + ids[at]
 
 
 def gram_counts(docs: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Counts of every token, and of every pair seen ``min_pair`` times or more, in the training fold."""
+    """Counts of every token, and of every pair seen ``min_pair`` times or more, in the training fold.
+
+    A task counts its slices and sorts each by hash. The hashes are cut into ranges, cells, whose number follows the size of the texts; a
+    slice's grams of a cell travel as one row of arrays, and the rows of a cell are added up together.
+    """
+    training = docs.filter(fold("doc_id", spec.folds) != spec.held_fold).select(F.col("text").cast("string").alias("text"))
+    size = training.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cells, least = size // spec.cell_bytes + 1, {TOKENS: 1, PAIRS: spec.min_pair}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _slices(batches, spec.slice_bytes):
             ids, starts, hashes = held.ids, held.starts, held.hashes
             n = np.bincount(ids, minlength=len(hashes))
             seen = np.flatnonzero(n)
-            yield _rows(TOKENS, hashes[seen, 0], hashes[seen, 1], n[seen])
+            yield _celled(TOKENS, hashes[seen, 0], hashes[seen, 1], n[seen], cells)
             _, keys = _pairs(ids, starts, len(hashes))
             keys, n = np.unique(keys, return_counts=True)
-            context, word = hashes[keys // len(hashes), 0], hashes[keys % len(hashes), 0]
-            for cut in range(0, len(keys), 1 << 18):
-                part = slice(cut, cut + (1 << 18))
-                yield _rows(PAIRS, pair_key(context[part], word[part]), context_key(context[part]), n[part])
+            for cut in range(0, len(keys), 1 << 22):
+                part = slice(cut, cut + (1 << 22))
+                context, word = hashes[keys[part] // len(hashes), 0], hashes[keys[part] % len(hashes), 0]
+                yield _celled(PAIRS, pair_key(context, word), context_key(context), n[part], cells)
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = key[0].as_py()
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("h1", "h2", "n")), strict=True):
+                held.append(tuple(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.uint64, np.uint64, np.int64), strict=True)))
+            if sum(len(h1) for h1, _, _ in held[1:]) > max(1 << 21, len(held[0][0])):
+                held = [_added(held)]
+        h1, h2, n = _added(held)
+        kept = n >= least[kind]
+        yield _rows(kind, h1[kept], h2[kept], n[kept])
+
+    counted = training.mapInArrow(count, "kind byte, cell long, h1 binary, h2 binary, n binary")
+    return counted.groupBy("kind", "cell").applyInArrow(batchwise(add), GRAM)
+
+
+def _celled(kind: int, h1: np.ndarray, h2: np.ndarray, n: np.ndarray, cells: int) -> pa.RecordBatch:
+    """A row for each cell that the grams meet, with the arrays of its grams."""
+    order = np.argsort(h1)
+    h1, h2, n = h1[order], h2[order], n[order].astype(np.int64)
+    cell = ((h1 >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[len(cell) > 0, cell[1:] != cell[:-1]])
+    offsets = pa.py_buffer((8 * np.r_[first, len(cell)]).astype(np.int32))
+    arrays = [pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(v)]) for v in (h1, h2, n)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(first), kind, np.int8)), pa.array(cell[first].astype(np.int64)), *arrays], ["kind", "cell", "h1", "h2", "n"]
+    )
 
-    training = docs.filter(fold("doc_id", spec.folds) != spec.held_fold).select(F.col("text").cast("string").alias("text"))
-    counts = training.mapInArrow(count, GRAM).groupBy("kind", "h1", "h2").agg(F.sum("n").alias("n"))
-    return counts.filter((F.col("kind") == TOKENS) | (F.col("n") >= spec.min_pair))
+
+def _added(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of some runs, each with the sum of its counts."""
+    h1, h2, n = (np.concatenate(c) for c in zip(*runs, strict=True))
+    order = np.argsort(h1)
+    same = h1[order[1:]] == h1[order[:-1]]
+    if (same & (h2[order[1:]] != h2[order[:-1]])).any():  # grams that share a half only
+        order = np.lexsort((h2, h1))
+    h1, h2, n = h1[order], h2[order], n[order]
+    first = np.flatnonzero(np.r_[len(h1) > 0, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    return h1[first], h2[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _rows(kind: int, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -196,14 +241,23 @@ class Model:
     least_hot: int = 1  # least level of the tokens whose exact counts are broadcast
 
     def _steps(self, held: Bloom, kind: int, first: np.ndarray, second: np.ndarray, most: int | None = None) -> np.ndarray:
-        """Probe (gram, 1), (gram, 2), ... for all grams at once until each is missed."""
+        """Probe (gram, 1), (gram, 2), ... for all grams at once until each is missed.
+
+        Grams of one segment of the filter stand together and are asked some thousand at a time, so that both stay in the cache.
+        """
         steps = np.zeros(len(first), np.int64)
-        alive = np.arange(len(first))
-        while len(alive) and (most is None or steps[alive[0]] < most):
-            step = steps[alive] + 1
-            found = held.contains(first[alive], *event(kind, first[alive], second[alive], step))
-            alive = alive[found]
-            steps[alive] += 1
+        start = held.starts(first)
+        alive = np.argsort(start)
+        first, second, start = first[alive], second[alive], start[alive]
+        step = 0
+        while len(alive) and (most is None or step < most):
+            step += 1
+            found = np.empty(len(alive), bool)
+            for cut in range(0, len(alive), ASKED):
+                part = slice(cut, cut + ASKED)
+                found[part] = held.contains_at(start[part], *event(kind, first[part], second[part], np.array([step])))
+            alive, first, second, start = alive[found], first[found], second[found], start[found]
+            steps[alive] = step
         return steps
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
@@ -361,11 +415,14 @@ def slice_scores(
     unknown = None
     if len(at):
         pairs, where = np.unique(keys, return_inverse=True)
+        del keys
         h, w = pairs // size, pairs % size
         # A pair can only be known if its context has pairs and its word was counted.
         maybe = np.flatnonzero((share[h] > 0) & (level[w] > 0))
         q = np.zeros(len(pairs))
-        q[maybe] = pair_value(model.pairs(pair_key(first[h[maybe]], first[w[maybe]])), spec)
+        for cut in range(0, len(maybe), 1 << 18):
+            some = maybe[cut : cut + (1 << 18)]
+            q[some] = pair_value(model.pairs(pair_key(first[h[some]], first[w[some]])), spec)
         scale = 1 / np.maximum(count[h], 1)
         back = (1 - share[h]) * p[w]
         logs[at] = np.log10(np.minimum(q * scale, share[h]) + back)[where]
@@ -390,7 +447,7 @@ def with_rare_words(docs: DataFrame, tokens: DataFrame, model: Model) -> DataFra
             ids, hashes = held.ids, held.hashes
             doc = np.repeat(np.arange(len(held.starts)), np.diff(np.r_[held.starts, len(ids)]))
             open_ = (asked.tokens(hashes) == 0)[ids]
-            words = np.unique(doc[open_] * len(hashes) + ids[open_])
+            words = np.unique(doc[open_] * len(hashes) + ids[open_], return_counts=True)[0]  # sorts, which is faster here
             at, token = pa.array(words // len(hashes)), words % len(hashes)
             yield pa.RecordBatch.from_arrays(
                 [held.docs.column("doc_id").take(at), held.docs.column("text_key").take(at),
@@ -432,32 +489,36 @@ def score(docs: DataFrame, spec: ModelSpec = ModelSpec()) -> DataFrame:
         bits, size, share_bits, share_size, words, total, least_token, least_pair, hot1, hot2, hot_n = shared.value
         own = Model(Bloom(bits, size, spec.probes), Bloom(share_bits, share_size, spec.share_probes), spec, 0, words, total, least_token, least_pair)
         for held in _slices(batches, spec.slice_bytes):
-            ids, starts, hashes = held.ids, held.starts, held.hashes
-            doc_ids = held.docs.column("doc_id")
-            texts = held.docs.column("text").cast(pa.large_binary()).to_pylist()
-            key = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
-            level = own.tokens(hashes)
-            if least_token > 1:
-                level = np.where(level > 0, level, _find(*_listed(held.docs.column("rare")), hashes.view(np.int64)))
-            scores, unknown = slice_scores(own, ids, starts, hashes, level)
-            known = _find(hot1, hot2, hot_n, hashes.view(np.int64))
-            base = np.where(known > 0, np.log10((known + 0.5) / scale), 0.0)
-            sizes = np.diff(np.r_[starts, len(ids)])
-            doc = np.repeat(np.arange(len(starts)), sizes)
+            yield from rows_of(held, own, (hot1, hot2, hot_n))
+
+    def rows_of(held: Slice, own: Model, counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows of one slice, whose arrays are gone before the next one is cut."""
+        ids, starts, hashes = held.ids, held.starts, held.hashes
+        doc_ids = held.docs.column("doc_id")
+        texts = held.docs.column("text").cast(pa.large_binary()).to_pylist()
+        key = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
+        level = own.tokens(hashes)
+        if own.least_token > 1:
+            level = np.where(level > 0, level, _find(*_listed(held.docs.column("rare")), hashes.view(np.int64)))
+        scores, unknown = slice_scores(own, ids, starts, hashes, level)
+        known = _find(*counted, hashes.view(np.int64))
+        base = np.where(known > 0, np.log10((known + 0.5) / scale), 0.0)
+        sizes = np.diff(np.r_[starts, len(ids)])
+        doc = np.repeat(np.arange(len(starts)), sizes)
+        yield _measured(
+            doc_ids, key, kind=0, h1=key, n_tokens=sizes, n_known=np.add.reduceat(known[ids] > 0, starts, dtype=np.int64),
+            base=np.add.reduceat(base[ids], starts), score=scores, rows=np.ones(len(starts), np.int64),
+        )
+        cold = known[ids] == 0
+        pairs, n = np.unique(doc[cold] * len(hashes) + ids[cold], return_counts=True)
+        at, token = pairs // len(hashes), pairs % len(hashes)
+        yield _measured(doc_ids.take(pa.array(at)), key[at], kind=TOKENS, h1=hashes[token, 0], h2=hashes[token, 1], n=n)
+        if unknown is not None and len(unknown.at):
+            first, at = hashes[:, 0], doc[unknown.at]
             yield _measured(
-                doc_ids, key, kind=0, h1=key, n_tokens=sizes, n_known=np.add.reduceat(known[ids] > 0, starts, dtype=np.int64),
-                base=np.add.reduceat(base[ids], starts), score=scores, rows=np.ones(len(starts), np.int64),
+                doc_ids.take(pa.array(at)), key[at], kind=PAIRS, h1=pair_key(first[unknown.context], first[unknown.word]),
+                h2=context_key(first[unknown.context]), n=np.ones(len(at), np.int64), scale=unknown.scale, most=unknown.most, back=unknown.back,
             )
-            cold = known[ids] == 0
-            pairs, n = np.unique(doc[cold] * len(hashes) + ids[cold], return_counts=True)
-            at, token = pairs // len(hashes), pairs % len(hashes)
-            yield _measured(doc_ids.take(pa.array(at)), key[at], kind=TOKENS, h1=hashes[token, 0], h2=hashes[token, 1], n=n)
-            if unknown is not None and len(unknown.at):
-                first, at = hashes[:, 0], doc[unknown.at]
-                yield _measured(
-                    doc_ids.take(pa.array(at)), key[at], kind=PAIRS, h1=pair_key(first[unknown.context], first[unknown.word]),
-                    h2=context_key(first[unknown.context]), n=np.ones(len(at), np.int64), scale=unknown.scale, most=unknown.most, back=unknown.back,
-                )
 
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model.least_token > 1:
