@@ -41,6 +41,7 @@ from .common import fold, mix, settle
 
 END = b"\n"  # no word holds a line break
 TOKENS, PAIRS, COARSE, FINE = 1, 2, 3, 4
+REMEMBERED = 1 << 19  # tokens whose answers a task keeps
 ASKED = 1 << 13  # grams for which a filter is asked in one go
 GRAM = "kind byte, h1 long, h2 long, n long"
 
@@ -142,11 +143,11 @@ def _slice(docs: pa.RecordBatch) -> Slice:
     words = pc.ascii_split_whitespace(pc.ascii_lower(docs.column("text").fill_null("")).cast(pa.large_string()))
     offsets = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    ids, voc = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
-    word = np.array([len(v) > 0 for v in voc], bool)[ids] if voc else np.zeros(0, bool)  # the split leaves empty ends
+    ids, voc = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary())
+    word = (pc.binary_length(voc).to_numpy() > 0)[ids]  # the split leaves empty ends
     ends = np.r_[0, np.cumsum(word)][offsets - offsets[0]]
     ids = np.insert(ids[word], ends[1:], len(voc))
-    return Slice(docs, ids, ends[:-1] + np.arange(docs.num_rows), token_hashes([*voc, END]))
+    return Slice(docs, ids, ends[:-1] + np.arange(docs.num_rows), token_hashes([*voc.to_numpy(zero_copy_only=False), END]))
 
 
 def _pairs(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,6 +270,12 @@ class Model:
         level = self._steps(self.filter, PAIRS, keys, np.zeros(len(keys), np.uint64)) - self.spec.guards(self.distinct_tokens) + 1
         return np.where(level >= self.least_pair, level, 0)
 
+    def shares_of(self, first: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """What the pairs of each token take; nothing where the token was not counted."""
+        share, known = np.zeros(len(first)), np.flatnonzero(level > 0)
+        share[known] = self.direct_mass(context_key(first[known]))
+        return share
+
     def direct_mass(self, contexts: np.ndarray) -> np.ndarray:
         """What the pairs of each context (its key) take of its probability."""
         zero = np.zeros(len(contexts), np.uint64)
@@ -383,6 +390,38 @@ def _shares(levelled: DataFrame, model: Model) -> Bloom:
     return _filled(rows, sizes.events, sizes.rows, spec.share_bits, spec.share_probes)
 
 
+@dataclass
+class Seen:
+    """Tokens of a task's earlier slices, by their hashes, with the filters' answers; many come again."""
+
+    h1: np.ndarray
+    h2: np.ndarray
+    level: np.ndarray
+    share: np.ndarray
+
+    @staticmethod
+    def none() -> Seen:
+        return Seen(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0))
+
+    def values(self, model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level of each token, and what the pairs of that context take; only tokens not seen are asked for, and remembered."""
+        own = hashes.view(np.int64)
+        place = _find(self.h1, self.h2, np.arange(1, len(self.h1) + 1), own)
+        old, new = np.flatnonzero(place > 0), np.flatnonzero(place == 0)
+        level, share = np.zeros(len(own), np.int64), np.zeros(len(own))
+        level[old], share[old] = self.level[place[old] - 1], self.share[place[old] - 1]
+        level[new] = model.tokens(hashes[new])
+        share[new] = model.shares_of(hashes[new, 0], level[new])
+        added = (own[new, 0], own[new, 1], level[new], share[new])
+        if len(self.h1) + len(new) > REMEMBERED:
+            held = (own[:, 0], own[:, 1], level, share)
+        else:
+            held = tuple(np.concatenate(c) for c in zip((self.h1, self.h2, self.level, self.share), added, strict=True))
+        order = np.argsort(held[0])
+        self.h1, self.h2, self.level, self.share = (c[order] for c in held)
+        return level, share
+
+
 @dataclass
 class Unknown:
     """Pairs of a slice that the filter does not hold: where they stand, and what their probability needs beside their count."""
@@ -396,20 +435,18 @@ class Unknown:
 
 
 def slice_scores(
-    model: Model, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, level: np.ndarray | None = None
+    model: Model, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, level: np.ndarray | None = None, share: np.ndarray | None = None
 ) -> tuple[np.ndarray, Unknown | None]:
     """log10 P of each document of a slice, and the pairs to look up elsewhere if the filter does not hold all.
 
-    ``level`` has the levels of the tokens where the filter does not hold all of them.
+    ``level`` and ``share`` are of the tokens, where they are known already.
     """
     spec, size = model.spec, len(hashes)
     level = model.tokens(hashes) if level is None else level
     p = (expected(level, spec.base) + 0.5) / model.total
     count = greatest_count(level, spec.base)
     first = hashes[:, 0].copy()
-    share = np.zeros(size)
-    known = np.flatnonzero(level > 0)
-    share[known] = model.direct_mass(context_key(first[known]))
+    share = model.shares_of(first, level) if share is None else share
     at, keys = _pairs(ids, starts, size)
     logs = np.log10(p)[ids]
     unknown = None
@@ -488,19 +525,22 @@ def score(docs: DataFrame, spec: ModelSpec = ModelSpec()) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, size, share_bits, share_size, words, total, least_token, least_pair, hot1, hot2, hot_n = shared.value
         own = Model(Bloom(bits, size, spec.probes), Bloom(share_bits, share_size, spec.share_probes), spec, 0, words, total, least_token, least_pair)
+        seen = Seen.none()
         for held in _slices(batches, spec.slice_bytes):
-            yield from rows_of(held, own, (hot1, hot2, hot_n))
+            yield from rows_of(held, own, seen, (hot1, hot2, hot_n))
 
-    def rows_of(held: Slice, own: Model, counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def rows_of(held: Slice, own: Model, seen: Seen, counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """The rows of one slice, whose arrays are gone before the next one is cut."""
         ids, starts, hashes = held.ids, held.starts, held.hashes
         doc_ids = held.docs.column("doc_id")
         texts = held.docs.column("text").cast(pa.large_binary()).to_pylist()
         key = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
-        level = own.tokens(hashes)
         if own.least_token > 1:
+            level, share = own.tokens(hashes), None
             level = np.where(level > 0, level, _find(*_listed(held.docs.column("rare")), hashes.view(np.int64)))
-        scores, unknown = slice_scores(own, ids, starts, hashes, level)
+        else:
+            level, share = seen.values(own, hashes)
+        scores, unknown = slice_scores(own, ids, starts, hashes, level, share)
         known = _find(*counted, hashes.view(np.int64))
         base = np.where(known > 0, np.log10((known + 0.5) / scale), 0.0)
         sizes = np.diff(np.r_[starts, len(ids)])
