@@ -83,12 +83,30 @@ def test_base_scores_of_texts_cut_into_slices(spark, rows):
         assert found == [lmscore.token_hashes([*(w.encode() for w in words(lower(t))), lmscore.END]).tolist() for t in texts]
     docs = frame(spark, rows).coalesce(1)
     columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
-    whole, cut = (lmscore.score(docs, lmscore.ModelSpec(slice_bytes=limit)).collect() for limit in (1 << 30, 3000))
+    whole, cut = (lmscore.score(docs, lmscore.ModelSpec(slice_bytes=limit, cell_bytes=limit)).collect() for limit in (1 << 30, 3000))
     assert normal((*(r[c] for c in columns), round(r.base_score, 6), round(r.score, 6)) for r in cut) == normal(
         (*(r[c] for c in columns), round(r.base_score, 6), round(r.score, 6)) for r in whole
     )
 
 
+def test_grams_of_slices_are_added_up():
+    """Runs of a cell are summed; grams that share one half of their hash only stay apart."""
+    rng = np.random.default_rng(3)
+    runs = [(*rng.integers(0, 4, (2, n)).astype(np.uint64), rng.integers(1, 9, n)) for n in (0, 1, 40, 300)]
+    want = Counter()
+    for run in runs:
+        for h1, h2, n in zip(*run, strict=True):
+            want[int(h1), int(h2)] += int(n)
+    h1, h2, n = lmscore._added(runs)
+    assert len(h1) == len(want) and {(int(a), int(b)): int(c) for a, b, c in zip(h1, h2, n, strict=True)} == want
+    h1 = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    found = lmscore._celled(lmscore.PAIRS, h1, h1 + np.uint64(1), np.arange(1, 5001), 7)
+    assert found.column("cell").to_pylist() == list(range(7))
+    back = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.uint64) for c in ("h1", "h2", "n")]
+    order = np.argsort(h1)
+    assert all((x == y).all() for x, y in zip(back, (h1[order], h1[order] + np.uint64(1), np.arange(1, 5001)[order]), strict=True))
+
+
 def masses(model, vocabulary, contexts):
     """Sum of P(. | h) over the vocabulary for each context h, and of P(.)."""
     import numpy as np
